@@ -1,0 +1,39 @@
+"""The cost of going from one track to the next."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from ..functions.columns import Col
+from ..functions.keys import key_distance, tempo_distance
+from ..functions.vectors import sound_distance
+
+Weights = tuple[float, float, float]
+EVEN: Weights = (1.0, 1.0, 1.0)
+
+
+def combined(sound: Column, tempo: Column, key: Column, weights: Weights = EVEN) -> Column:
+    total = max(1e-9, sum(weights))
+    return (sound * weights[0] + tempo * weights[1] + key * weights[2]) / total
+
+
+def parts(vec_a: Col, vec_b: Col, bpm_a: Col, bpm_b: Col, key_a: Col, key_b: Col) -> dict[str, Column]:
+    """The three distances apart, each 0..1."""
+    return {"sound": sound_distance(vec_a, vec_b), "tempo": tempo_distance(bpm_a, bpm_b), "key": key_distance(key_a, key_b)}
+
+
+def pair_cost(vec_a: Col, vec_b: Col, bpm_a: Col, bpm_b: Col, key_a: Col, key_b: Col, weights: Weights = EVEN) -> Column:
+    """Weighted mean of sound, tempo and key distance, from a to b."""
+    p = parts(vec_a, vec_b, bpm_a, bpm_b, key_a, key_b)
+    return combined(p["sound"], p["tempo"], p["key"], weights)
+
+
+def costs_of_pairs(pairs, tracks, weights: Weights = EVEN):
+    """Cost and parts of every stated pair (a, b) of track ids."""
+    left = tracks.select(*[F.col(c).alias(f"_a_{c}") for c in ("id", "vec", "bpm", "camelot")])
+    right = tracks.select(*[F.col(c).alias(f"_b_{c}") for c in ("id", "vec", "bpm", "camelot")])
+    both = pairs.join(left, F.col("a") == F.col("_a_id")).join(right, F.col("b") == F.col("_b_id"))
+    p = parts("_a_vec", "_b_vec", "_a_bpm", "_b_bpm", "_a_camelot", "_b_camelot")
+    return both.select(*pairs.columns, *[v.alias(k) for k, v in p.items()],
+                       combined(p["sound"], p["tempo"], p["key"], weights).alias("cost"))
