@@ -78,7 +78,7 @@ def key_distance(a: Col, b: Col) -> Column:
     ring = F.element_at(F.array(*[F.lit(c) for c in STEP_COST]), steps + 1)
     other = (wheel_mode(a) != wheel_mode(b)) & (steps != 0)
     cost = F.when(other, F.least(F.lit(1.0), ring + MODE_COST)).otherwise(ring)
-    return F.coalesce(cost, F.lit(UNKNOWN_COST))
+    return F.when(n1.isNotNull() & n2.isNotNull(), cost).otherwise(F.lit(UNKNOWN_COST))
 
 
 def key_steps(a: Col, b: Col) -> Column:
@@ -115,7 +115,8 @@ def tempo_distance(a: Col, b: Col, tolerance: float = TEMPO_TOLERANCE) -> Column
     one, two = tempo(a), tempo(b)
     gap = F.least(*[F.abs(two * factor - one) / one for factor in (0.5, 1.0, 2.0)])
     far = F.least(F.lit(1.0), 0.5 + 0.5 * (gap - tolerance) / tolerance)
-    return F.coalesce(F.when(gap <= tolerance, 0.5 * gap / tolerance).otherwise(far), F.lit(UNKNOWN_COST))
+    cost = F.when(gap <= tolerance, 0.5 * gap / tolerance).otherwise(far)
+    return F.when(one.isNotNull() & two.isNotNull(), cost).otherwise(F.lit(UNKNOWN_COST))
 
 
 def tempo_shift(a: Col, b: Col) -> Column:

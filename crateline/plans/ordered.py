@@ -34,17 +34,15 @@ def indexed(df: DataFrame, order: Seq[Column | str], out: str = "row_index") ->
     number inside the partition plus the partition's offset. The offsets table has one
     row per partition.
     """
-    placed = cut(df.orderBy(*order)).withColumn("_mono", F.monotonically_increasing_id())
-    placed = placed.withColumn("_part", F.shiftright("_mono", 33)).withColumn(
-        "_at", F.col("_mono").bitwiseAND(F.lit((1 << 33) - 1))
+    placed = cut(df.orderBy(*order)).withColumn("_ix_id", F.monotonically_increasing_id())
+    placed = placed.withColumn("_ix_part", F.shiftright("_ix_id", 33)).withColumn(
+        "_ix_at", F.col("_ix_id").bitwiseAND(F.lit((1 << 33) - 1))
     )
-    sizes = placed.groupBy("_part").agg(F.count("*").alias("_rows"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
-    return (
-        placed.join(F.broadcast(offsets), "_part")
-        .withColumn(out, F.col("_offset") + F.col("_at"))
-        .drop("_part", "_at", "_mono", "_offset")
+    sizes = placed.groupBy("_ix_part").agg(F.count("*").alias("_ix_rows"))
+    before = Window.orderBy("_ix_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_ix_part", F.coalesce(F.sum("_ix_rows").over(before), F.lit(0)).alias("_ix_base"))
+    return placed.join(F.broadcast(offsets), "_ix_part").select(
+        *df.columns, (F.col("_ix_base") + F.col("_ix_at")).alias(out)
     )
 
 
