@@ -21,14 +21,15 @@ from ..functions.vectors import unit
 from .session import cut
 
 BLOCK_ROWS = 4_096
+CELL_ROWS = 1_000
 MAX_PIVOTS = 1_024
 # Slack on the bound, against rounding.
 SLACK = 1e-6
 
 
 def pick_pivots(points: DataFrame, rows: int) -> np.ndarray:
-    """About sqrt(rows) vectors chosen by hash, never more than MAX_PIVOTS."""
-    wanted = int(min(MAX_PIVOTS, max(1, round(rows ** 0.5))))
+    """One vector per CELL_ROWS rows, chosen by hash, never more than MAX_PIVOTS."""
+    wanted = int(min(MAX_PIVOTS, max(1, rows // CELL_ROWS)))
     keep = points.orderBy(F.xxhash64("id")).limit(wanted).select("unit").collect()
     return np.array([r["unit"] for r in keep], dtype=np.float64)
 
