@@ -83,8 +83,8 @@ def regions(spark, sf):
     return spark.sql(_REGIONS.replace("FROM conversations", "FROM {c}"), c=table(spark, sf, "conversations")).withColumnRenamed("stop", "end")
 
 
-@query("J11_vocal_cover", f"""SELECT s.track, s.ord, round(coalesce(sum(least(r.stop, s.stop) - greatest(r.start, s.start)), 0) / (s.stop - s.start), 6) AS vocal_score,
- coalesce(sum(least(r.stop, s.stop) - greatest(r.start, s.start)), 0) / (s.stop - s.start) >= 0.1 AS vocal
+@query("J11_vocal_cover", f"""SELECT s.track, s.ord, round(coalesce(sum(least(r.stop, s.stop) - greatest(r.start, s.start)) FILTER (WHERE r.start IS NOT NULL), 0) / (s.stop - s.start), 6) AS vocal_score,
+ coalesce(sum(least(r.stop, s.stop) - greatest(r.start, s.start)) FILTER (WHERE r.start IS NOT NULL), 0) / (s.stop - s.start) >= 0.1 AS vocal
  FROM ({_SECTIONS}) s LEFT JOIN ({_REGIONS}) r ON r.track = s.track AND r.stop > s.start AND r.start < s.stop GROUP BY s.track, s.ord, s.start, s.stop""")
 def vocal_cover(spark, sf):
     rows = sections(spark, sf).rows.withColumnRenamed("stop", "end")
