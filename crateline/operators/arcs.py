@@ -60,17 +60,19 @@ def chapter_of_place(pos: Column, n: Column) -> Column:
     return F.when(n == 1, 0).otherwise(chapter_at(share))
 
 
-def _quota_columns(n: Column) -> list[Column]:
+def _quota(n: Column) -> Column:
     """Places per chapter: rounded shares, at least one, repaired to sum to ``n`` by taking from
     the largest or giving to the smallest. Rounding is off by fewer places than there are chapters."""
     base = F.array(*[F.greatest(F.lit(1), F.bround(F.lit(c[1]) * n, 0).cast("int")) for c in CHAPTERS])
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
     shift = lambda a, at, by: F.transform(a, lambda x, i: F.when(i == at - 1, x + by).otherwise(x))
-    for _ in range(len(CHAPTERS)):
-        over = total(base) - n.cast("int")
-        base = (F.when(over > 0, shift(base, F.array_position(base, F.array_max(base)), -1))
-                .when(over < 0, shift(base, F.array_position(base, F.array_min(base)), 1)).otherwise(base))
-    return base
+
+    def repaired(a: Column, _: Column) -> Column:
+        over = total(a) - n.cast("int")
+        return (F.when(over > 0, shift(a, F.array_position(a, F.array_max(a)), -1))
+                .when(over < 0, shift(a, F.array_position(a, F.array_min(a)), 1)).otherwise(a))
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(len(CHAPTERS))), base, repaired)
 
 
 def assign(df: DataFrame, playlist: str, track: str, columns=MEASURES) -> DataFrame:
@@ -80,8 +82,8 @@ def assign(df: DataFrame, playlist: str, track: str, columns=MEASURES) -> DataFr
     are written once so that the next one does not compute them again.
     """
     sizes = df.groupBy(playlist).agg(F.count("*").alias("_n"))
-    quota = sizes.select(playlist, _quota_columns(F.col("_n")).alias("_quota"))
-    left, done = df.join(quota, playlist), None
+    quota = sizes.select(playlist, _quota(F.col("_n")).alias("_quota"))
+    left, done = cut(df.join(quota, playlist)), None
     for i, name in enumerate(NAMES):
         seq = positions(left.withColumn("_score", chapter_score(i, columns)), [playlist], ["_score", track], "_place")
         rows = cut(seq.rows)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
-MODULES = ("catalogue", "keys", "text", "tags", "filters", "neighbours", "playlists", "duplicates", "segments", "audit", "sequences")
+MODULES = ("catalogue", "keys", "text", "tags", "filters", "neighbours", "playlists", "duplicates", "segments", "audit", "sequences", "sync", "streams")
 
 
 def query(name: str, sql: str | None = None):

@@ -153,8 +153,8 @@ def measured_table(spark, sf):
 
 
 def _stepped_sql(order, sample, rows="catalogue"):
-    return (f"SELECT id, at // step + 1 AS place FROM (SELECT *, greatest(1, n // least({sample}, n)) AS step FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS at, count(*) OVER () AS n FROM {rows})) "
-            f"WHERE at % step = 0 AND at // step < least({sample}, n)")
+    return (f"SELECT id, i // step + 1 AS place FROM (SELECT *, greatest(1, n // least({sample}, n)) AS step FROM (SELECT *, row_number() OVER (ORDER BY {order}) - 1 AS i, count(*) OVER () AS n FROM {rows})) "
+            f"WHERE i % step = 0 AND i // step < least({sample}, n)")
 
 
 @query("T14_stepped_sample", with_catalogue(_stepped_sql("id", 150)))

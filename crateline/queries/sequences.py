@@ -77,18 +77,18 @@ def _score(i):
 
 
 def _chapter_sql():
-    base = f"""WITH RECURSIVE m AS (SELECT playlist, track, pos, (row_number() OVER (PARTITION BY playlist ORDER BY coalesce(bpm, 0), pos) - 1) / greatest(1, count(*) OVER (PARTITION BY playlist) - 1) AS b,
+    base = f"""WITH m AS MATERIALIZED (SELECT playlist, track, pos, (row_number() OVER (PARTITION BY playlist ORDER BY coalesce(bpm, 0), pos) - 1) / greatest(1, count(*) OVER (PARTITION BY playlist) - 1) AS b,
  (row_number() OVER (PARTITION BY playlist ORDER BY coalesce(danceability, 0), pos) - 1) / greatest(1, count(*) OVER (PARTITION BY playlist) - 1) AS g, coalesce(energy, 0e0) AS a, coalesce(valence_rank, 0e0) AS v,
- count(*) OVER (PARTITION BY playlist) AS n FROM ({LISTED})), q0 AS (SELECT DISTINCT playlist, n, [{', '.join(f'greatest(1, CAST(round_even({c[1]}::DOUBLE * n, 0) AS INT))' for c in arcs.CHAPTERS)}] AS q FROM m)"""
+ count(*) OVER (PARTITION BY playlist) AS n FROM ({LISTED})), q0 AS MATERIALIZED (SELECT DISTINCT playlist, n, [{', '.join(f'greatest(1, CAST(round_even({c[1]}::DOUBLE * n, 0) AS INT))' for c in arcs.CHAPTERS)}] AS q FROM m)"""
     step = "q0"
     for i in range(1, 6):
-        base += (f", q{i} AS (SELECT playlist, n, CASE WHEN list_sum(q) > n THEN list_transform(q, lambda x, j: CASE WHEN j = list_position(q, list_max(q)) THEN x - 1 ELSE x END) "
+        base += (f", q{i} AS MATERIALIZED (SELECT playlist, n, CASE WHEN list_sum(q) > n THEN list_transform(q, lambda x, j: CASE WHEN j = list_position(q, list_max(q)) THEN x - 1 ELSE x END) "
                  f"WHEN list_sum(q) < n THEN list_transform(q, lambda x, j: CASE WHEN j = list_position(q, list_min(q)) THEN x + 1 ELSE x END) ELSE q END AS q FROM {step})")
         step = f"q{i}"
     left = "m"
     for i in range(5):
-        base += (f", r{i} AS (SELECT l.*, row_number() OVER (PARTITION BY l.playlist ORDER BY {_score(i)}, track, pos) AS r, q[{i + 1}] AS quota FROM {left} l JOIN q5 USING (playlist))"
-                 f", l{i} AS (SELECT * EXCLUDE (r, quota) FROM r{i} WHERE r > quota)")
+        base += (f", r{i} AS MATERIALIZED (SELECT l.*, row_number() OVER (PARTITION BY l.playlist ORDER BY {_score(i)}, track, pos) AS r, q[{i + 1}] AS quota FROM {left} l JOIN q5 USING (playlist))"
+                 f", l{i} AS MATERIALIZED (SELECT * EXCLUDE (r, quota) FROM r{i} WHERE r > quota)")
         left = f"l{i}"
     return base + " " + " UNION ALL ".join(f"SELECT playlist, pos, '{arcs.NAMES[i]}' AS chapter FROM r{i} WHERE r <= quota" for i in range(5))
 
