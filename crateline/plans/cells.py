@@ -86,6 +86,9 @@ def _meet(queries: DataFrame, points: DataFrame, blocks: DataFrame, match: Calla
     own = points.select(*[F.col(c).alias(c) for c in points.columns])  # fresh columns for the self join
     right = own.join(plan, "cell").withColumn("p_block", mine("blocks")).withColumn("q_block", spread("q_blocks"))
     keys = ["cell", "q_block", "p_block"]
+    # Products are heavy for their bytes: keep the configured number of tasks.
+    tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
     return (left.drop("blocks", "q_blocks").groupBy(*keys)
             .cogroup(right.drop("blocks", "q_blocks").groupBy(*keys)).applyInPandas(match, schema))
 

@@ -91,10 +91,10 @@ def _scratch(spark, name):
     return f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-@query("S1_stored_lines", with_catalogue("SELECT path, bpm, energy_pulse FROM catalogue WHERE id % 7 <> 0"))
+@query("S1_stored_lines", with_catalogue("SELECT path || '#' || id AS path, bpm, energy_pulse FROM catalogue WHERE id % 7 <> 0"))
 def stored_lines(spark, sf):
     """Rows written twice, the older one with another tempo, some with an error, plus a line cut short."""
-    rows = catalogue(spark, sf)
+    rows = catalogue(spark, sf).withColumn("path", F.concat("path", F.lit("#"), F.col("id").cast("string")))
     said = rows.select((F.col("id") * 2 + 1).alias("seq"), "path", "bpm", "energy_pulse", F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"),
                        F.when(F.col("id") % 7 == 0, F.lit("too short")).alias("error"))
     older = said.withColumn("seq", F.col("seq") - 1).withColumn("bpm", F.lit(1.0)).filter(F.col("error").isNull())
@@ -117,7 +117,7 @@ def appended_rows(spark, sf):
 def rewritten_rows(spark, sf):
     rows = catalogue(spark, sf)
     path = _scratch(spark, "rewritten")
-    catalogue_files.rewritten(sync.with_fields(rows, rows.select("path", (F.col("id") * 2).alias("doubled"))), path)
+    catalogue_files.rewritten(sync.with_fields(rows, rows.select("id", (F.col("id") * 2).alias("doubled")), "id"), path)
     return spark.read.parquet(path).select("path", "bpm", "doubled")
 
 
@@ -163,7 +163,7 @@ def playlist_lines(spark, sf):
     rows = numbered(spark, sf).rows.join(catalogue(spark, sf).withColumnRenamed("id", "track"), "track").withColumn("artist", F.lit("A"))
     lines = playlist_files.m3u8_lines(rows)
     plain = F.col("line").startswith("/") & (F.col("line_no") % 4 == 1)
-    uri = F.concat(F.lit("file://localhost"), F.regexp_replace(F.regexp_replace("line", " ", "%20"), "\\(", "%28"))
+    uri = F.concat(F.lit("file://localhost"), F.regexp_replace(F.regexp_replace("line", " ", "%20"), "#", "%23"))
     return playlist_files.parse_m3u8(lines.withColumn("line", F.when(plain, uri).otherwise(F.col("line"))), ["line_no"])
 
 
@@ -244,7 +244,7 @@ def sidecar_analyses(spark, sf):
 @query("ST5_backfilled", with_catalogue("SELECT id, coalesce(valence, bpm / 1e3) AS valence FROM catalogue"))
 def backfilled(spark, sf):
     rows = catalogue(spark, sf)
-    out = sync.backfilled(rows, F.col("valence").isNull(), lambda df: df.withColumn("valence", F.col("bpm") / 1e3), ["valence"])
+    out = sync.backfilled(rows, F.col("valence").isNull(), lambda df: df.withColumn("valence", F.col("bpm") / 1e3), ["valence"], "id")
     return out.select("id", "valence")
 
 
