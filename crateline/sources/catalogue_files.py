@@ -63,7 +63,11 @@ def rewritten(rows: DataFrame, target: str) -> None:
 
 
 def manifest(spark: SparkSession, root: str, audio_only: bool = False, skip: tuple[str, ...] = ("_DUPLICATES_TO_DELETE",)) -> DataFrame:
-    """Files of a tree from their metadata alone; the content column is never read."""
+    """Files of a tree from their metadata alone; the content column is never read.
+
+    Spark's file listing passes over names that begin with a dot or an underscore, so side-cars
+    have to come from a manifest table made elsewhere.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = F.regexp_replace("path", "^file:/*", "/")
     listed = files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
