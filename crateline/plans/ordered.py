@@ -20,11 +20,13 @@ HOT_ROWS = 2_000_000
 BLOCK = 65_536
 
 
-def _same(left: DataFrame, right: DataFrame, by: Seq[str]) -> Column:
-    out = F.lit(True)
+def _match(left: DataFrame, right: DataFrame, by: Seq[str], how: str = "inner") -> DataFrame:
+    """Null-safe join on ``by``; keeps the left columns and the right's own ones."""
+    renamed = right.select(*[F.col(c).alias(f"_key_{c}" if c in by else c) for c in right.columns])
+    on = F.lit(True)
     for name in by:
-        out = out & left[name].eqNullSafe(right[name])
-    return out
+        on = on & F.col(name).eqNullSafe(F.col(f"_key_{name}"))
+    return left.join(renamed, on, how).drop(*[f"_key_{c}" for c in by])
 
 
 def indexed(df: DataFrame, order: Seq[Column | str], out: str = "row_index") -> DataFrame:
@@ -109,9 +111,7 @@ class Ordered:
         offsets = totals.select(*keys, F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_base"))
         inside = Window.partitionBy(*keys).orderBy(self.pos).rowsBetween(*upto)
         rows = rows.withColumn("_inside", F.sum("_value").over(inside))
-        joined = rows.join(offsets, _same(rows, offsets, keys)).select(
-            *[rows[c] for c in rows.columns], offsets["_base"]
-        )
+        joined = _match(rows, offsets, keys)
         return self.with_rows(
             joined.withColumn(out, F.col("_base") + F.col("_inside")).drop("_block", "_value", "_inside", "_base")
         )
@@ -133,15 +133,10 @@ def positions(
     window = Window.partitionBy(*by).orderBy(*order)
     if not found:
         return Ordered(df.withColumn(pos, F.row_number().over(window).cast("long") - 1), tuple(by), pos, False, block)
-    keys = small(keys, found)
-    cold = df.join(keys, _same(df, keys, by), "left_anti")
-    cold = cold.withColumn(pos, F.row_number().over(window).cast("long") - 1)
-    warm = indexed(df.join(keys, _same(df, keys, by), "left_semi"), [*by, *order], "_index")
+    cold = _match(df, small(keys, found), by, "left_anti").withColumn(pos, F.row_number().over(window).cast("long") - 1)
+    warm = indexed(_match(df, small(keys, found), by, "left_semi"), [*by, *order], "_index")
     starts = warm.groupBy(*by).agg(F.min("_index").alias("_start"))
-    starts = small(starts, found)
-    warm = warm.join(starts, _same(warm, starts, by)).select(
-        *[warm[c] for c in df.columns], (warm["_index"] - starts["_start"]).alias(pos)
-    )
+    warm = _match(warm, small(starts, found), by).select(*df.columns, (F.col("_index") - F.col("_start")).alias(pos))
     return Ordered(cold.unionByName(warm), tuple(by), pos, True, block)
 
 
