@@ -193,16 +193,19 @@ def quarantine_plan(chosen: DataFrame, root: str, existing: DataFrame | None = N
         taken = taken.unionByName(existing.select(F.col("path").alias("_name")))
     blocked = taken.distinct().withColumn("_key", F.regexp_replace("_name", "__[0-9]+(\\.[^./]+)?$", "$1")).withColumn(
         "_number", F.regexp_extract("_name", "__([0-9]+)(?:\\.[^./]+)?$", 1).try_cast("long"))
-    own = F.lit(None).cast("long") if existing is None else F.lit(0).cast("long")
     numbers = blocked.filter(F.col("_number").isNotNull()).select(F.col("_key").alias("_target"), "_number")
     if existing is not None:
-        there = existing.select(F.col("path").alias("_target"), own.alias("_number"))
+        there = existing.select(F.col("path").alias("_target"), F.lit(0).cast("long").alias("_number"))
         numbers = numbers.unionByName(there)
-    holes = numbers.distinct().groupBy("_target").agg(F.sort_array(F.collect_set("_number")).alias("_holes"))
-    placed = numbered.join(holes, "_target", "left")
-    nth = F.aggregate(F.coalesce("_holes", F.expr("cast(array() as array<bigint>)")), F.col("_nth"),
-                      lambda at, hole: F.when(hole <= at, at + 1).otherwise(at))
-    return placed.select("path", spelled(nth).alias("target"), order)
+    # The n-th free number is n plus the holes in front of it: hole i of a target, counted from 0,
+    # has (its number - i) free numbers before it.
+    holes = positions(numbers.distinct(), ["_target"], ["_number"], "_i").rows.select(
+        "_target", (F.col("_number") - F.col("_i")).alias("_at"), F.lit(1).alias("_hole"), F.lit(None).cast("string").alias("path"))
+    asked = numbered.select("_target", F.col("_nth").alias("_at"), F.lit(0).alias("_hole"), "path")
+    both = positions(asked.unionByName(holes), ["_target"], ["_at", F.desc("_hole"), "path"], "_o").running_sum("_hole", "_skip")
+    given = both.rows.filter(F.col("_hole") == 0).select("_target", "path", (F.col("_at") + F.col("_skip")).alias("_number"))
+    placed = numbered.join(given, ["_target", "path"])
+    return placed.select("path", spelled(F.col("_number")).alias("target"), order)
 
 
 def plan_outcome(plan: DataFrame, files: DataFrame) -> DataFrame:

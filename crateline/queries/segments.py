@@ -174,28 +174,36 @@ def cue_values(spark, sf):
     return rows.select("track", "id", *[values[c].alias(c) for c in ("in_ms", "in_frame", "kind", "out_ms", "out_frame")])
 
 
-def _nested(spark, sf):
-    rows = sections(spark, sf).rows.withColumnRenamed("stop", "end")
-    return rows.groupBy("track").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "start", "end", "label"))).alias("sections"),
-        F.sort_array(F.collect_list(F.struct("ord", "start", F.col("end")))).alias("regions")).withColumn("bpm", F.lit(120.0))
+# --- tracks with nested sections, as they are at rest: four of them to every part ------------
+_PARTS = "SELECT p_partkey AS track, k, k * 2e1 + p_partkey % 7 AS start, k * 2e1 + p_partkey % 7 + 12 AS stop FROM part, range(4) r(k)"
+
+
+def nested(spark, sf):
+    four = F.sequence(F.lit(0), F.lit(3))
+    start = lambda k: k * 20.0 + F.col("p_partkey") % 7
+    return table(spark, sf, "part").select(
+        F.col("p_partkey").alias("track"), F.lit(120.0).alias("bpm"), F.transform(four, lambda k: F.struct(
+            start(k).alias("start"), (start(k) + 12).alias("end"), F.concat(F.lit("S"), k).alias("label"), (k % 2 == 0).alias("vocal"),
+            ((start(k) + 12) / 8).alias("bars"))).alias("sections"),
+        F.transform(four, lambda k: F.struct(start(k).alias("start"), (start(k) + 12).alias("end"))).alias("regions"),
+        F.transform(four, lambda k: F.struct(start(k).alias("time"), F.lit(0.5).alias("confidence"), F.lit("Rise").alias("label"))).alias("boundaries"))
 
 
-@query("P31_cue_rows", f"""SELECT track, 'sec' || pos AS id, 'phrase_start' AS kind, start, round_even((stop - start) / 0.5e0, 1) AS beats FROM ({_CONV}) UNION ALL
- SELECT track, 'vs' || pos, 'vocal_start', start, NULL FROM ({_CONV}) UNION ALL SELECT track, 've' || pos, 'vocal_end', stop, NULL FROM ({_CONV})""")
+@query("P31_cue_rows", f"""SELECT track, 'sec' || k AS id, 'phrase_start' AS kind, start, round_even((stop - start) / 0.5e0, 1) AS beats FROM ({_PARTS}) UNION ALL
+ SELECT track, 'vs' || k, 'vocal_start', start, NULL FROM ({_PARTS}) UNION ALL SELECT track, 've' || k, 'vocal_end', stop, NULL FROM ({_PARTS})""")
 def cue_rows(spark, sf):
-    return segments.cue_rows(_nested(spark, sf)).select("track", "id", "kind", "start", "beats")
+    return segments.cue_rows(nested(spark, sf)).select("track", "id", "kind", "start", "beats")
+
+
+_LEFT = "'-' || printf('%02d:%04.1f', CAST(floor((100 - start) / 60) AS INT), (100 - start) - floor((100 - start) / 60) * 60)"
 
 
-@query("P30_report_row", f"""SELECT CAST(track AS VARCHAR) AS path, string_agg(label || CASE WHEN ord % 2 = 0 THEN ' 🎤' ELSE '' END || ' -' || printf('%02d:%04.1f', CAST(floor((100 - start) / 60) AS INT), (100 - start) - floor((100 - start) / 60) * 60)
- || ' [' || printf('%.0f', stop / 8) || 'b]', '; ' ORDER BY ord) AS sections, string_agg('-' || printf('%02d:%04.1f', CAST(floor((100 - start) / 60) AS INT), (100 - start) - floor((100 - start) / 60) * 60) || '(Rise 0.50)', '; ' ORDER BY ord) AS boundaries FROM ({_SECTIONS}) GROUP BY track""")
+@query("P30_report_row", f"""SELECT CAST(track AS VARCHAR) AS path, string_agg('S' || k || CASE WHEN k % 2 = 0 THEN ' 🎤' ELSE '' END || ' ' || {_LEFT} || ' [' || printf('%.0f', round_even(stop / 8, 0)) || 'b]', '; ' ORDER BY k) AS sections,
+ string_agg({_LEFT} || '(Rise 0.50)', '; ' ORDER BY k) AS boundaries FROM ({_PARTS}) GROUP BY track""")
 def report_row(spark, sf):
-    rows = sections(spark, sf).rows
-    nested = rows.groupBy("track").agg(
-        F.sort_array(F.collect_list(F.struct("ord", "label", "start", (F.col("ord") % 2 == 0).alias("vocal"), (F.col("stop") / 8).alias("bars")))).alias("sections"),
-        F.sort_array(F.collect_list(F.struct("ord", F.col("start").alias("time"), F.lit("Rise").alias("label"), F.lit(0.5).alias("confidence")))).alias("boundaries"))
-    full = nested.withColumns({"path": F.col("track").cast("string"), "genre": F.lit("x"), "bpm": F.lit(120.0), "vibe": F.lit(None).cast("string"),
-                               "error": F.lit(None).cast("string"), "duration": F.lit(100.0)})
+    full = nested(spark, sf).withColumns({
+        "path": F.col("track").cast("string"), "genre": F.lit("x"), "vibe": F.lit(None).cast("string"),
+        "error": F.lit(None).cast("string"), "duration": F.lit(100.0)})
     return readings.analysis_row(full).select("path", "sections", "boundaries")
 
 

@@ -6,7 +6,8 @@ from ..operators import arcs, neighbours, sequences
 from ..plans.ranking import with_rank
 from . import query
 from .playlists import LISTED, listed, numbered
-from .stand_ins import ENTRY_ORDER, POSITIONS, table, tracks
+from .keys import KEY_COST, SOUND_COST, TEMPO_COST
+from .stand_ins import POSITIONS, TRACKS, table, tracks
 
 
 def _groups(spark, sf):
@@ -23,6 +24,18 @@ def smooth_order(spark, sf):
     return sequences.smooth_order(_groups(spark, sf)).select("request", "id", "place", F.round("cost", 6).alias("cost"))
 
 
+_COS = "list_cosine_similarity(a.vec::DOUBLE[], b.vec::DOUBLE[])"
+_NEAR = f"""SELECT request, id FROM (SELECT a.id AS request, b.id, row_number() OVER (PARTITION BY a.id ORDER BY {_COS} DESC, b.id) AS r FROM ({TRACKS}) a JOIN ({TRACKS}) b ON a.id <> b.id) WHERE r <= 10"""
+
+
+@query("J10_group_costs", f"""WITH t AS ({TRACKS}), n AS ({_NEAR}), p AS (SELECT x.request, x.id, y.id AS other, a.bpm AS b1, b.bpm AS b2, a.camelot AS k1, b.camelot AS k2, a.vec AS v1, b.vec AS v2
+ FROM n x JOIN n y ON y.request = x.request AND y.id <> x.id JOIN t a ON a.id = x.id JOIN t b ON b.id = y.id)
+ SELECT request, id, round(avg(c), 6) AS mean_cost, round(min(c), 6) AS next_cost FROM (SELECT *, ({SOUND_COST} + {TEMPO_COST} + {KEY_COST}) / 3 AS c FROM p) GROUP BY request, id""")
+def group_costs(spark, sf):
+    found = sequences.group_costs(_groups(spark, sf))
+    return found.select("request", "id", F.round("mean_cost", 6).alias("mean_cost"), F.round("next_cost", 6).alias("next_cost"))
+
+
 @query("G2_sorted_after")
 def sorted_after(spark, sf):
     tails = tracks(spark, sf).select(F.col("id").alias("request"), "vec", "bpm", "camelot")
