@@ -81,9 +81,13 @@ def key_distance(a: Col, b: Col) -> Column:
     return F.when(n1.isNotNull() & n2.isNotNull(), cost).otherwise(F.lit(UNKNOWN_COST))
 
 
+def steps_between(a: Col, b: Col) -> Column:
+    """Signed short way round the wheel between two places on it, -6..5."""
+    return F.pmod(col(b) - col(a) + 6, F.lit(12)) - 6
+
+
 def key_steps(a: Col, b: Col) -> Column:
-    """Signed short way round the wheel, -6..5."""
-    return F.pmod(wheel_number(b) - wheel_number(a) + 6, F.lit(12)) - 6
+    return steps_between(wheel_number(a), wheel_number(b))
 
 
 def key_mode_changes(a: Col, b: Col) -> Column:

@@ -35,10 +35,10 @@ def playlist_positions(entries: DataFrame, catalogue: DataFrame, playlist: str =
                        id_column: str = "id") -> DataFrame:
     """Match by composed path, else by composed file name (the first catalogue row wins);
     ``first_pos`` is where a track enters, ``found`` is false for entries nobody knows."""
-    keyed = catalogue.select(id_column, composed("path").alias("_p"), composed(base_name("path")).alias("_f"))
+    keyed = catalogue.select(id_column, composed("path").alias("_p")).withColumn("_f", base_name("_p"))
     by_path = keyed.groupBy("_p").agg(F.min(id_column).alias("_by_path"))
     by_name = keyed.groupBy("_f").agg(F.min(id_column).alias("_by_name"))
-    asked = entries.withColumn("_p", composed(absolute_path("path"))).withColumn("_f", composed(base_name("path")))
+    asked = entries.withColumn("_p", composed(absolute_path("path"))).withColumn("_f", base_name("_p"))
     hit = asked.join(by_path, "_p", "left").join(by_name, "_f", "left").select(
         *entries.columns, F.coalesce("_by_path", "_by_name").alias(id_column))
     found = hit.filter(F.col(id_column).isNotNull()).groupBy(playlist, id_column).agg(
@@ -52,21 +52,29 @@ def signed_deltas(previous: dict[str, Column], current: dict[str, Column]) -> di
     """Tempo, key, groove and energy against the entry before; absent on either side is absent."""
     return {
         "d_bpm": F.bround(keys.tempo_shift(previous["bpm"], current["bpm"]), 0).cast("int"),
-        "d_key": keys.key_steps(previous["camelot"], current["camelot"]).cast("int"),
-        "d_mode": keys.key_mode_changes(previous["camelot"], current["camelot"]),
+        "d_key": keys.steps_between(previous["wheel"], current["wheel"]).cast("int"),
+        "d_mode": previous["mode"] != current["mode"],
         "d_groove": F.bround(current["danceability"] - previous["danceability"], 2),
         "d_energy": (fmt.decile(current["energy"]) - fmt.decile(previous["energy"])).cast("int"),
     }
 
 
-MEASURES = ("bpm", "camelot", "danceability", "energy")
+MEASURES = ("bpm", "wheel", "mode", "danceability", "energy")
+
+
+def measures_of(prefix: str = "") -> dict[str, Column]:
+    """What deltas are taken of; a key is parsed once into its place and mode."""
+    code = f"{prefix}camelot"
+    return {**{c: F.col(prefix + c) for c in ("bpm", "danceability", "energy")},
+            "wheel": keys.wheel_number(code), "mode": keys.wheel_mode(code)}
 
 
 def with_deltas(seq: Ordered) -> Ordered:
     """Deltas of every entry to the one right before it, whether or not that one is known."""
-    shifted = seq.shifted({f"_prev_{c}": (c, 1) for c in MEASURES})
-    deltas = signed_deltas({c: F.col(f"_prev_{c}") for c in MEASURES}, {c: F.col(c) for c in MEASURES})
-    return shifted.with_rows(shifted.rows.withColumns(deltas).drop(*[f"_prev_{c}" for c in MEASURES]))
+    own = {f"_own_{c}": value for c, value in measures_of().items()}
+    shifted = seq.with_rows(seq.rows.withColumns(own)).shifted({f"_prev_{c}": (f"_own_{c}", 1) for c in MEASURES})
+    deltas = signed_deltas({c: F.col(f"_prev_{c}") for c in MEASURES}, {c: F.col(f"_own_{c}") for c in MEASURES})
+    return shifted.with_rows(shifted.rows.withColumns(deltas).drop(*own, *[f"_prev_{c}" for c in MEASURES]))
 
 
 def delta_texts() -> dict[str, Column]:

@@ -48,9 +48,12 @@ def indexed(df: DataFrame, order: Seq[Column | str], out: str = "row_index") ->
     )
 
 
-def hot_keys(df: DataFrame, by: Seq[str], hot_rows: int) -> tuple[DataFrame, int]:
-    """Groups above ``hot_rows``; there are at most rows / hot_rows of them."""
-    found = cut(df.groupBy(*by).agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_rows).select(*by))
+def hot_keys(df: DataFrame, by: Seq[str], hot_rows: int) -> tuple[DataFrame | None, int]:
+    """Groups above ``hot_rows`` and their number; there are at most rows / hot_rows of them."""
+    sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
+    if (sizes.agg(F.max("_n").alias("m")).first()["m"] or 0) <= hot_rows:
+        return None, 0
+    found = cut(sizes.filter(F.col("_n") > hot_rows).select(*by))
     return found, found.count()
 
 

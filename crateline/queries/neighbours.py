@@ -103,11 +103,11 @@ def suggestions(spark, sf):
        f"WHEN abs(t.bpm - s.bpm) <= abs(t.bpm * 2e0 - s.bpm) THEN t.bpm - s.bpm ELSE t.bpm * 2e0 - s.bpm END, 0) AS INT) AS d_bpm, round_even(round(t.danceability - s.danceability, 8), 2) AS d_groove "
        f"FROM ({_ROSTER}) r JOIN ({TRACKS}) t ON t.id = r.id, ({TRACKS}) s WHERE s.id = {_SEED}")
 def roster_table(spark, sf):
-    from ..operators.playlists import MEASURES, signed_deltas
+    from ..operators.playlists import measures_of, signed_deltas
     rows = tracks(spark, sf)
-    source = seed_rows(spark, sf).select(F.lit(1).alias("request"), *[F.col(c).alias(f"_s_{c}") for c in MEASURES])
+    source = seed_rows(spark, sf).select(F.lit(1).alias("request"), *[F.col(c).alias(f"_s_{c}") for c in ("bpm", "camelot", "danceability", "energy")])
     joined = roster(spark, sf).join(rows, "id").join(source, "request")
-    deltas = signed_deltas({c: F.col(f"_s_{c}") for c in MEASURES}, {c: F.col(c) for c in MEASURES})
+    deltas = signed_deltas(measures_of("_s_"), measures_of())
     return joined.select("id", F.bround("cost", 3).alias("cost"), F.when(F.col("copies") > 1, F.col("copies")).alias("copies"),
                          deltas["d_bpm"].alias("d_bpm"), deltas["d_groove"].alias("d_groove"))
 

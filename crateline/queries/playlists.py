@@ -171,7 +171,7 @@ _SHARED = f"SELECT track FROM (SELECT DISTINCT playlist, track FROM ({POSITIONS}
   SELECT playlist, string_agg(camelot, ' ' ORDER BY {_N.format('camelot')} * 2 + CASE WHEN right(camelot, 1) = 'B' THEN 1 ELSE 0 END) AS keys
   FROM (SELECT DISTINCT playlist, camelot FROM ({LISTED}) WHERE camelot IS NOT NULL) GROUP BY playlist) k ON k.playlist = l.playlist GROUP BY l.playlist)""")
 def shelf_rows(spark, sf):
-    rows = numbered(spark, sf).rows.select("playlist", "track", "pos")
+    rows = entries(spark, sf).select("playlist", "track")
     cat = known_rows(spark, sf).select(*MEASURES).withColumnRenamed("id", "track")
     mean = rows.join(cat, "track", "left").groupBy("playlist").agg(F.round(F.avg("energy"), 6).alias("energy"))
     return playlists.shelf_rows(rows, cat).drop("energy").join(mean, "playlist")
@@ -180,7 +180,7 @@ def shelf_rows(spark, sf):
 @query("A24_shelf_summary", f"""SELECT playlists, tracks, {_TIME} AS length, (SELECT count(*) FROM ({_SHARED})) AS shared FROM (
  SELECT count(DISTINCT playlist) AS playlists, count(*) AS tracks, CAST(round_even(sum(coalesce(duration, 0)) / 60, 0) AS BIGINT) AS m FROM ({LISTED}))""")
 def shelf_summary(spark, sf):
-    rows = numbered(spark, sf).rows.select("playlist", "track", "pos")
+    rows = entries(spark, sf).select("playlist", "track")
     return playlists.shelf_summary(rows, known_rows(spark, sf).withColumnRenamed("id", "track"))
 
 
