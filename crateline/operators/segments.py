@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence as Seq
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 

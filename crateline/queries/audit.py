@@ -4,11 +4,11 @@ from pyspark.sql import functions as F
 
 from ..functions import moods
 from ..functions.columns import labels
-from ..operators import audit, ranks
+from ..operators import audit
 from . import query
 from .catalogue import ENERGY_SQL, LEVEL_SQL
-from .stand_ins import CATALOGUE, catalogue, rank_sql, table, with_catalogue
-from .tags import _HEADS, _SCORES, scored, valence_sql
+from .stand_ins import catalogue, rank_sql, with_catalogue
+from .tags import _SCORES, scored, valence_sql
 
 _FIELDS = ("energy_density", "energy_bass", "energy_bright", "energy_pulse", "valence", "bpm", "camelot")
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions.vectors import ahead, ahead_number
-from ..operators import cost, neighbours
+from ..operators import neighbours
 from . import query
 from .keys import KEY_COST, SOUND_COST, TEMPO_COST
 from .stand_ins import TRACKS, table, tracks
@@ -113,9 +113,6 @@ def roster_table(spark, sf):
 
 
 _LAST = "(SELECT max(vec_id) FROM embeddings)"
-_TWO = (f"SELECT x.id, x.song, (SELECT 0) AS z, {{0}} AS c FROM ({TRACKS}) x, ({TRACKS}) s")
-
-
 def _from(seed):
     body = (f"SELECT b.id, b.song, a.bpm AS b1, b.bpm AS b2, a.camelot AS k1, b.camelot AS k2, a.vec AS v1, b.vec AS v2 {_ALL} AND a.id = {seed}")
     return f"SELECT id, song, {_COST} AS c FROM ({body})"

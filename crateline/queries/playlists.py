@@ -7,7 +7,8 @@ from ..operators import arcs, playlists, ranks, readings
 from ..plans.ordered import positions
 from ..sources import playlist_files
 from . import query
-from .stand_ins import CATALOGUE, ENTRY_ORDER, POSITIONS, catalogue, entries, rank_sql, table
+from .keys import KEY_COST, SOUND_COST, TEMPO_COST
+from .stand_ins import CATALOGUE, ENTRY_ORDER, POSITIONS, catalogue, entries, table
 
 MEASURES = ("id", "path", "name", "folder", "bpm", "camelot", "danceability", "energy", "valence_rank", "duration", "moods", "genres", "top_genre")
 # Measures of an entry's track; the energy is a stored rank here. A ninth of the tracks are unknown.
@@ -63,11 +64,10 @@ def chain_table(spark, sf):
     return playlists.chain_table(listed(spark, sf)).select("playlist", "number", "track", "d_bpm", "d_key")
 
 
-_COSTED = f"""SELECT p.playlist, p.pos, t.embedding AS v2, CASE WHEN track % 17 = 0 THEN NULL ELSE bpm END AS b2, camelot AS k2
- FROM ({LISTED}) p LEFT JOIN embeddings t ON t.vec_id = p.track"""
-
-
-@query("W4_playlist_costs", None)
+@query("W4_playlist_costs", f"""SELECT playlist, pos + 1 AS number, track, CASE WHEN pos > 0 AND v1 IS NOT NULL AND v2 IS NOT NULL THEN
+ round_even(({SOUND_COST} + {TEMPO_COST} + {KEY_COST}) / 3, 3) END AS from_previous FROM (
+ SELECT *, lag(v2) OVER w AS v1, lag(b2) OVER w AS b1, lag(k2) OVER w AS k1 FROM (SELECT p.playlist, p.pos, p.track, t.embedding AS v2, bpm AS b2, camelot AS k2
+ FROM ({LISTED}) p LEFT JOIN embeddings t ON t.vec_id = p.track) WINDOW w AS (PARTITION BY playlist ORDER BY pos))""")
 def playlist_costs(spark, sf):
     seq = listed(spark, sf)
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").alias("track"), F.col("embedding").alias("vec"))
@@ -75,18 +75,6 @@ def playlist_costs(spark, sf):
         "playlist", "number", "track", "from_previous")
 
 
-def _register_w4():
-    from .keys import KEY_COST, SOUND_COST, TEMPO_COST
-    from . import SQL
-    SQL["W4_playlist_costs"] = f"""SELECT playlist, pos + 1 AS number, track, CASE WHEN pos > 0 AND v1 IS NOT NULL AND v2 IS NOT NULL THEN
- round_even(({SOUND_COST} + {TEMPO_COST} + {KEY_COST}) / 3, 3) END AS from_previous FROM (
- SELECT *, lag(v2) OVER w AS v1, lag(b2) OVER w AS b1, lag(k2) OVER w AS k1 FROM (SELECT p.playlist, p.pos, p.track, t.embedding AS v2, bpm AS b2, camelot AS k2
- FROM ({LISTED}) p LEFT JOIN embeddings t ON t.vec_id = p.track) WINDOW w AS (PARTITION BY playlist ORDER BY pos))"""
-
-
-_register_w4()
-
-
 @query("W5_regions", f"""SELECT playlist, split_part(top_genre, ' - ', 1) AS chapter, min(pos) AS start, max(pos) AS "end" FROM (
  SELECT *, pos - row_number() OVER (PARTITION BY playlist, split_part(top_genre, ' - ', 1) ORDER BY pos) AS island FROM ({LISTED}))
  WHERE top_genre IS NOT NULL GROUP BY playlist, island, split_part(top_genre, ' - ', 1)""")

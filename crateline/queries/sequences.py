@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from ..operators import arcs, neighbours, sequences
-from ..plans.ranking import with_rank
 from . import query
 from .playlists import LISTED, listed, numbered
 from .keys import KEY_COST, SOUND_COST, TEMPO_COST

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import file_uri_path
-from ..operators import audit, sync
+from ..operators import sync
 from ..plans.session import checkpoint_dir
 from ..sources import catalogue_files, playlist_files
 from . import query
-from .playlists import known_rows, numbered
+from .playlists import numbered
 from .stand_ins import CATALOGUE, MANIFEST, POSITIONS, catalogue, manifest, table, with_catalogue
 
 # The stored catalogue: most files, some with another size, some since gone.

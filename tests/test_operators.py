@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from crateline.operators import arcs, audit, duplicates, paths, playlists, segments, structure, sync
-from crateline.plans.ordered import Ordered, already_ordered, positions
+from crateline.plans.ordered import Ordered, already_ordered
 
 from conftest import rows
 
@@ -173,3 +173,61 @@ def test_snap_to_the_beat(spark):
     marks = spark.createDataFrame([(1, 0, 10.13, 0.5)], "track int, mark int, time double, period double")
     env = spark.createDataFrame([(1, i * 0.5 + 0.1, 1.0) for i in range(60)] + [(1, i * 0.37, 0.05) for i in range(60)], "track int, t double, env double")
     assert structure.snap(marks, env).first()["snapped"] == pytest.approx(10.1, abs=0.5 / 192)
+
+
+def test_projection_axes_are_ordered_and_turned(spark):
+    import numpy as np
+    from crateline.operators.projection import project
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(60, 5)) * np.array([5.0, 2.0, 1.0, 0.5, 0.1])
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>")
+    found = np.array([[r["x"], r["y"]] for r in project(df, 3).orderBy("id").collect()])
+    assert found.var(axis=0)[0] > found.var(axis=0)[1]
+    assert abs(np.corrcoef(found[:, 0], data[:, 0])[0, 1]) > 0.9 and np.corrcoef(found[:, 0], data[:, 0])[0, 1] > 0
+
+
+def test_novelty_agrees_with_the_kernel_over_the_similarity_matrix(spark, monkeypatch):
+    import numpy as np
+    rng = np.random.default_rng(8)
+    features = rng.random((70, 3))
+    features[35:] += 1.0
+    half = 16
+    axis = np.arange(-half, half + 1)
+    xx, yy = np.meshgrid(axis, axis)
+    kernel = np.exp(-0.5 * (xx ** 2 + yy ** 2) / (half / 2) ** 2) * np.sign(xx) * np.sign(yy)
+    padded = np.pad(features @ features.T, half, mode="edge")
+    expected = np.array([(padded[i:i + 2 * half + 1, i:i + 2 * half + 1] * kernel).sum() for i in range(70)])
+    expected = np.maximum(expected, 0) / expected.max()
+    df = spark.createDataFrame([(1, i, [float(x) for x in v]) for i, v in enumerate(features)], "track int, pos long, features array<double>")
+    monkeypatch.setattr(structure, "BLOCK_BEATS", 20)
+    found = structure.novelty(already_ordered(df, ["track"], "pos")).orderBy("beat").collect()
+    assert np.allclose([r["novelty"] for r in found], expected, atol=1e-9)
+
+
+def test_reading_audit_figures(spark):
+    data = [(1, "Dark", [("Dark", .6), ("Happy", .04)]), (2, "Happy; Dark", [("Dark", .5), ("Happy", .3)]), (3, "", [("Dark", .01), ("Happy", .02)]),
+            (4, "Happy", [("Dark", .02), ("Happy", .7)])]
+    df = spark.createDataFrame(data, "id int, moods string, scores array<struct<label: string, value: double>>")
+    told = {r["figure"]: r["value"] for r in audit.reading_audit(df).collect()}
+    assert told["rows"] == 4 and told["top label kept"] == 0.5
+    assert told["labels overlap"] == pytest.approx((1 + 1 + 0 + 1) / 4)
+    assert told["newly measured"] == 0.25
+    assert told["balanced: no reading"] == 0 and told["floor 0.05: no reading"] == 0.25
+    assert told["sums: below zero"] == 0.5
+
+
+def test_wave_bins_go_like_an_even_split(spark):
+    import numpy as np
+    df = spark.createDataFrame([(1, i) for i in range(23)], "track int, pos long").withColumns(
+        {c: F.col("pos") * 1.0 for c in ("t", "total", "low", "mid", "high")})
+    found = {r["bin"]: r["t"] for r in segments.wave_bands(already_ordered(df, ["track"], "pos"), 5).collect()}
+    assert found == {i: c.mean() for i, c in enumerate(np.array_split(np.arange(23), 5))}
+
+
+def test_onset_regularity(spark):
+    rng = random.Random(1)
+    data = [(1, i * 0.5) for i in range(20)] + [(2, rng.random() * 10) for _ in range(20)] + [(3, float(i)) for i in range(5)]
+    df = spark.createDataFrame(data, "track int, t double")
+    from crateline.plans.ordered import positions
+    found = {r["track"]: r["groove"] for r in segments.groove(positions(df, ["track"], ["t"])).collect()}
+    assert found[1] == pytest.approx(1.0) and found[2] < found[1] and found[3] is None
