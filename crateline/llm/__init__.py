@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "language_id", "token_file", "exact_dedup", "packing", "decontamination", "jaccard_join", "warc", "katz")
+MODULES = ("line_dedup", "language_id", "token_file", "exact_dedup", "packing", "decontamination", "jaccard_join", "warc", "suffix_dedup", "katz")
 
 
 def load_all() -> None:

@@ -13,6 +13,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..plans.session import checkpoint_dir
 
@@ -86,7 +87,7 @@ def steps(batches: Iterator[pa.RecordBatch], sized: str = "text", most: int = ST
             at = upto
 
 
-def arrow_step(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, sized: str = "text") -> DataFrame:
+def arrow_step(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, sized: str = "text") -> DataFrame:
     """Map steps of rows to rows, each step alone."""
     def run(batches):
         for step in steps(batches, sized):

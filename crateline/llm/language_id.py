@@ -165,49 +165,70 @@ def _expectations(counted: DataFrame, column: dict[str, int], path: str, prob: n
     return sums
 
 
+def _told(texts: list[str | None], names: list[str], prob: np.ndarray, stamp: str, path: str):
+    """Best language, score and number of words of each text."""
+    lists = [words(t) for t in texts]
+    tokens, at, sizes = code_tokens(lists)
+    best, score = ["und"] * len(lists), np.zeros(len(lists))
+    if names and len(at):
+        memo = kept("language memo", dict)
+        if memo.get("") != stamp or len(memo) > MEMO:  # of this model only
+            memo.clear()
+            memo[""] = stamp
+        new = [t for t in tokens if t not in memo]
+        if new:
+            lattice = kept(f"lattice {path}", lambda: Lattice(load_pieces(path)))
+            memo.update(zip(new, lattice.logs(new, prob), strict=True))
+        logs = np.array([memo[t] for t in tokens])[at]
+        full = np.flatnonzero(sizes)
+        sums = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full], axis=0)
+        share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
+        score[full] = share
+        for row, k in zip(full.tolist(), sums.argmax(axis=1).tolist(), strict=True):
+            best[row] = names[k]
+    return best, score, sizes
+
+
 def predict(docs: DataFrame, names: list[str], prob: np.ndarray, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, lang_pred, score, n_words``, one row per input row.
 
     ``score`` is the share of the best language among all, each equally likely before the text is
     read. Rules for odd input: text that is null or has no letter is ``und`` with score 0, as is all
     text if no language was learned; of equally likely languages the first by name wins; null and
-    repeated ids pass through.
+    repeated ids pass through; an empty table gives no rows.
     """
     model, stamp = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex  # pieces of the vocabulary times languages
 
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
-        ids, texts = step.columns
-        lists = [words(t) for t in texts.to_pylist()]
-        tokens, at, sizes = code_tokens(lists)
-        best, score = ["und"] * len(lists), np.zeros(len(lists))
-        if names and len(at):
-            memo = kept("language memo", dict)
-            if memo.get("") != stamp or len(memo) > MEMO:  # of this model only
-                memo.clear()
-                memo[""] = stamp
-            new = [t for t in tokens if t not in memo]
-            if new:
-                lattice = kept(f"lattice {path}", lambda: Lattice(load_pieces(path)))
-                memo.update(zip(new, lattice.logs(new, model.value), strict=True))
-            logs = np.array([memo[t] for t in tokens])[at]
-            full = np.flatnonzero(sizes)
-            sums = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full], axis=0)
-            top = sums.argmax(axis=1)
-            share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
-            for row, k, s in zip(full.tolist(), top.tolist(), share.tolist(), strict=True):
-                best[row], score[row] = names[k], s
-        return pa.RecordBatch.from_arrays([ids, pa.array(best, pa.string()), pa.array(score), pa.array(sizes)], ["doc_id", "lang_pred", "score", "n_words"])
+        best, score, sizes = _told(step.column(1).to_pylist(), names, model.value, stamp, path)
+        return pa.RecordBatch.from_arrays([step.column(0), pa.array(best, pa.string()), pa.array(score), pa.array(sizes)], ["doc_id", "lang_pred", "score", "n_words"])
 
     return arrow_step(columns_of(docs, id_col, text_col), run, "doc_id long, lang_pred string, score double, n_words long")
 
 
+def accept(docs: DataFrame, names: list[str], prob: np.ndarray, path: str, min_score: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose text has letters and whose best language scores at least ``min_score``."""
+    model, stamp = docs.sparkSession.sparkContext.broadcast(prob), uuid.uuid4().hex
+    at = docs.columns.index(text_col)
+
+    def run(step: pa.RecordBatch) -> pa.RecordBatch:
+        best, score, _ = _told(step.column(at).to_pylist(), names, model.value, stamp, path)
+        return step.filter(pa.array([b != "und" and s >= min_score for b, s in zip(best, score.tolist(), strict=True)], pa.bool_()))
+
+    return arrow_step(docs, run, docs.schema, text_col)
+
+
 def identify(docs: DataFrame, path: str, hold_out: int = 2, folds: int = 4, **settings) -> DataFrame:
     """Learn from the documents outside the held-out fold and label all of them: ``doc_id, held_out, lang_pred, score, n_words``."""
     fold = remainder(F.col("doc_id"), folds)
-    names, prob = train(docs.select("doc_id", "text", "lang").filter(fold != hold_out), path, **settings)
+    names, prob = learn(docs, path, hold_out, folds, **settings)
     return predict(docs, names, prob, path).withColumn("held_out", fold == hold_out)
 
 
+def learn(docs: DataFrame, path: str, hold_out: int = 2, folds: int = 4, **settings) -> tuple[list[str], np.ndarray]:
+    return train(docs.select("doc_id", "text", "lang").filter(remainder(F.col("doc_id"), folds) != hold_out), path, **settings)
+
+
 @query("op2_language_id")
 def op2_language_id(spark, folder):
     return identify(table(spark, folder, "documents"), vocabulary())
