@@ -32,7 +32,7 @@ def _merged(batches):
     """Sorted rows to one row per slot and key: smallest id, rows added up; equal keys may span batches."""
     keys, left = ["slot", *_KEYS], None
     for batch in batches:
-        part = pa.Table.from_batches([batch])
+        part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)  # all columns nullable, as after merging
         part = pa.concat_tables([left, part]) if left is not None else part
         part = part.group_by(keys, use_threads=False).aggregate([("keep_id", "min"), ("n_rows", "sum")]).rename_columns([*keys, "keep_id", "n_rows"])
         # The last key may go on in the next batch.
