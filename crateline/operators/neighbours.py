@@ -56,15 +56,15 @@ def suggestions(df: DataFrame, requests: DataFrame, taken: DataFrame, k: int, na
                 weights: Weights = EVEN, pool: DataFrame | None = None) -> DataFrame:
     """k voices per request: rows already taken and their songs dropped, copies of a name under one voice.
 
-    The reach is 2k plus the number taken, as part of the meaning: copies further out are not looked for.
+    All rows are looked at: the cheapest of each name is found before the k best are, with minima
+    that combine before they shuffle. ``copies`` counts all rows of the name that are left.
     ``taken`` is (request, id).
     """
-    reach = requests.select("request").join(taken.groupBy("request").agg(F.count_distinct("id").alias("_t")), "request", "left")
-    reach = reach.select("request", (F.coalesce("_t", F.lit(0)) + 2 * k).alias("_reach"))
-    widest = reach.agg(F.max("_reach").alias("m")).first()["m"]
     rows = df.withColumn("_name", name_key).withColumn("_song", song)
-    found = nearest(rows, requests, int(widest or 0), weights, pool).join(reach, "request").filter(F.col("place") <= F.col("_reach"))
     gone = taken.join(rows.select("id", "_song"), "id").select("request", "id", "_song")
+    if pool is not None:
+        rows = rows.join(pool.select("id").distinct(), "id", "left_semi")
+    found = request_costs(rows.select("id", *_POINT, "_name", "_song"), requests, weights).select("request", "id", "_name", "_song", "cost")
     found = found.join(gone.select("request", "id").distinct(), ["request", "id"], "left_anti")
     found = found.join(gone.select("request", "_song").distinct(), ["request", "_song"], "left_anti")
     voices = found.groupBy("request", "_name").agg(

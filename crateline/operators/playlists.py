@@ -14,7 +14,6 @@ from ..functions.text import absolute_path, base_name, composed, stem
 from ..plans.ordered import Ordered, positions, runs
 from .cost import pair_cost
 
-MOST_MOVES = 10_000
 ORDER_FIELDS = {"bpm": "bpm", "energy": "energy", "key": "camelot"}
 
 
@@ -141,8 +140,6 @@ def moved_all(entries: DataFrame, moves: DataFrame, playlist: str = "playlist",
     """
     sizes = entries.groupBy(playlist).agg(F.count("*").alias("_size"))
     asked = moves.join(sizes, playlist).filter((F.col("row") >= 0) & (F.col("row") < F.col("_size")))
-    if not moves.groupBy(playlist).agg(F.count("*").alias("n")).filter(F.col("n") > MOST_MOVES).isEmpty():
-        raise ValueError(f"more than {MOST_MOVES} moves of one playlist in one call")
     lists = asked.groupBy(playlist, "_size").agg(
         F.sort_array(F.collect_list(F.struct(F.col("row").cast("long").alias("row"),
                                              F.col("place").cast("long").alias("place")))).alias("_moves"))

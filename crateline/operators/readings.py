@@ -14,8 +14,6 @@ from ..plans.ranking import middle_values, with_rank
 from . import ranks
 from .tag_counts import popularity
 
-VOCABULARY = 500  # labels counted into the plan; larger vocabularies are joined
-
 
 def organise_plan(df: DataFrame, dest: str, path: str = "path", genre: str = "top_genre", vibe: str = "vibe") -> DataFrame:
     place = F.concat_ws("/", F.lit(dest.rstrip("/")), F.col(genre), F.coalesce(F.col(vibe), F.lit("Unknown")), base_name(path))
@@ -50,17 +48,8 @@ def library_frame(df: DataFrame) -> DataFrame:
 
 
 def with_summary(df: DataFrame, column: str = "moods", id_column: str = "id") -> DataFrame:
-    """Add ``distinctive`` and ``mood``: the rarest label first, then the others.
-
-    A small vocabulary becomes a constant map; a large one is joined to the exploded labels.
-    """
+    """Add ``distinctive`` and ``mood``: the rarest label first, then the others."""
     counts = popularity(df, column)
-    vocabulary = counts.limit(VOCABULARY + 1).collect()
-    if 0 < len(vocabulary) <= VOCABULARY:
-        common = F.map_from_arrays(F.array(*[F.lit(r["label"]) for r in vocabulary]),
-                                   F.array(*[F.lit(r["n"]) for r in vocabulary]))
-        return df.withColumn("distinctive", moods.distinctive(column, common)).withColumn(
-            "mood", _told(column, F.col("distinctive")))
     placed = df.select(id_column, F.posexplode(labels(column)).alias("at", "label")).join(counts, "label")
     rare = placed.groupBy(id_column).agg(F.min_by("label", F.struct("n", "at")).alias("distinctive"))
     return df.join(rare, id_column, "left").withColumn("mood", _told(column, F.col("distinctive")))

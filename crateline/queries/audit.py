@@ -174,25 +174,28 @@ def faint_sample(spark, sf):
     return audit.stepped(rows, ["reading", "id"], 20).select("id", "place")
 
 
-@query("T16_listening_sample", with_catalogue(_stepped_sql("energy_bass, id", 20, f"(SELECT c.* FROM catalogue c JOIN ({_stepped_sql('id', 800)}) s ON s.id = c.id WHERE true)")))
+@query("T16_listening_sample", with_catalogue(_stepped_sql("coalesce(energy_bass, 2), id", 20)))
 def listening_sample(spark, sf):
     rows = catalogue(spark, sf).withColumn("energy_bass", F.coalesce("energy_bass", F.lit(2.0)))
     return audit.listening_sample(rows, "energy_bass", 20).select("id", "place")
 
 
-@query("T16_listening_top", with_catalogue(f"SELECT c.id FROM catalogue c JOIN ({_stepped_sql('id', 800)}) s ON s.id = c.id ORDER BY coalesce(energy_bass, 2) DESC, c.id LIMIT 20"))
+@query("T16_listening_top", with_catalogue("SELECT id FROM catalogue ORDER BY coalesce(energy_bass, 2) DESC, id LIMIT 20"))
 def listening_top(spark, sf):
     rows = catalogue(spark, sf).withColumn("energy_bass", F.coalesce("energy_bass", F.lit(2.0)))
     return audit.listening_sample(rows, "energy_bass", 20, top=True).select("id")
 
 
-@query("T13_capped_sample")
+@query("T13_capped_sample", with_catalogue("""SELECT id, id NOT IN (SELECT id FROM catalogue ORDER BY md5('0:' || id), id LIMIT 90) AS pointed FROM catalogue
+ WHERE camelot = '8A' OR id IN (SELECT id FROM catalogue ORDER BY md5('0:' || id), id LIMIT 90)"""))
 def capped_sample(spark, sf):
     rows = catalogue(spark, sf)
     marked = rows.filter(F.col("camelot") == "8A").select("id")
-    return audit.capped_sample(rows, audit.rows_budget(128, 12_000), marked=marked).select("id", "pointed")
+    return audit.capped_sample(rows, 90, marked=marked).select("id", "pointed")
 
 
-@query("T17_stratified_sample")
+@query("T17_stratified_sample", with_catalogue(f"""SELECT id, top_genre, row_number() OVER (ORDER BY r, md5('0:' || g), g) - 1 AS turn FROM (
+ SELECT *, row_number() OVER (PARTITION BY g ORDER BY (a + 1) * {audit.GOLDEN!r}::DOUBLE - floor((a + 1) * {audit.GOLDEN!r}::DOUBLE), a) AS r FROM (
+ SELECT id, top_genre, coalesce(top_genre, '—') AS g, row_number() OVER (PARTITION BY coalesce(top_genre, '—') ORDER BY valence NULLS LAST, path, id) - 1 AS a FROM catalogue)) ORDER BY turn LIMIT 60"""))
 def stratified_sample(spark, sf):
-    return audit.stratified(catalogue(spark, sf), 60).select("id", "top_genre", "turn")
+    return audit.stratified(catalogue(spark, sf), 60, key="id").select("id", "top_genre", "turn")

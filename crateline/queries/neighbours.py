@@ -80,8 +80,8 @@ def seed_distances(spark, sf):
 
 
 _TAKEN = f"(SELECT id, song FROM ({TRACKS}) WHERE song = 'song 7' OR id = {_SEED})"
-_ROSTER = f"""WITH found AS (SELECT id, song, label, {_COST} AS c, row_number() OVER (ORDER BY {_COST}, id) AS r FROM ({_FROM})),
- kept AS (SELECT * FROM found WHERE r <= 16 + (SELECT count(*) FROM {_TAKEN}) AND id NOT IN (SELECT id FROM {_TAKEN}) AND song NOT IN (SELECT song FROM {_TAKEN})),
+_ROSTER = f"""WITH found AS (SELECT id, song, label, {_COST} AS c FROM ({_FROM})),
+ kept AS (SELECT * FROM found WHERE id NOT IN (SELECT id FROM {_TAKEN}) AND song NOT IN (SELECT song FROM {_TAKEN})),
  voices AS (SELECT label, min(c) AS cost, arg_min(id, (c, id)) AS id, count(*) AS copies FROM kept GROUP BY label)
  SELECT id, round(cost, 6) AS cost, copies, CAST(row_number() OVER (ORDER BY cost, id) AS INT) AS place FROM voices ORDER BY place LIMIT 8"""
 

@@ -57,7 +57,7 @@ def auto_chain(spark, sf):
 def journeys(spark, sf):
     rows = arcs.measures(tracks(spark, sf))
     ends = _ends(spark, sf)
-    asked = ends.select(F.lit(1).alias("request"), "start", "end", F.lit(8).alias("n"))
+    asked = ends.select(F.lit(1).alias("request"), "start", "end", F.lit(8).alias("n"), F.lit(240).alias("reach"))
     return sequences.journeys(rows, asked, F.col("song"), w_arc=0.5)
 
 
