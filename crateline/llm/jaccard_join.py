@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
-from .common import arrow_step, code_tokens, columns_of, hash_tokens, mixed, store, table, words_of
+from .common import arrow_step, code_tokens, columns_of, distinct, hash_tokens, mixed, store, table, words_of
 from .registry import query
 
 T, DEPTH, SMALL, BLOCK = 64, 3, 128, 1024
@@ -38,7 +38,7 @@ def shingles(texts: list[str | None], size: int) -> list[np.ndarray]:
         key = np.full(max(0, len(own) - width + 1) if width else 0, width, np.uint64)
         for k in range(width):
             key = key * _M + own[k:k + len(key)]
-        found.append(np.unique(mixed(key)))
+        found.append(distinct(mixed(key)))
     return found
 
 

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import columns_of, discard, mixed, steps, store, table
+from .common import columns_of, discard, distinct, mixed, steps, store, table
 from .exchange import MESSAGE, answer, ask, gather, joined, packed, rows, slices, unpacked
 from .registry import query
 
@@ -177,9 +177,9 @@ def _regions(chunk, held):
 def _probes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows of a region at its ends and at its anchors; the anchors' places by window, and the hashes."""
     place, key = anchors_at(data)
-    at = np.unique(place)
+    at = distinct(place)
     last = len(place) - 1
-    starts = np.unique(np.concatenate([[0, last], at[at <= last], at[at >= REACH] - REACH]))
+    starts = distinct(np.concatenate([[0, last], at[at <= last], at[at >= REACH] - REACH]))
     return starts, place, key
 
 
