@@ -173,7 +173,8 @@ def page_addresses(spark, sf):
     return table(spark, sf, "pages").select("page_id", file_uri_path(uri).alias("path"))
 
 
-@query("S11_shelf_files", f"""SELECT CAST(playlist AS VARCHAR) AS playlist, count(*) AS tracks FROM (SELECT o_orderpriority AS playlist FROM orders) GROUP BY 1""")
+@query("S11_shelf_files", """SELECT CAST(o_orderpriority AS VARCHAR) AS playlist, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS pos,
+ '/o/' || CAST(o_orderkey AS VARCHAR) AS path FROM orders""")
 def shelf_files(spark, sf):
     """Five playlists of orders, written as files and read back by their folder."""
     orders = table(spark, sf, "orders")
@@ -183,8 +184,7 @@ def shelf_files(spark, sf):
                            F.lit("").alias("artist"), F.lit(1.0).alias("duration"))
     folder = _scratch(spark, "shelf")
     playlist_files.write_m3u8(rows, folder)
-    back = spark.read.schema("value string, playlist string").text(folder)
-    return back.filter(F.col("value").startswith("/")).groupBy("playlist").agg(F.count("*").alias("tracks"))
+    return playlist_files.read_shelf(spark, folder)
 
 
 _JOURNAL = "SELECT event_id, event_type, CAST(user_id AS BIGINT) AS user_id FROM events"

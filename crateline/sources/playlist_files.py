@@ -11,6 +11,10 @@ from ..functions.text import file_uri_path
 from ..plans.ordered import positions
 
 
+#: Lines of one written file at most, so that a reader may take a file whole.
+FILE_LINES = 100_000
+
+
 def m3u8_lines(entries: DataFrame, playlist: str = "playlist", pos: str = "pos") -> DataFrame:
     """The lines of every playlist, numbered; the header has the lowest number."""
     title = F.when(F.coalesce("artist", F.lit("")) != "", F.concat("artist", F.lit(" - "), "name")).otherwise(F.col("name"))
@@ -24,9 +28,9 @@ def m3u8_lines(entries: DataFrame, playlist: str = "playlist", pos: str = "pos")
 
 
 def write_m3u8(entries: DataFrame, folder: str, playlist: str = "playlist", pos: str = "pos") -> None:
-    """A folder per playlist; a long playlist is cut into files whose names keep the order."""
+    """A folder per playlist; a long playlist is cut into files of bounded length whose names keep the order."""
     lines = m3u8_lines(entries, playlist, pos).repartitionByRange(playlist, "line_no").sortWithinPartitions(playlist, "line_no")
-    lines.select(playlist, "line").write.mode("overwrite").partitionBy(playlist).text(folder)
+    lines.select(playlist, "line").write.mode("overwrite").option("maxRecordsPerFile", FILE_LINES).partitionBy(playlist).text(folder)
 
 
 def parse_m3u8(lines: DataFrame, order: Seq[Column | str], playlist: str = "playlist", line: str = "line") -> DataFrame:
@@ -45,6 +49,13 @@ def read_m3u8(spark: SparkSession, pattern: str) -> DataFrame:
     return parse_m3u8(lines, ["line_no"])
 
 
+def read_shelf(spark: SparkSession, folder: str) -> DataFrame:
+    """Playlists as ``write_m3u8`` leaves them: one folder each, lines in the order of files and lines."""
+    whole = spark.read.schema("value string, playlist string").text(folder, wholetext=True).select("playlist", F.col("_metadata.file_name").alias("file"), "value")
+    lines = whole.select("playlist", "file", F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
+    return parse_m3u8(lines, ["file", "line_no"])
+
+
 def shelf_names(entries: DataFrame, playlist: str = "playlist") -> DataFrame:
     return entries.select(playlist).distinct().orderBy(F.lower(playlist), playlist)
 

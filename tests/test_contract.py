@@ -57,6 +57,13 @@ def test_playlists_read_back_in_order(spark, tmp_path):
     assert rows(found, "playlist", "pos", "path") == [("night", 0, "/b c.mp3"), ("night", 1, "/a +x.mp3"), ("night", 2, "/b c.mp3")]
 
 
+def test_a_shelf_reads_back_as_it_was_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(playlist_files, "FILE_LINES", 4)  # several files for one playlist
+    entries = [(p, i, f"/{p}/{(i * 7) % 10}", "n", "a", 1.0) for p in ("night", "day") for i in range(10)]
+    playlist_files.write_m3u8(spark.createDataFrame(entries, "playlist string, pos long, path string, name string, artist string, duration double"), str(tmp_path / "s"))
+    assert rows(playlist_files.read_shelf(spark, str(tmp_path / "s")), "playlist", "pos", "path") == sorted(e[:3] for e in entries)
+
+
 def test_journal_passes_broken_lines(spark, tmp_path):
     (tmp_path / "j.jsonl").write_text('{"at":"2024-01-01T10:00:00","kind":"pick","path":"/a"}\n{"at": "20\n')
     schema = T.StructType([T.StructField("at", T.TimestampType()), T.StructField("kind", T.StringType()), T.StructField("path", T.StringType())])
