@@ -316,10 +316,24 @@ def fingerprint(spark, sf):
     return segments.fingerprint(tracks(spark, sf)).select("id", "column", F.round("value", 6).alias("value"))
 
 
-@query("P18_window_starts", with_catalogue("""SELECT id, CASE WHEN duration <= 10 THEN 1 ELSE NULL END AS short, greatest(0e0, (duration - 30) / 2) AS rhythm FROM catalogue"""))
+def _starts_sql():
+    kept = "SELECT id, duration, CAST([] AS DOUBLE[]) AS l FROM catalogue WHERE duration > 10"
+    for i in range(12):
+        start = f"least(greatest(0e0, duration * {(i + 0.5) / 12!r}::DOUBLE - 5e0), duration - 10e0)"
+        kept = f"SELECT id, duration, CASE WHEN len(l) > 0 AND {start} - l[-1] <= 2.5e0 THEN l ELSE list_append(l, {start}) END AS l FROM ({kept})"
+    told = "SELECT id, len(l) AS windows, round(list_sum(l), 6) AS total, round(l[-1], 6) AS last"
+    return f"{told} FROM ({kept}) UNION ALL SELECT id, 1, CASE WHEN duration IS NULL THEN NULL ELSE 0e0 END, 0e0 FROM catalogue WHERE duration <= 10"
+
+
+@query("P18_window_starts", with_catalogue(_starts_sql()))
 def window_starts(spark, sf):
-    starts = segments.window_starts(F.col("duration"))
-    return catalogue(spark, sf).select("id", F.when(F.col("duration") <= 10, F.size(starts)).alias("short"), segments.rhythm_start(F.col("duration")).alias("rhythm"))
+    rows = catalogue(spark, sf).filter(F.col("duration").isNotNull()).select("id", segments.window_starts(F.col("duration")).alias("s"))
+    return rows.select("id", F.size("s").alias("windows"), F.round(F.aggregate("s", F.lit(0.0), lambda t, x: t + x), 6).alias("total"), F.round(F.element_at("s", -1), 6).alias("last"))
+
+
+@query("P18_rhythm_start", with_catalogue("SELECT id, greatest(0e0, (duration - 30) / 2) AS rhythm FROM catalogue"))
+def rhythm_start(spark, sf):
+    return catalogue(spark, sf).select("id", segments.rhythm_start(F.col("duration")).alias("rhythm"))
 
 
 # --- structure: the vectors of one label, in id order, are the beats of a track --------------
@@ -361,16 +375,15 @@ _SNAP_MARKS = "SELECT vec_id AS track, 0 AS mark, 3e0 + vec_id % 3 AS time, 5e-1
 
 
 @query("W21_snapped_times", f"""WITH m AS ({_SNAP_MARKS}), e AS (SELECT track, pos * 0.11e0 AS t, abs(v) AS env FROM ({FRAMES})),
- j AS (SELECT m.*, CAST(floor((t - (time - 16 * period)) / period * 192 - floor((t - (time - 16 * period)) / period) * 192) AS INT) % 192 AS b, env FROM m JOIN e ON e.track = m.track AND t >= time - 16 * period AND t <= time + 16 * period),
- s AS (SELECT track, time, period, b, sum(env) AS x FROM j GROUP BY ALL), p AS (SELECT track, time, period, arg_max(b, (x, -b)) AS b FROM s GROUP BY ALL)
- SELECT track, 0 AS mark, 1 AS met FROM p""")
+ j AS (SELECT m.*, CAST(floor((((t - (time - 16 * period)) % period + period) % period) / period * 192) AS INT) % 192 AS b, env FROM m JOIN e ON e.track = m.track AND t >= time - 16 * period AND t <= time + 16 * period),
+ s AS (SELECT track, mark, time, period, b, sum(env) AS x FROM j GROUP BY ALL), q AS (SELECT track, mark, time, period, arg_max(b, (x, -b)) AS b FROM s GROUP BY ALL),
+ p AS (SELECT track, mark, (b + 5e-1) / 192 * period + time - period * 16 AS phase FROM q)
+ SELECT m.track, m.mark, round(coalesce(phase + round_even((m.time - phase) / m.period, 0) * m.period, m.time), 5) AS snapped FROM m LEFT JOIN p ON p.track = m.track AND p.mark = m.mark""")
 def snapped_times(spark, sf):
     rows = frames(spark, sf)
     marks = spark.sql(_SNAP_MARKS.replace("FROM embeddings", "FROM {e}"), e=table(spark, sf, "embeddings"))
     env = rows.select("track", (F.col("pos") * 0.11).alias("t"), F.abs("v").alias("env"))
-    found = structure.snap(marks, env, width=4.0)
-    near = F.abs(F.col("snapped") - F.col("time")) <= F.col("period") / 2 + 1e-9
-    return found.select("track", "mark", near.cast("int").alias("met"))
+    return structure.snap(marks, env, width=4.0).select("track", "mark", F.round("snapped", 5).alias("snapped"))
 
 
 # --- strokes: the events of a user in time order ---------------------------------------------
