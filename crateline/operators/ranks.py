@@ -29,20 +29,20 @@ def weighted_mean(ranks: Seq[str], weights: Seq[float] | None = None) -> Column:
     return F.when(under > 0, top / under)
 
 
-def mix(df: DataFrame, columns: Seq[str], out: str, weights: Seq[float] | None = None) -> DataFrame:
+def mix(df: DataFrame, columns: Seq[str], out: str, weights: Seq[float] | None = None, key: str | None = None) -> DataFrame:
     names = [f"_rank{i}" for i in range(len(columns))]
-    ranked = with_ranks(df, dict(zip(names, columns)))
+    ranked = with_ranks(df, dict(zip(names, columns)), key=key)
     return ranked.withColumn(out, weighted_mean(names, weights)).drop(*names)
 
 
-def spread(df: DataFrame, columns: Seq[str], out: str, weights: Seq[float] | None = None) -> DataFrame:
+def spread(df: DataFrame, columns: Seq[str], out: str, weights: Seq[float] | None = None, key: str | None = None) -> DataFrame:
     """Rank of the mix: uniform over the catalogue. The mix is read twice, so it is written once."""
-    mixed = cut(mix(df, columns, "_mix", weights))
-    return with_rank(mixed, "_mix", out).drop("_mix")
+    mixed = cut(mix(df, columns, "_mix", weights, key))
+    return with_rank(mixed, "_mix", out, key=key).drop("_mix")
 
 
-def energy(df: DataFrame, out: str = "energy", columns: Seq[str] = INGREDIENTS) -> DataFrame:
-    return spread(df, columns, out)
+def energy(df: DataFrame, out: str = "energy", columns: Seq[str] = INGREDIENTS, key: str | None = None) -> DataFrame:
+    return spread(df, columns, out, key=key)
 
 
 def levels(df: DataFrame, columns: Seq[str], out: str) -> DataFrame:

@@ -41,8 +41,8 @@ def valence(stored: str = "valence", words: str = "moods") -> Column:
 
 def library_frame(df: DataFrame) -> DataFrame:
     """Derived measures over all rows, then only the rows placed on the map."""
-    whole = ranks.energy(df.withColumn("valence", valence()))
-    ranked = with_rank(whole, "valence", "valence_rank")
+    whole = ranks.energy(df.withColumn("valence", valence()), key="id")
+    ranked = with_rank(whole, "valence", "valence_rank", key="id")
     return ranked.filter(F.col("x").isNotNull()).withColumns({
         "genre_list": labels("genres"), "mood_list": labels("moods")})
 

@@ -98,11 +98,15 @@ def quantiles(df: DataFrame, column: Column | str, shares: Seq[float], by: Seq[s
                          F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n"))
 
 
-def with_ranks(df: DataFrame, columns: dict[str, str], by: Seq[str] = ()) -> DataFrame:
+def with_ranks(df: DataFrame, columns: dict[str, str], by: Seq[str] = (), key: str | None = None) -> DataFrame:
     """Add the percentile rank of each numeric column under its new name; missing stays missing.
 
-    Every value table reads ``df`` itself, so k columns cost k + 1 reads of it.
+    With ``key``, a column that is unique in ``df``, all columns are ranked as one table of
+    (key, column, value) without missing values, and whole rows are joined once. Without it every
+    value table reads ``df`` itself and whole rows are joined once per column.
     """
+    if key is not None:
+        return _ranked_by_key(df, columns, by, key)
     keys = {out: f"_v{i}" for i, out in enumerate(columns)}
     source = df.select(*df.columns, *[finite(c).alias(keys[out]) for out, c in columns.items()])
     points = split_points(source, list(keys.values()))
@@ -113,8 +117,16 @@ def with_ranks(df: DataFrame, columns: dict[str, str], by: Seq[str] = ()) -> Dat
     return joined.select(*df.columns, *columns)
 
 
-def with_rank(df: DataFrame, column: str, out: str, by: Seq[str] = ()) -> DataFrame:
-    return with_ranks(df, {out: column}, by)
+def _ranked_by_key(df: DataFrame, columns: dict[str, str], by: Seq[str], key: str) -> DataFrame:
+    told = F.array(*[F.struct(F.lit(i).alias("_m"), finite(c).alias("_v")) for i, c in enumerate(columns.values())])
+    long = df.select(F.col(key).alias("_key"), *by, F.inline(told)).filter(F.col("_v").isNotNull())
+    ranked = long.join(value_ranks(long, "_v", [*by, "_m"], "_rank"), [*by, "_m", "_v"])
+    wide = ranked.groupBy("_key").agg(*[F.max(F.when(F.col("_m") == i, F.col("_rank"))).alias(out) for i, out in enumerate(columns)])
+    return df.join(wide, df[key] == wide["_key"], "left").select(*[df[c] for c in df.columns], *columns)
+
+
+def with_rank(df: DataFrame, column: str, out: str, by: Seq[str] = (), key: str | None = None) -> DataFrame:
+    return with_ranks(df, {out: column}, by, key)
 
 
 def middle_values(df: DataFrame, column: Column | str, by: Seq[str] = (), out: str = "middle") -> DataFrame:

@@ -52,7 +52,7 @@ def rank_of_the_mix(spark, sf):
 
 @query("A4_energy_of_rows", with_catalogue(f"SELECT id, round(energy, 6) AS energy FROM ({ENERGY_SQL})"))
 def energy_of_rows(spark, sf):
-    return ranks.energy(catalogue(spark, sf)).select("id", F.round("energy", 6).alias("energy"))
+    return ranks.energy(catalogue(spark, sf), key="id").select("id", F.round("energy", 6).alias("energy"))
 
 
 LEVEL_SQL = "CASE WHEN {0} IS NULL THEN NULL ELSE CAST(least(10, greatest(1, 1 + floor({0} * 10))) AS INT) END"
@@ -69,7 +69,7 @@ def levels(spark, sf):
     "WHERE (bpm IS NULL OR bpm BETWEEN 100 AND 140) AND camelot IN ('8A', '8B', '7A', '9A') "
     "AND (energy IS NULL OR energy BETWEEN 0.2 AND 1.0) ORDER BY bpm NULLS LAST, id LIMIT 20"))
 def flagship_ranked_filter(spark, sf):
-    ranked = ranks.energy(catalogue(spark, sf))
+    ranked = ranks.energy(catalogue(spark, sf), key="id")
     kept = filter_rows(ranked.withColumn("genre_list", labels("genres")).withColumn("mood_list", labels("moods")),
                        Wanted(keys=["8A", "8B", "7A", "9A"], bpm=(100, 140), energy=(0.2, 1.0)))
     return order_by(kept, "bpm", ["id"]).limit(20).select("id", "path", "bpm", "camelot", fmt.decile("energy").alias("level"))
