@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
-from .common import arrow_step, code_tokens, columns_of, distinct, hash_tokens, mixed, store, table, words_of
+from .common import arrow_step, code_tokens, columns_of, discard, distinct, hash_tokens, mixed, store, table, words_of
 from .registry import query
 
 T, DEPTH, SMALL, BLOCK = 64, 3, 128, 1024
@@ -93,10 +93,10 @@ def _leaves(sets: DataFrame, threshold: float, runs: int) -> DataFrame:
     """``leaf, size, key`` of the nodes that are compared by brute force."""
     level, leaves = _paths(sets.select("key", "sig"), threshold, runs), None
     for depth in range(1, DEPTH + 1):
-        level, _ = store(level, f"paths-{depth}")
+        level, path = store(level, f"paths-{depth}")
         sizes = level.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1")
-        met = level.join(sizes, "node")
-        met = cut(met)
+        met = cut(level.join(sizes, "node"))
+        discard(sets.sparkSession, path)
         done = met if depth == DEPTH else met.filter(F.col("size") <= SMALL)
         done = done.select(F.col("node").alias("leaf"), "size", "key")
         leaves = done if leaves is None else leaves.unionByName(done)
@@ -216,7 +216,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
                 some[i] = some[j] = True
             yield from held["table"].filter(pa.array(some)).to_batches()
 
-    likely_rows, _ = store(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(likely, _CELL), "likely")
+    likely_rows, likely_path = store(cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(likely, _CELL), "likely")
     wanted = likely_rows.select("key").distinct().join(sets.select("key", "rep"), "key")
     texts = docs.join(wanted, F.coalesce("doc_id", F.lit(_LAST)) == F.col("rep")).select("key", "text")
     whole = arrow_step(texts, lambda step: _whole(step, size), "key binary, hashes binary")
@@ -248,6 +248,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
 
     exact = likely_rows.join(whole, "key").dropDuplicates(["cell", "key"])
     stars, _ = store(exact.repartition("cell").sortWithinPartitions("cell").mapInArrow(verify, "key binary, links long, root binary"), "stars")
+    discard(docs.sparkSession, likely_path)
     links = stars.groupBy("key").agg(F.sum("links").alias("n_links"))
     part = components(stars.select("key", "root"))
     grouped = links.join(part, "key", "left").join(sets.select("key", "rep"), "key")
