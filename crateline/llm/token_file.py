@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, new_path, steps, store, table
+from .common import columns_of, discard, new_path, steps, store, table
 from .registry import query
 from .tokens import coder, vocabulary
 
@@ -176,7 +176,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int = 2, bits: int
     null id comes first; rows that repeat an id follow each other in the order of a hash of their
     text; a document longer than a block is a block of its own; an empty table gives no blocks.
     """
-    raw, _ = store(_coded(columns_of(docs, id_col, text_col), path, end_id, block), "token-blocks", compression="zstd")
+    raw, raw_path = store(_coded(columns_of(docs, id_col, text_col), path, end_id, block), "token-blocks", compression="zstd")
     tables, counts = to + "/frequencies", np.zeros(1 << 16, np.int64)
     for i, n in raw.select("ids").mapInArrow(_binned, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row per symbol
         counts[i] = n
@@ -195,6 +195,7 @@ def write_tokens(docs: DataFrame, to: str, path: str, end_id: int = 2, bits: int
 
     placed = raw.join(F.broadcast(base), "part").select((F.col("base") + F.col("before")).alias("first"), "doc_ids", "lengths", "ids")
     placed.mapInArrow(encode, "first long, data binary").write.option("compression", "uncompressed").parquet(to + "/blocks")
+    discard(docs.sparkSession, raw_path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

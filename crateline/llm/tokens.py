@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
+from collections.abc import Callable
 
 import numpy as np
 
-from .common import kept
+from .common import kept, mixed
 
-#: Coded segments that a worker remembers; all are forgotten when there are more.
-MEMO = 400_000
-_TOUCH, _SAFE = re.compile(r" \s|\s |\x00"), re.compile(r"(?<=\S)(?= \S)")
+#: Coded segments that a worker's table remembers at most, and coded parts of segments at least.
+SEGMENTS, PARTS = 1 << 20, 250_000
+#: Longer segments are not remembered; text bytes coded together.
+LONGEST, BATCH_BYTES = 32, 4 << 20
+_LETTER, _OTHER = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-@\[-`{-~]"
+#: Segments in which letters, other signs and single line ends follow each other, without apostrophes; and their parts.
+_PLAIN, _PART = re.compile(f"(?: ?{_LETTER}++| ?{_OTHER}++|\n(?!\\s))++"), re.compile(f" ?{_LETTER}+| ?{_OTHER}+|\n")
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -25,12 +31,98 @@ def coder(path: str) -> Coder:
     return kept(f"coder {path}", lambda: Coder(path))
 
 
+class Recent(dict):
+    """A memo of two generations: what is used again moves to the newer, and the older is forgotten."""
+
+    def __init__(self, size: int, make: Callable[[str], bytes]):
+        super().__init__()
+        self.size, self.make, self.old = size, make, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
+        return value
+
+    def age(self) -> None:
+        if len(self) > self.size:
+            self.old = dict(self)
+            self.clear()
+
+
+class Segments:
+    """An open-addressing table from segments of at most ``LONGEST`` bytes, as four words, to their ids; whole columns are looked up at once."""
+
+    def __init__(self, most: int):
+        self.most, self.mask = most, np.uint64((1 << (4 * most - 1).bit_length()) - 1)
+        self._empty()
+
+    def _empty(self) -> None:
+        self.slot = np.full(int(self.mask) + 1, -1, np.int32)
+        self.words, self.at, self.n, self.used = np.zeros((self.most, 4), np.uint64), np.zeros(self.most, np.int64), np.zeros(self.most, np.int32), np.zeros(self.most, bool)
+        self.size, self.pool, self.end = 0, np.zeros(1 << 20, np.uint32), 0
+
+    def find(self, words: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The entry of each column of words, or -1."""
+        out, todo, place = np.full(len(key), -1, np.int64), np.arange(len(key)), key & self.mask
+        while len(todo):
+            entry = self.slot[place]
+            there = entry >= 0
+            todo, place, entry = todo[there], place[there], entry[there]
+            same = (self.words[entry] == words[todo]).all(axis=1)
+            out[todo[same]] = entry[same]
+            todo, place = todo[~same], (place[~same] + np.uint64(1)) & self.mask
+        self.used[out[out >= 0]] = True
+        return out
+
+    def add(self, words: np.ndarray, key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
+        """New, distinct segments and their ids one after the other."""
+        if self.size + len(key) > self.most:
+            self._keep_used(len(key))
+        if len(key) > self.most - self.size:
+            return
+        while self.end + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
+        entry = np.arange(self.size, self.size + len(key))
+        self.words[entry], self.n[entry], self.at[entry] = words, n, self.end + np.cumsum(n) - n
+        self.used[entry] = True
+        self.pool[self.end:self.end + len(ids)] = ids
+        self.size, self.end = self.size + len(key), self.end + len(ids)
+        place = key & self.mask
+        while len(entry):
+            free = self.slot[place] < 0
+            self.slot[place[free]] = entry[free]
+            left = self.slot[place] != entry
+            entry, place = entry[left], (place[left] + np.uint64(1)) & self.mask
+
+    def _keep_used(self, wanted: int) -> None:
+        """Forget what was not used since the last time; everything, if that is not enough."""
+        keep = np.flatnonzero(self.used[:self.size])
+        words, n = self.words[keep], self.n[keep]
+        ids = self.pool[_ranges(self.at[keep], n)]
+        self._empty()
+        if len(keep) + wanted <= self.most // 2:
+            self.add(words, _key(words), ids, n)
+            self.used[:] = False
+
+
+def _key(words: np.ndarray) -> np.ndarray:
+    return mixed(words[:, 0] ^ mixed(words[:, 1] ^ mixed(words[:, 2] ^ mixed(words[:, 3]))))
+
+
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``at[i] ... at[i] + n[i] - 1`` for all i in turn."""
+    ends = np.cumsum(n)
+    return np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Coder:
     """Codes texts by segments.
 
     The vocabulary's own pattern never joins text across a single space between two characters that
     are not blank, so a text may be cut before each such space, the segments coded alone, and the
-    ids of a segment remembered.
+    ids of a segment remembered. Plain segments are made of parts that the pattern keeps apart, too.
     """
 
     def __init__(self, path: str):
@@ -39,24 +131,70 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.parts = Recent(PARTS, lambda part: array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes())
+        self.segments = Segments(SEGMENTS)
+        solid = np.zeros(256, bool)  # last bytes and first bytes of characters that are surely not blank
+        solid[0x21:0x7F] = True
+        self.solid, self.lead = solid, np.zeros(256, bool)
+        self.lead[0xC3:0xE0] = True
+        self.low = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
     def code(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
-        cut = [self._segments(t) if t else [] for t in texts]
-        known = set().union(*cut)
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        new = list(known - self.memo.keys())
-        for at in range(0, len(new), 20_000):
-            part = new[at:at + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            ends = np.cumsum([0, *map(len, ids)]) * 4
-            packed = np.fromiter((x for i in ids for x in i), "<u4", ends[-1] // 4).tobytes()
-            self.memo.update(zip(part, (packed[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), strict=True))
-        get = self.memo.__getitem__
-        return [b"".join(map(get, segments)) for segments in cut]
-
-    @staticmethod
-    def _segments(text: str) -> list[str]:
-        return _SAFE.split(text) if _TOUCH.search(text) else text.replace(" ", "\0 ").split("\0")
+        data, found, at, size = [(t or "").encode() for t in texts], [], 0, 0
+        for k, text in enumerate(data):
+            size += len(text)
+            if size > BATCH_BYTES or k == len(data) - 1:
+                found += self._code(data[at:k + 1])
+                at, size = k + 1, 0
+        return found
+
+    def _code(self, texts: list[bytes]) -> list[bytes]:
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        total = int(sizes.sum())
+        if not total:
+            return [b""] * len(texts)
+        data = np.frombuffer(b"\0\0" + b"".join(texts) + bytes(LONGEST + 8), np.uint8)[2:]
+        firsts = (np.cumsum(sizes) - sizes)[sizes > 0]
+        spaces = np.flatnonzero(data[:total] == 0x20)
+        before, earlier, after = data[spaces - 1], data[np.maximum(spaces - 2, 0)], data[spaces + 1]
+        cut = (self.solid[before] | ((before >= 0x80) & self.lead[earlier])) & (self.solid[after] | self.lead[after]) & (spaces > 1)
+        starts = np.zeros(total, bool)
+        starts[firsts] = starts[spaces[cut]] = True
+        start = np.flatnonzero(starts)
+        size = np.diff(np.concatenate([start, [total]]))
+        words = np.zeros((len(start), 4), np.uint64)
+        every = np.ndarray((total + LONGEST,), "<u8", data, 0, (1,))
+        for k in range(4):
+            long = np.flatnonzero(size > 8 * k) if k else slice(None)
+            words[long, k] = every[start[long] + 8 * k] & self.low[np.minimum(size[long] - 8 * k, 8)]
+        # A segment with trailing zero bytes must not look like a shorter one: zeros are never remembered.
+        plain = (size <= LONGEST) & (data[start + size - 1] != 0)
+        key, entry = _key(words), np.full(len(start), -1, np.int64)
+        entry[plain] = self.segments.find(words[plain], key[plain])
+        table = self.segments
+        lost = np.flatnonzero(entry < 0)
+        own, n = table.at[entry], table.n[entry].astype(np.int64)
+        pool, new = table.pool, {}
+        if len(lost):
+            self.parts.age()
+            get, raw = self.parts.__getitem__, data[:total].tobytes()
+            names = [raw[a:b] for a, b in zip(start[lost].tolist(), (start + size)[lost].tolist(), strict=True)]
+            for name in names:
+                if name not in new:
+                    text = name.decode()
+                    new[name] = b"".join(map(get, _PART.findall(text) if _PLAIN.fullmatch(text) else [text]))
+            counts = dict(zip(new, np.fromiter((len(v) // 4 for v in new.values()), np.int64, len(new)), strict=True))
+            ids = np.frombuffer(b"".join(new.values()), np.uint32)
+            places = dict(zip(new, (np.cumsum(list(counts.values())) - list(counts.values())).tolist(), strict=True))
+            own[lost] = table.end + np.fromiter(map(places.__getitem__, names), np.int64, len(names))
+            n[lost] = np.fromiter(map(counts.__getitem__, names), np.int64, len(names))
+            pool = np.concatenate([pool[:table.end], ids])
+            _, one = np.unique(own[lost], return_index=True)
+            one = lost[one]
+            one = one[plain[one]]
+            table.add(words[one], key[one], pool[_ranges(own[one], n[one])], n[one])
+        out = pool[_ranges(own, n)].astype("<u4")
+        raw, upto = out.tobytes(), np.concatenate([[0], np.cumsum(n)])
+        ends = (4 * upto[np.searchsorted(start, np.cumsum(sizes))]).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
