@@ -123,10 +123,15 @@ def train(docs: DataFrame, path: str, per_language: int = 2000, rounds: int = 4,
     their id: a bounded sample for the fit alone. Nothing else is bounded.
     """
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id"))
-    chosen = known.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("doc_id", "lang").distinct()
-    sample = known.join(chosen.withColumnsRenamed({"doc_id": "chosen_id", "lang": "chosen_lang"}),
-                        F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("of")).collect()  # one row per language
+    # First a share of each language that holds somewhat more than the sample, by hash; then the exact smallest among those.
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
+    limit = F.coalesce(*(F.when(F.col("lang") == name, F.lit(int(min(1.0, (1.2 * per_language + 50) / of) * (1 << 30)))) for name, of in sizes), F.lit(0))
+    order = Window.partitionBy("lang").orderBy("place", "doc_id")
+    chosen = known.select("doc_id", "lang", place.alias("place")).filter(F.col("place") < limit).withColumn("k", F.row_number().over(order))
+    chosen = chosen.filter(F.col("k") <= per_language).select(F.col("doc_id").alias("chosen_id"), F.col("lang").alias("chosen_lang")).distinct()
+    # At most ``per_language`` ids of each language.
+    sample = known.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("chosen_id")) & (F.col("lang") == F.col("chosen_lang"))).select("lang", "text")
 
     def split(step: pa.RecordBatch) -> pa.RecordBatch:
         lang, text = (step.column(k).to_pylist() for k in (0, 1))
