@@ -137,14 +137,22 @@ def _covered(size: int, starts: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which values are among ascending keys."""
+    at = np.searchsorted(keys, values)
+    return keys[np.minimum(at, len(keys) - 1)] == values if len(keys) else np.zeros(len(values), bool)
+
+
+def _anchored(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each anchor of a text in order, and how many windows have it."""
+    place, key = anchors_at(data)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
+    return key[place[first]], np.diff(np.concatenate([first, [len(place)]]))
+
+
 def _anchor_question(row):
     """The anchors of all documents of a chunk."""
-    found = []
-    for data in _each(row):
-        if len(data) >= SPAN:
-            place, key = anchors_at(data)
-            found.append(key[place[np.concatenate([[True], place[1:] != place[:-1]])]])
-    return _counted(_flat(found))
+    return _counted(_flat([_anchored(data)[0] for data in _each(row) if len(data) >= SPAN]))
 
 
 _BODY = "chunk long, sizes binary, text binary, homes binary"
@@ -161,34 +169,29 @@ def _regions(chunk, held):
     if not told:
         return []
     (twice,) = joined(told)
-    keys, _ = _anchor_question(row)
+    found = [_anchored(data) for data in _each(row)]
+    keys, _ = _counted(_flat([key for key, _ in found]))
     keys = keys[twice == 1]
     text, homes = [], []
-    for doc, data in enumerate(_each(row)):
-        if len(data) >= SPAN and len(keys):
-            place, key = anchors_at(data)
-            again = np.isin(key[place], keys)
-            for a, b in _runs(again):
-                text.append(data[a:b - 1 + SPAN])
-                homes.append((doc, a))
+    for doc, (data, (key, windows)) in enumerate(zip(_each(row), found, strict=True)):
+        again = np.repeat(_among(key, keys), windows)
+        for a, b in _runs(again):
+            text.append(data[a:b - 1 + SPAN])
+            homes.append((doc, a))
     return [_body(chunk, text, homes)] if text else []
 
 
-def _probes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a region at its ends and at its anchors; the anchors' places by window, and the hashes."""
+def _probes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Windows of a region at its ends and at its anchors, their fingerprints; each window's anchor and its hash."""
     place, key = anchors_at(data)
     at = distinct(place)
     last = len(place) - 1
     starts = distinct(np.concatenate([[0, last], at[at <= last], at[at >= REACH] - REACH]))
-    return starts, place, key
+    return starts, spans_at(blocks_at(data))[starts], place, key[place]
 
 
 def _probe_question(row):
-    found = []
-    for data in _each(row):
-        starts, _, _ = _probes(data)
-        found.append(spans_at(blocks_at(data))[starts])
-    return _counted(_flat(found))
+    return _counted(_flat([_probes(data)[1] for data in _each(row)]))
 
 
 class _Regions:
@@ -196,18 +199,17 @@ class _Regions:
 
     def __init__(self, held):
         self.row = next(r for r in held if r["kind"] == "body")
-        keys, _ = _probe_question(self.row)
         (twice,) = joined([r for r in held if r["kind"] == "probes"])
-        keys = keys[twice == 1]
         self.homes = unpacked(self.row["homes"])[0].reshape(-1, 2)
+        probes = [_probes(data) for data in _each(self.row)]
+        keys, _ = _counted(_flat([span for _, span, _, _ in probes]))
+        keys = keys[twice == 1]
         self.strings = []
-        for data in _each(self.row):
-            starts, place, key = _probes(data)
-            starts = starts[np.isin(spans_at(blocks_at(data))[starts], keys)]
-            covered = _covered(len(data), starts)
+        for data, (starts, span, place, key) in zip(_each(self.row), probes, strict=True):
+            covered = _covered(len(data), starts[_among(span, keys)])
             held_by = np.concatenate([[0], np.cumsum(covered)])
             open_window = held_by[SPAN:] - held_by[:-SPAN] < SPAN
-            self.strings.append((data, key[place], place - np.arange(len(place)), open_window, covered))
+            self.strings.append((data, key, place - np.arange(len(place)), open_window, covered))
 
     def needs(self):
         """Distinct anchors, and between which distances before their windows' anchors a window is not settled."""
