@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from ..plans.session import checkpoint_dir
 
 #: Text bytes of one Arrow step; rows are cut into steps of about this size before any Python work.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 3 << 20
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

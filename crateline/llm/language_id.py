@@ -21,7 +21,7 @@ from .registry import query
 
 #: Longer runs of letters are scored in cuts of this length.
 LONGEST = 24
-MEMO = 200_000
+MEMO = 120_000
 _MARK = "▁"
 _RUN = re.compile(r"[^\W\d_]+")
 
