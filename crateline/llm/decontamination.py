@@ -27,103 +27,173 @@ UNITS = frozenset(("mm cm m km inch inches foot feet ft yard yards mile miles g
 _NUMBER, _NAME, _UNIT, _END = 1, 2, 3, 4
 #: Bits of the fixed filter through which a document's windows pass before they are shuffled.
 FILTER_BITS = 24
-_WINDOW = "key long, size int, pos int, n_windows int, slots array<string>"
-
-
-def templates(texts: list[str | None]):
-    """For each text: hashes of its template tokens, which are placeholders, and the raw tokens."""
-    lists = [_TOKEN.findall(t) if t else [] for t in texts]
-    tokens, at, sizes = code_tokens(lists)
-    kind = np.array([_END if t in ".!?\n" else _NUMBER if t[0].isdigit() else _NAME if t[0].isupper() and not t[1:].isupper() else 0 for t in tokens], np.int8)
-    lower = [t.lower() for t in tokens]
-    unit = np.array([t in UNITS for t in lower], bool)
-    codes = hash_tokens([t.encode() for t in lower])
-    marks = hash_tokens([b"", b"<number>", b"<name>", b"<unit>"], 1)
-    stop = np.cumsum(sizes)
-    for a, b in zip((stop - sizes).tolist(), stop.tolist(), strict=True):
-        own = at[a:b]
-        k = kind[own] if len(own) else np.zeros(0, np.int8)
-        before = np.concatenate([[_END], k[:-1]]) if len(k) else k
+_WINDOW = "key long, size int, way int, pos int, n_windows int, need int, heavy boolean, slots array<string>"
+#: Ways to search a window: its tokens as they stand, lower-cased, or its template.
+_RAW, _TEMPLATE = 0, 1
+_MARKS = hash_tokens([b"", b"<number>", b"<name>", b"<unit>"], 1)
+
+
+class Scan:
+    """The tokens of some texts as one run of columns: raw codes, types, and the heads of name runs, which are the template's tokens."""
+
+    def __init__(self, texts: list[str | None]):
+        lists = [_TOKEN.findall(t) if t else [] for t in texts]
+        self.tokens, at, sizes = code_tokens(lists)
+        kind = np.array([_END if t in ".!?\n" else _NUMBER if t[0].isdigit() else _NAME if t[0].isupper() and not t[1:].isupper() else 0 for t in self.tokens], np.int8)
+        lower = [t.lower() for t in self.tokens]
+        unit = np.array([t in UNITS for t in lower], bool)
+        codes = hash_tokens([t.encode() for t in lower])
+        row, k = np.repeat(np.arange(len(texts)), sizes), kind[at]
+        before = np.concatenate([[_END], k[:-1]])[:len(k)]
+        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = _END
+        solid = k != _END
+        self.at, self.row, k, before = at[solid], row[solid], k[solid], before[solid]
+        self.code = codes[self.at]
         # A capital at a sentence's start is a name only if the text has it inside a sentence too.
-        inside = own[(k == _NAME) & (before != _END)]
-        k = np.where((k == _NAME) & (before == _END) & ~np.isin(own, inside), 0, k)
-        k = np.where(unit[own] & (before == _NUMBER), _UNIT, k) if len(own) else k
-        keep = (k != _END) & ~((k == _NAME) & (before == _NAME))
-        own, k = own[keep], k[keep]
-        yield np.where(k > 0, marks[np.minimum(k, 3)], codes[own]) if len(own) else np.zeros(0, np.uint64), k > 0, [tokens[i] for i in own.tolist()] if k.any() else None
-
-
-def windows(code: np.ndarray, slot: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each window of ``size`` tokens, and which windows have at least half of their tokens in words."""
-    n = len(code) - size + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, bool)
-    key = np.full(n, size, np.uint64)
+        start, place = (k == _NAME) & (before == _END), self.row * len(self.tokens) + self.at
+        self.kind = np.where(unit[self.at] & (before == _NUMBER), _UNIT, np.where(start & ~np.isin(place, place[(k == _NAME) & ~start]), 0, k))
+        head = ~((k == _NAME) & (before == _NAME))
+        self.head, self.run = np.flatnonzero(head), np.cumsum(head) - 1
+        count = lambda rows: np.bincount(rows, minlength=len(texts))
+        self.n_raw, self.n_template = count(self.row), count(self.row[self.head])
+        self.first_raw, self.first_run = np.cumsum(self.n_raw) - self.n_raw, np.cumsum(self.n_template) - self.n_template
+
+    def raw(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of ``size`` tokens as they stand, and which are placeholders by more than half."""
+        key, whole = _rolled(self.code, self.row, size, _RAW)
+        return whole, key[whole], 2 * _held(self.kind > 0, size)[whole] > size
+
+    def template(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts, as numbers of heads, and hashes of the windows of ``size`` template tokens, and which have at least half of their tokens in words."""
+        kind = self.kind[self.head]
+        key, whole = _rolled(np.where(kind > 0, _MARKS[np.minimum(kind, 3)], self.code[self.head]), self.row[self.head], size, _TEMPLATE)
+        return whole, key[whole], 2 * _held(kind > 0, size)[whole] <= size
+
+    def slots(self, run: int, size: int) -> list[str]:
+        own = self.head[run:run + size]
+        return [self.tokens[i] for i in self.at[own[self.kind[own] > 0]].tolist()]
+
+
+def _rolled(code: np.ndarray, row: np.ndarray, size: int, way: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every ``size`` neighbours, and the starts of those within one text."""
+    n = max(0, len(code) - size + 1)
+    key = np.full(n, size + (way << 32), np.uint64)
     for k in range(size):
         key = key * np.uint64(0x9E3779B97F4A7C15) + code[k:k + n]
-    held = np.concatenate([[0], np.cumsum(slot)])
-    return mixed(key), 2 * (held[size:] - held[:-size]) <= size
+    return mixed(key), np.flatnonzero(row[:n] == row[size - 1:size - 1 + n])
+
 
+def _held(slot: np.ndarray, size: int) -> np.ndarray:
+    held = np.concatenate([[0], np.cumsum(slot)])
+    return held[size:] - held[:-size]
 
-def _rows(ids: pa.Array, found) -> pa.RecordBatch:
-    row, key, size, pos, n, slots = zip(*found, strict=True) if found else ([],) * 6
-    return pa.RecordBatch.from_arrays(
-        [ids.take(pa.array(row, pa.int64())), pa.array(key, pa.int64()), pa.array(size, pa.int32()), pa.array(pos, pa.int32()), pa.array(n, pa.int32()), pa.array(slots, pa.list_(pa.string()))],
-        ["id", *(x.split()[0] for x in _WINDOW.split(", "))])
 
+def _windows_of(rows: DataFrame, fn) -> DataFrame:
+    """Rows of windows that ``fn`` finds in the scan of a step's texts: row, then the columns of ``_WINDOW``."""
+    names = ["id", *(x.split()[0] for x in _WINDOW.split(", "))]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
 
-def _windows_of(rows: DataFrame, sizes_of, passes=None) -> DataFrame:
-    """``id, key, pos, n_windows, slots`` of the windows of the sizes that ``sizes_of`` names for a text's length."""
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts = step.columns
-        found = []
-        for row, (code, slot, raw) in enumerate(templates(texts.to_pylist())):
-            for size in sizes_of(len(code)):
-                key, good = windows(code, slot, size)
-                if passes is not None and len(key):
-                    top = key >> np.uint64(64 - FILTER_BITS)
-                    good &= passes[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1) == 1
-                for p in np.flatnonzero(good).tolist():
-                    values = [raw[p + j] for j in np.flatnonzero(slot[p:p + size]).tolist()] if raw else []
-                    found.append((row, int(key[p].astype(np.int64)), size, p, len(key), values))
-        return _rows(ids, found)
+        found = list(fn(Scan(texts.to_pylist())))
+        row, *columns = zip(*found, strict=True) if found else ([],) * 9
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
 
     return arrow_step(rows, run, f"id long, {_WINDOW}")
 
 
+def _of_items(size: int, min_windows: int, min_tokens: int):
+    """The windows of items: all raw ones, and the template's usable ones where they can decide."""
+    def run(scan: Scan):
+        for n in range(1, size + 1):
+            start, key, heavy = scan.raw(n)
+            some = np.flatnonzero(_own(scan.n_raw, n, size)[scan.row[start]])
+            for p, x, h in zip(start[some].tolist(), key[some].astype(np.int64).tolist(), heavy[some].tolist(), strict=True):
+                row = int(scan.row[p])
+                of = int(scan.n_raw[row]) - n + 1
+                yield row, x, n, _RAW, p - int(scan.first_raw[row]), of, min(min_windows, of), h, []
+            if n < min_tokens:
+                continue
+            start, key, good = scan.template(n)
+            of_row = scan.row[scan.head[start]]
+            usable = np.bincount(of_row[good], minlength=len(scan.n_raw))
+            for p, x in zip(start[good & _own(scan.n_template, n, size)[of_row]].tolist(), key[good & _own(scan.n_template, n, size)[of_row]].astype(np.int64).tolist(), strict=True):
+                row = int(scan.row[scan.head[p]])
+                of, can = int(scan.n_template[row]) - n + 1, int(usable[row])
+                need = min(min_windows, of)
+                if can >= need or 2 * can >= of:
+                    yield row, x, n, _TEMPLATE, p - int(scan.first_run[row]), of, min(need, can), False, scan.slots(p, n)
+
+    return run
+
+
+def _own(n: np.ndarray, size: int, largest: int) -> np.ndarray:
+    """Texts of ``n`` tokens whose windows have ``size`` of them."""
+    return np.minimum(n, largest) == size
+
+
+def _of_documents(sizes: list[tuple[int, int]], largest: int, passes: np.ndarray):
+    """The windows of documents that pass the filter; short ones, which are whole items, once a text."""
+    def run(scan: Scan):
+        for way, n in sizes:
+            start, key, good = scan.raw(n) if way == _RAW else scan.template(n)
+            if way == _RAW:
+                good = np.ones(len(key), bool)
+            top = key >> np.uint64(64 - FILTER_BITS)
+            good &= passes[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1) == 1
+            start, key = start[good], key[good].astype(np.int64)
+            at = start if way == _RAW else scan.head[start]
+            row = scan.row[at]
+            if way == _RAW and n < largest:
+                _, one = np.unique(np.stack([row, key]), axis=1, return_index=True)
+                start, key, row = start[one], key[one], row[one]
+            pos = start - (scan.first_raw if way == _RAW else scan.first_run)[row]
+            for r, x, p, q in zip(row.tolist(), key.tolist(), start.tolist(), pos.tolist(), strict=True):
+                yield r, x, n, way, q, 0, 0, False, [] if way == _RAW else scan.slots(p, n)
+
+    return run
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_windows: int = 3, min_tokens: int = 5, id_col: str = "doc_id",
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of documents and the benchmark items they hold: ``doc_id, item_id, n_windows, coverage, same_values, contaminated``.
 
     A document holds an item if at least ``min_windows`` windows (all, if the item has fewer) of
-    ``size`` template tokens agree along one alignment with consistent slots. ``coverage`` is their
-    share of the item's windows; ``same_values`` tells a verbatim copy from a re-parameterised one.
-    Rules for odd input: items with fewer than ``size`` tokens are one window, those with fewer than
-    ``min_tokens`` are not searched; null and empty texts hold nothing and are held by nothing; rows
-    that repeat an id count as one document or item; null ids are one id; an empty table on either
-    side gives no rows.
+    ``size`` template tokens agree along one alignment with consistent slots. Windows of which more
+    than half are placeholders fit any text of their shape, so they count only where the same
+    lower-cased tokens stand: as many such windows of ``size`` raw tokens make a find too, and so
+    does the whole item as it stands, however short. Where fewer than ``min_windows`` windows of an item's
+    template are usable, these suffice if they are at least half of its windows; else only the raw tokens can tell.
+    ``coverage`` is the share of the item's windows found; ``same_values`` tells a verbatim copy from a
+    re-parameterised one. Rules for odd input: items with fewer than ``size`` tokens are one window,
+    those with fewer than ``min_tokens`` template tokens are found verbatim only; texts without a token hold
+    nothing and are held by nothing; rows that repeat an id count as one document or item; null ids
+    are one id; an empty table on either side gives no rows.
     """
-    one = lambda n: [min(n, size)] if n >= min_tokens else []
-    items = _windows_of(columns_of(benchmark, item_col, item_text_col), one)
-    items, _ = store(items.select("key", "size", F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "n_windows", F.col("slots").alias("item_slots")).distinct(), "benchmark-windows")
+    items = _windows_of(columns_of(benchmark, item_col, item_text_col), _of_items(size, min_windows, min_tokens))
+    items, _ = store(items.withColumnsRenamed({"id": "item_id", "pos": "item_pos", "slots": "item_slots"}).distinct(), "benchmark-windows")
     # A filter of fixed size: one bit for each leading value of a window's hash, at most 2 ** (FILTER_BITS - 6) rows.
     top = f"shiftrightunsigned(key, {64 - FILTER_BITS})"
     bits = items.groupBy(F.expr(f"shiftright({top}, 6)").alias("at")).agg(F.expr(f"bit_or(shiftleft(1L, cast({top} % 64 AS int)))").alias("bits"))
     passes = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     for at, value in bits.collect():
         passes[at] = value & (2**64 - 1)
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # at most ``size`` of them
-    found = _windows_of(columns_of(docs, id_col, text_col), lambda n: sizes, passes).select(
+    sizes = sorted(map(tuple, items.select("way", "size").distinct().collect()))  # at most ``size`` of them for each way
+    found = _windows_of(columns_of(docs, id_col, text_col), _of_documents(sizes, size, passes)).select(
         F.col("id").alias("doc_id"), "key", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
     met = found.join(items.drop("size"), "key").filter(F.size("doc_slots") == F.size("item_slots"))
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["doc_slots"].alias("b")))
-    lines = met.groupBy("doc_id", "item_id", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(
-        F.countDistinct("item_pos").alias("n_windows"), F.max("n_windows").alias("of"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+    lines = met.groupBy("doc_id", "item_id", "way", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(
+        F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(F.col("heavy"), F.col("item_pos"))).alias("n_heavy"), F.max("n_windows").alias("of"),
+        F.max("need").alias("need"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
     values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda z: z[side])))
-    good = lines.filter((F.col("n_windows") >= F.least(F.lit(min_windows), "of")) & (values("a") == F.size("slots")))
+    raw = F.col("way") == _RAW
+    enough = F.when(raw, (F.col("n_heavy") >= F.col("need")) | (F.col("n_windows") >= F.col("of"))).otherwise(F.col("n_windows") >= F.col("need"))
+    good = lines.filter(enough & (values("a") == F.size("slots")))
+    same = F.max(F.when(~raw, F.forall("slots", lambda z: z["a"] == z["b"])))
     return good.groupBy("doc_id", "item_id").agg(
         F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("of")).alias("coverage"),
-        F.max(F.forall("slots", lambda z: z["a"] == z["b"])).alias("same_values"), F.lit(True).alias("contaminated"))
+        F.coalesce(same, F.lit(True)).alias("same_values"), F.lit(True).alias("contaminated"))
 
 
 @query("op6_decontamination")

@@ -223,6 +223,15 @@ def test_asked_again_with_other_numbers_and_names(spark):
     assert decontamination.contaminated(frame(docs, "doc_id"), frame(bench, "item_id").limit(0)).count() == 0
 
 
+def test_exact_copies_of_slot_heavy_and_short_items_are_found(spark):
+    items = ["What is 12 + 15 + 3?", "Compute 12 + 15 - 3 + 8 * 4 / 2 and give 5 digits.", "Anna Smith, Bob Jones, Carl Lee", "Die Stadt Bonn am Rhein mit Schloss, Dom, Markt und Hafen",
+             "name a river"]
+    other = ["what is 13 + 15 + 3?", "Compute 12 + 15 - 3 + 8 * 4 / 2 and give 6 digits.", "Anna Smith, Bob Jones, Carl Low", "Die Stadt Köln am Main mit Turm, Tor, Haus und Hof", "name a lake"]
+    docs = [(k, prose(k, 40) + ". " + t + " " + prose(20 + k, 40)) for k, t in enumerate(items + other)]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.same_values) for r in found.collect()} == {(k, k, True) for k in range(len(items))} | {(8, 3, False)}  # the last with other names
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     folder = "/root/testdata/sf0.001"
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
