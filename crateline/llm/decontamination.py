@@ -27,9 +27,10 @@ UNITS = frozenset(("mm cm m km inch inches foot feet ft yard yards mile miles g
 _NUMBER, _NAME, _UNIT, _END = 1, 2, 3, 4
 #: Bits of the fixed filter through which a document's windows pass before they are shuffled.
 FILTER_BITS = 24
-_WINDOW = "key long, size int, way int, pos int, n_windows int, need int, heavy boolean, slots array<string>"
-#: Ways to search a window: its tokens as they stand, lower-cased, or its template.
-_RAW, _TEMPLATE = 0, 1
+_WINDOW = "key long, size int, way int, pos int, n_windows int, need int, heavy boolean, inside int, slots array<string>"
+#: Ways to search a window: its tokens as they stand, lower-cased, or its template, where capitals at a sentence's start are names as the text has it, always or never.
+_RAW, _TEXT, _NAMES, _WORDS = range(4)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _MARKS = hash_tokens([b"", b"<number>", b"<name>", b"<unit>"], 1)
 
 
@@ -49,9 +50,13 @@ class Scan:
         solid = k != _END
         self.at, self.row, k, before = at[solid], row[solid], k[solid], before[solid]
         self.code = codes[self.at]
-        # A capital at a sentence's start is a name only if the text has it inside a sentence too.
+        # A capital at a sentence's start may be a name: if the text has it inside a sentence too, always, or never.
         start, place = (k == _NAME) & (before == _END), self.row * len(self.tokens) + self.at
-        self.kind = np.where(unit[self.at] & (before == _NUMBER), _UNIT, np.where(start & ~np.isin(place, place[(k == _NAME) & ~start]), 0, k))
+        kind = np.where(unit[self.at] & (before == _NUMBER), _UNIT, k)
+        never, text = np.where(start, 0, kind), np.where(start & ~np.isin(place, place[(k == _NAME) & ~start]), 0, kind)
+        self.kinds = {_TEXT: text, _NAMES: kind, _WORDS: never}
+        # What a window's first token is must not depend on what stands before it.
+        self.firsts = {_TEXT: text, _NAMES: k, _WORDS: np.where(k == _NAME, 0, k)}
         head = ~((k == _NAME) & (before == _NAME))
         self.head, self.run = np.flatnonzero(head), np.cumsum(head) - 1
         count = lambda rows: np.bincount(rows, minlength=len(texts))
@@ -60,26 +65,44 @@ class Scan:
 
     def raw(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and hashes of the windows of ``size`` tokens as they stand, and which are placeholders by more than half."""
-        key, whole = _rolled(self.code, self.row, size, _RAW)
-        return whole, key[whole], 2 * _held(self.kind > 0, size)[whole] > size
-
-    def template(self, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts, as numbers of heads, and hashes of the windows of ``size`` template tokens, and which have at least half of their tokens in words."""
-        kind = self.kind[self.head]
-        key, whole = _rolled(np.where(kind > 0, _MARKS[np.minimum(kind, 3)], self.code[self.head]), self.row[self.head], size, _TEMPLATE)
-        return whole, key[whole], 2 * _held(kind > 0, size)[whole] <= size
-
-    def slots(self, run: int, size: int) -> list[str]:
-        own = self.head[run:run + size]
-        return [self.tokens[i] for i in self.at[own[self.kind[own] > 0]].tolist()]
-
-
-def _rolled(code: np.ndarray, row: np.ndarray, size: int, way: int) -> tuple[np.ndarray, np.ndarray]:
+        key, whole = _rolled(self.code, self.row, size)
+        return whole, key[whole], 2 * _held(self.kinds[_TEXT] > 0, size)[whole] > size
+
+    def template(self, size: int, way: int, every: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and hashes of the windows of ``size`` template tokens, and which have at least half of their tokens in words.
+
+        They start at each head of a run, or at ``every`` token, also inside a run of names that what stands before a passage may have lengthened.
+        """
+        kind, first = self.kinds[way][self.head], self.firsts[way]
+        rest, n = _codes(kind, self.code[self.head]), max(0, len(self.head) - size + 1)
+        key, held = np.zeros(n, np.uint64), np.concatenate([[0], np.cumsum(kind > 0)])
+        for k in range(1, size):
+            key = key * _STEP + rest[k:k + n]
+        start = np.arange(len(self.run)) if every and way != _TEXT else self.head
+        start = start[self.run[start] < n]
+        run = self.run[start]
+        start = start[self.row[self.head[run + size - 1]] == self.row[start]]
+        run = self.run[start]
+        top = np.uint64(size + (way << 32)) * _STEP + _codes(first[start], self.code[start])
+        return start, mixed(top * np.uint64(pow(int(_STEP), size - 1, 1 << 64)) + key[run]), 2 * ((first[start] > 0) + held[run + size] - held[run + 1]) <= size
+
+    def slots(self, start: int, size: int, way: int) -> list[str]:
+        run = self.run[start]
+        own = self.head[run + 1:run + size]
+        own = own[self.kinds[way][own] > 0].tolist()
+        return [self.tokens[self.at[i]] for i in ([start, *own] if self.firsts[way][start] > 0 else own)]
+
+
+def _codes(kind: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.where(kind > 0, _MARKS[np.minimum(kind, 3)], code)
+
+
+def _rolled(code: np.ndarray, row: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """A hash of every ``size`` neighbours, and the starts of those within one text."""
     n = max(0, len(code) - size + 1)
-    key = np.full(n, size + (way << 32), np.uint64)
+    key = np.full(n, size + (_RAW << 32), np.uint64)
     for k in range(size):
-        key = key * np.uint64(0x9E3779B97F4A7C15) + code[k:k + n]
+        key = key * _STEP + code[k:k + n]
     return mixed(key), np.flatnonzero(row[:n] == row[size - 1:size - 1 + n])
 
 
@@ -91,12 +114,12 @@ def _held(slot: np.ndarray, size: int) -> np.ndarray:
 def _windows_of(rows: DataFrame, fn) -> DataFrame:
     """Rows of windows that ``fn`` finds in the scan of a step's texts: row, then the columns of ``_WINDOW``."""
     names = ["id", *(x.split()[0] for x in _WINDOW.split(", "))]
-    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.list_(pa.string())]
+    types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
 
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
         ids, texts = step.columns
         found = list(fn(Scan(texts.to_pylist())))
-        row, *columns = zip(*found, strict=True) if found else ([],) * 9
+        row, *columns = zip(*found, strict=True) if found else ([],) * 10
         return pa.RecordBatch.from_arrays([ids.take(pa.array(row, pa.int64())), *(pa.array(x, t) for x, t in zip(columns, types, strict=True))], names)
 
     return arrow_step(rows, run, f"id long, {_WINDOW}")
@@ -111,18 +134,19 @@ def _of_items(size: int, min_windows: int, min_tokens: int):
             for p, x, h in zip(start[some].tolist(), key[some].astype(np.int64).tolist(), heavy[some].tolist(), strict=True):
                 row = int(scan.row[p])
                 of = int(scan.n_raw[row]) - n + 1
-                yield row, x, n, _RAW, p - int(scan.first_raw[row]), of, min(min_windows, of), h, []
+                yield row, x, n, _RAW, p - int(scan.first_raw[row]), of, min(min_windows, of), h, 0, []
             if n < min_tokens:
                 continue
-            start, key, good = scan.template(n)
-            of_row = scan.row[scan.head[start]]
-            usable = np.bincount(of_row[good], minlength=len(scan.n_raw))
-            for p, x in zip(start[good & _own(scan.n_template, n, size)[of_row]].tolist(), key[good & _own(scan.n_template, n, size)[of_row]].astype(np.int64).tolist(), strict=True):
-                row = int(scan.row[scan.head[p]])
-                of, can = int(scan.n_template[row]) - n + 1, int(usable[row])
-                need = min(min_windows, of)
-                if can >= need or 2 * can >= of:
-                    yield row, x, n, _TEMPLATE, p - int(scan.first_run[row]), of, min(need, can), False, scan.slots(p, n)
+            for way in (_TEXT, _NAMES, _WORDS):
+                start, key, good = scan.template(n, way)
+                usable = np.bincount(scan.row[start[good]], minlength=len(scan.n_raw))
+                good &= _own(scan.n_template, n, size)[scan.row[start]]
+                for p, x in zip(start[good].tolist(), key[good].astype(np.int64).tolist(), strict=True):
+                    row = int(scan.row[p])
+                    of, can = int(scan.n_template[row]) - n + 1, int(usable[row])
+                    need = min(min_windows, of)
+                    if can >= need or 2 * can >= of:
+                        yield row, x, n, way, int(scan.run[p] - scan.first_run[row]), of, min(need, can), False, 0, scan.slots(p, n, way)
 
     return run
 
@@ -136,20 +160,20 @@ def _of_documents(sizes: list[tuple[int, int]], largest: int, passes: np.ndarray
     """The windows of documents that pass the filter; short ones, which are whole items, once a text."""
     def run(scan: Scan):
         for way, n in sizes:
-            start, key, good = scan.raw(n) if way == _RAW else scan.template(n)
+            start, key, good = scan.raw(n) if way == _RAW else scan.template(n, way, every=True)
             if way == _RAW:
                 good = np.ones(len(key), bool)
             top = key >> np.uint64(64 - FILTER_BITS)
             good &= passes[top >> np.uint64(6)] >> (top & np.uint64(63)) & np.uint64(1) == 1
             start, key = start[good], key[good].astype(np.int64)
-            at = start if way == _RAW else scan.head[start]
-            row = scan.row[at]
+            row = scan.row[start]
             if way == _RAW and n < largest:
                 _, one = np.unique(np.stack([row, key]), axis=1, return_index=True)
                 start, key, row = start[one], key[one], row[one]
-            pos = start - (scan.first_raw if way == _RAW else scan.first_run)[row]
-            for r, x, p, q in zip(row.tolist(), key.tolist(), start.tolist(), pos.tolist(), strict=True):
-                yield r, x, n, way, q, 0, 0, False, [] if way == _RAW else scan.slots(p, n)
+            run = scan.run[start]
+            pos, inside = (start - scan.first_raw[row], np.zeros(len(row), int)) if way == _RAW else (run - scan.first_run[row], start - scan.head[run])
+            for r, x, p, q, i in zip(row.tolist(), key.tolist(), start.tolist(), pos.tolist(), inside.tolist(), strict=True):
+                yield r, x, n, way, q, 0, 0, False, i, [] if way == _RAW else scan.slots(p, n, way)
 
     return run
 
@@ -158,6 +182,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_windo
                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Pairs of documents and the benchmark items they hold: ``doc_id, item_id, n_windows, coverage, same_values, contaminated``.
 
+    Windows are read in three ways, in which capitals at a sentence's start are names if the text has them
+    inside a sentence too, always, or never. In the latter two a window depends on its own tokens only, so
+    that equal passages have equal windows whatever stands around them; one way must make the find.
     A document holds an item if at least ``min_windows`` windows (all, if the item has fewer) of
     ``size`` template tokens agree along one alignment with consistent slots. Windows of which more
     than half are placeholders fit any text of their shape, so they count only where the same
@@ -180,20 +207,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = 8, min_windo
         passes[at] = value & (2**64 - 1)
     sizes = sorted(map(tuple, items.select("way", "size").distinct().collect()))  # at most ``size`` of them for each way
     found = _windows_of(columns_of(docs, id_col, text_col), _of_documents(sizes, size, passes)).select(
-        F.col("id").alias("doc_id"), "key", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
-    met = found.join(items.drop("size"), "key").filter(F.size("doc_slots") == F.size("item_slots"))
+        F.col("id").alias("doc_id"), "key", "inside", F.col("pos").alias("doc_pos"), F.col("slots").alias("doc_slots"))
+    met = found.join(items.drop("size", "inside"), "key").filter(F.size("doc_slots") == F.size("item_slots"))
     pairs = F.transform(F.arrays_zip("item_slots", "doc_slots"), lambda z: F.struct(z["item_slots"].alias("a"), z["doc_slots"].alias("b")))
-    lines = met.groupBy("doc_id", "item_id", "way", (F.col("doc_pos") - F.col("item_pos")).alias("shift")).agg(
+    # Of the starts inside one run of names, the one that has the item's first name, or else the run's head.
+    best = F.struct(F.coalesce(F.get("item_slots", F.lit(0)) != F.get("doc_slots", F.lit(0)), F.lit(False)), F.col("inside"))
+    met = met.groupBy("doc_id", "item_id", "way", (F.col("doc_pos") - F.col("item_pos")).alias("shift"), "item_pos").agg(
+        F.max("heavy").alias("heavy"), F.max("n_windows").alias("n_windows"), F.max("need").alias("need"), F.min_by(pairs, best).alias("pairs"))
+    lines = met.groupBy("doc_id", "item_id", "way", "shift").agg(
         F.countDistinct("item_pos").alias("n_windows"), F.countDistinct(F.when(F.col("heavy"), F.col("item_pos"))).alias("n_heavy"), F.max("n_windows").alias("of"),
-        F.max("need").alias("need"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("slots"))
+        F.max("need").alias("need"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("slots"))
     values = lambda side: F.size(F.array_distinct(F.transform("slots", lambda z: z[side])))
     raw = F.col("way") == _RAW
     enough = F.when(raw, (F.col("n_heavy") >= F.col("need")) | (F.col("n_windows") >= F.col("of"))).otherwise(F.col("n_windows") >= F.col("need"))
     good = lines.filter(enough & (values("a") == F.size("slots")))
-    same = F.max(F.when(~raw, F.forall("slots", lambda z: z["a"] == z["b"])))
-    return good.groupBy("doc_id", "item_id").agg(
-        F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("of")).alias("coverage"),
-        F.coalesce(same, F.lit(True)).alias("same_values"), F.lit(True).alias("contaminated"))
+    # Ways of one alignment see different slots: all must be the same.
+    places = good.groupBy("doc_id", "item_id", F.when(~raw, F.col("shift")).alias("shift")).agg(
+        F.max("n_windows").alias("n_windows"), F.max(F.col("n_windows") / F.col("of")).alias("coverage"), F.min(F.when(~raw, F.forall("slots", lambda z: z["a"] == z["b"]))).alias("same"))
+    return places.groupBy("doc_id", "item_id").agg(
+        F.max("n_windows").alias("n_windows"), F.max("coverage").alias("coverage"), F.coalesce(F.max("same"), F.lit(True)).alias("same_values"), F.lit(True).alias("contaminated"))
 
 
 @query("op6_decontamination")

@@ -232,6 +232,17 @@ def test_exact_copies_of_slot_heavy_and_short_items_are_found(spark):
     assert {(r.doc_id, r.item_id, r.same_values) for r in found.collect()} == {(k, k, True) for k in range(len(items))} | {(8, 3, False)}  # the last with other names
 
 
+def test_what_stands_around_a_passage_does_not_change_its_windows(spark):
+    items = ["What is the capital of the country where Mary lives?", "The baker sold 12 rolls to a boy. The rest went to 3 girls. The mother paid for all of them.",
+             "Days of rain in the north and the south of Spain", "Tom has 5 old red pears. She ate 2 of them at noon. Sam took what was left over."]
+    again = ["What is the capital of the country where Paula lives?", items[1].replace("12", "31").replace("3 ", "8 "), "Days of rain in the north and the south of Chile",
+             items[3].replace("5", "7").replace("Tom", "Pat").replace("Sam", "Kim")]
+    around = ["Question: ", "He wrote in The Times. " + prose(1, 30) + ". ", "Here were 5 ", prose(2, 30) + ". "]
+    docs = [(k, a + t) for k, (a, t) in enumerate(zip(around * 2, items + again, strict=True))] + [(20, "The capital of the country is where the north lives")]
+    found = decontamination.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert {(r.doc_id, r.item_id, r.same_values) for r in found.collect()} == {(k, k, True) for k in range(4)} | {(k + 4, k, False) for k in range(4)}
+
+
 def test_planted_items_are_found_and_nothing_else(spark):
     folder = "/root/testdata/sf0.001"
     docs, bench = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "benchmark"))
