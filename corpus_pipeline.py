@@ -53,7 +53,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of every piece of the documents that are left."""
-    return packing.pack(docs, tokens.vocabulary())[0].drop("part", "at")
+    return packing.pack(docs, tokens.vocabulary(), added=True)[0].drop("part", "at")
 
 
 STAGES = [("language", language), ("exact", exact), ("near", near), ("decontamination", clean), ("packing", packed)]

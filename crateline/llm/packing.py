@@ -25,7 +25,7 @@ from .tokens import coder, vocabulary
 _PIECES = "part int, at long, rank long, doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
 
 
-def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, added: bool = False) -> DataFrame:
     """Documents as token pieces of at most ``capacity``; ``ids`` are little-endian unsigned 32-bit integers.
 
     A longer document is cut into full pieces, its first piece takes the rest. ``part, at`` name the
@@ -38,7 +38,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0) ->
         for step in steps(batches):
             ids, texts = step.columns
             row, piece, start, length, rank, data = [], [], [], [], [], []
-            for k, coded in enumerate(coder(path).code(texts.to_pylist())):
+            for k, coded in enumerate(coder(path).code(texts.to_pylist(), added)):
                 coded += end
                 n = len(coded) // 4
                 cuts = [0, *range(n % capacity or capacity, n, capacity)] if n > capacity else [0]
@@ -100,14 +100,15 @@ def plan_bins(counts: np.ndarray, capacity: int) -> list[tuple[int, int, int, in
     return plan
 
 
-def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+def pack(docs: DataFrame, path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text",
+         added: bool = False) -> tuple[DataFrame, DataFrame]:
     """The place of every piece, and the table of the pieces with their ids.
 
     Places: ``part, at, doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Rules for odd
     input: null or empty text is the end id alone; a row with a null or repeated id is a document of
-    its own; an empty table gives no rows.
+    its own; an empty table gives no rows. With ``added``, names of special tokens in a text are these tokens.
     """
-    made, _ = store(pieces(columns_of(docs, id_col, text_col), path, capacity, end_id), "pieces", compression="zstd")
+    made, _ = store(pieces(columns_of(docs, id_col, text_col), path, capacity, end_id, added), "pieces", compression="zstd")
     sizes, _ = store(made.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-sizes")
     counts = np.zeros(capacity + 1, np.int64)
     for length, n in sizes.groupBy("length").agg(F.sum("n")).collect():  # at most ``capacity`` rows
@@ -146,4 +147,4 @@ def sequences(places: DataFrame, made: DataFrame) -> DataFrame:
 
 @query("op5_best_fit_packing")
 def op5_best_fit_packing(spark, folder):
-    return pack(table(spark, folder, "documents"), vocabulary())[0].drop("part", "at")
+    return pack(table(spark, folder, "documents"), vocabulary(), added=True)[0].drop("part", "at")

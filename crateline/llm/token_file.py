@@ -126,7 +126,7 @@ def symbols(freq: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(freq), dtype=np.uint32), freq.astype(np.int64))
 
 
-def _coded(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame:
+def _coded(docs: DataFrame, path: str, end_id: int, block: int, added: bool) -> DataFrame:
     """Documents in the order of their ids as blocks of raw ids; ``part, at`` give the blocks' order, ``before`` the part's earlier ids."""
     end = np.array([end_id], "<u4").tobytes()
     schema = "part int, at int, before long, n long, doc_ids array<long>, lengths array<long>, ids binary"
@@ -145,7 +145,7 @@ def _coded(docs: DataFrame, path: str, end_id: int, block: int) -> DataFrame:
 
         for step in steps(batches):
             ids, texts = step.columns
-            for doc_id, coded in zip(ids.to_pylist(), coder(path).code(texts.to_pylist()), strict=True):
+            for doc_id, coded in zip(ids.to_pylist(), coder(path).code(texts.to_pylist(), added), strict=True):
                 if size and size + len(coded) > 4 * block:
                     yield made()
                 doc_ids.append(doc_id)
@@ -169,14 +169,15 @@ def _binned(batches):
 
 
 def write_tokens(docs: DataFrame, to: str, path: str, end_id: int = 2, bits: int = 20, block: int = 1 << 18, id_col: str = "doc_id",
-                 text_col: str = "text") -> None:
+                 text_col: str = "text", added: bool = False) -> None:
     """Write the ids of all documents, each followed by ``end_id``, under ``to``: ``blocks`` and ``frequencies``.
 
     Documents come in ascending order of their ids. Rules for odd input: null text is empty text; a
     null id comes first; rows that repeat an id follow each other in the order of a hash of their
-    text; a document longer than a block is a block of its own; an empty table gives no blocks.
+    text; a document longer than a block is a block of its own; an empty table gives no blocks. With
+    ``added``, names of special tokens in a text are these tokens.
     """
-    raw, raw_path = store(_coded(columns_of(docs, id_col, text_col), path, end_id, block), "token-blocks", compression="zstd")
+    raw, raw_path = store(_coded(columns_of(docs, id_col, text_col), path, end_id, block, added), "token-blocks", compression="zstd")
     tables, counts = to + "/frequencies", np.zeros(1 << 16, np.int64)
     for i, n in raw.select("ids").mapInArrow(_binned, "id int, n long").groupBy("id").agg(F.sum("n")).collect():  # at most one row per symbol
         counts[i] = n
@@ -220,5 +221,5 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
 @query("op3_token_file")
 def op3_token_file(spark, folder):
     path = new_path(spark, "tokens")
-    write_tokens(table(spark, folder, "documents"), path, vocabulary())
+    write_tokens(table(spark, folder, "documents"), path, vocabulary(), added=True)
     return read_tokens(spark, path).select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))

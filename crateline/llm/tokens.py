@@ -131,6 +131,7 @@ class Coder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
         self.parts = Recent(PARTS, lambda part: array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes())
         self.segments = Segments(SEGMENTS)
         solid = np.zeros(256, bool)  # last bytes and first bytes of characters that are surely not blank
@@ -139,8 +140,16 @@ class Coder:
         self.lead[0xC3:0xE0] = True
         self.low = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
-    def code(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers; null is empty."""
+    def code(self, texts: list[str | None], added: bool = False) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers; null is empty.
+
+        The names of special tokens that stand in a text are plain text, or with ``added`` these tokens, as by the library's default.
+        """
+        if added:
+            whole = {k: self._whole(t) for k, t in enumerate(texts) if t and any(name in t for name in self.added)}
+            if whole:
+                rest = self.code([None if k in whole else t for k, t in enumerate(texts)])
+                return [whole.get(k, ids) for k, ids in enumerate(rest)]
         data, found, at, size = [(t or "").encode() for t in texts], [], 0, 0
         for k, text in enumerate(data):
             size += len(text)
@@ -149,6 +158,14 @@ class Coder:
                 at, size = k + 1, 0
         return found
 
+    def _whole(self, text: str) -> bytes:
+        """Ids of a text that holds added tokens, which its segments would cut."""
+        self.tokenizer.encode_special_tokens = False
+        try:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        finally:
+            self.tokenizer.encode_special_tokens = True
+
     def _code(self, texts: list[bytes]) -> list[bytes]:
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         total = int(sizes.sum())

@@ -141,6 +141,23 @@ def test_bins_hold_every_length_once_and_the_first_is_the_fullest(lengths):
     assert bins[0] == longest + max(sums)
 
 
+def test_queries_code_names_of_special_tokens_as_the_unmodified_library(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+
+    made = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "plain text, no name", "x<|endoftext|><|endoftext|>  y\n<|endoftext|>", "<|endoftext |> a <|endoftext|", None, prose(1, 30) + " <|endoftext|> " + prose(2, 30)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    ids = [made.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert ids[0] == [64, 220, 50256, 275]
+    found = token_file.op3_token_file(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.ids_crc32) for r in found) == [(k, len(x) + 1, crc([*x, 2])) for k, x in enumerate(ids)]
+    for places in (packing.op5_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        assert sorted((r.doc_id, r.length, r.ids_crc32) for r in places.collect()) == [(k, len(x) + 1, crc([*x, 0])) for k, x in enumerate(ids)]
+
+
 # Archives
 
 
