@@ -56,15 +56,43 @@ def signature(shingle_set: np.ndarray) -> np.ndarray:
     return least
 
 
-def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met at depth ``depth`` with probability ``recall``."""
+def _agreeing(threshold: float) -> list[float]:
+    """The chance of each number of equal coordinates of a pair at the threshold."""
+    return [math.comb(T, k) * threshold**k * (1 - threshold)**(T - k) for k in range(T + 1)]
+
+
+def sure_for(recall: float, threshold: float) -> int:
+    """Equal coordinates below which a sketch is refused: at most a quarter of what may be lost."""
+    lost = 0.0
+    for sure, p in enumerate(_agreeing(threshold)):
+        lost += p
+        if lost > (1 - recall) / 4:
+            return sure
+    return T
+
+
+def recall_of(runs: int, threshold: float, sure: int, depth: int = DEPTH) -> float:
+    """The chance that a pair at the threshold passes the sketch test and meets at depth ``depth`` in one of the runs, which share their coordinates."""
     rate = 1 / (threshold * T)
     sampled = [math.comb(T, k) * rate**k * (1 - rate)**(T - k) for k in range(T + 1)]
     sampled[1], sampled[0] = sampled[1] + sampled[0], 0  # a node samples one coordinate at least
-    meets = 1.0
-    for _ in range(depth):
-        meets = 1 - sum(p * (1 - threshold * meets)**k for k, p in enumerate(sampled))
-    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+    found = 0.0
+    for same, chance in enumerate(_agreeing(threshold)):
+        meets = 1.0
+        for _ in range(depth):
+            meets = 1 - sum(p * (1 - same / T * meets)**k for k, p in enumerate(sampled))
+        found += chance * (1 - (1 - meets)**runs) * (same >= sure)
+    return found
+
+
+def runs_for(recall: float, threshold: float, depth: int = DEPTH) -> int:
+    """The least number of runs with which a pair at the threshold is found with probability ``recall``."""
+    runs, sure = 1, sure_for(recall, threshold)
+    if sum(_agreeing(threshold)[max(sure, 1):]) <= recall:
+        raise ValueError(f"{T} coordinates cannot find pairs at {threshold} with probability {recall}")
+    while recall_of(runs, threshold, sure, depth) < recall:
+        runs += 1
+    return runs
 
 
 def _children(nodes: np.ndarray, signs: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -205,8 +233,8 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
     sets, _ = store(sets, "sets")
     joined = sets.filter("n > 0").withColumn("sketch", _low_bytes(F.col("sig")))
     leaves = _leaves(joined, threshold, runs_for(recall, threshold))
-    # Sketches of T bytes: a pair at the threshold passes but for a chance of about 1 in 30,000.
-    sure = math.floor(T * threshold - 4 * math.sqrt(T * threshold * (1 - threshold)))
+    # Sketches of T bytes.
+    sure = sure_for(recall, threshold)
     cells = _cells(leaves, joined)
 
     def likely(batches):

@@ -106,6 +106,20 @@ def test_jaccard_join_splits_and_blocks_large_groups(spark, monkeypatch):
     assert bag(jaccard_join.jaccard_join(docs).collect()) == bag(_classes(rows))
 
 
+def test_runs_reach_the_recall_over_the_sketch():
+    # The runs share T coordinates: draw how many agree, then let every run meet or not, by the recursion of a node's samples.
+    pick, rate = np.random.default_rng(5), 1 / (0.8 * jaccard_join.T)
+    runs, sure = jaccard_join.runs_for(0.9999, 0.8), jaccard_join.sure_for(0.9999, 0.8)
+    same = pick.binomial(jaccard_join.T, 0.8, 2_000_000)
+    meets = np.ones(jaccard_join.T + 1)
+    for _ in range(jaccard_join.DEPTH):
+        x = np.arange(jaccard_join.T + 1) / jaccard_join.T * meets
+        none = (1 - rate) ** jaccard_join.T  # a node that samples nothing takes one coordinate
+        meets = 1 - ((1 - rate * x) ** jaccard_join.T - none * x)
+    found = ((1 - (1 - meets) ** runs)[same] * (same >= sure)).mean()
+    assert found >= 0.9999 - 1e-5 and runs == 9
+
+
 def test_jaccard_join_of_an_empty_table(none):
     assert jaccard_join.jaccard_join(none).count() == 0
 
