@@ -6,7 +6,8 @@ import importlib
 
 from . import registry
 
-MODULES = ("line_dedup", "language_id", "token_file", "exact_dedup", "packing", "decontamination", "jaccard_join", "warc", "suffix_dedup", "katz")
+MODULES = ("line_dedup", "language_id", "token_file", "exact_dedup", "packing", "decontamination", "jaccard_join", "warc", "suffix_dedup", "katz", "secret_scan", "importance",
+           "lexical_search")
 
 
 def load_all() -> None:
