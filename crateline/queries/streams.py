@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..plans.session import checkpoint_dir
 from ..streaming import streams
 from . import query
-from .stand_ins import table
+from .stand_ins import catalogue, table, with_catalogue
 
 
 def event_stream(spark, sf):
@@ -48,14 +48,57 @@ def upserted(spark, sf):
     return streams.read_latest(spark, home + "/table").select("path", "event_id", "value")
 
 
-@query("ST4_incremental_sync", "SELECT DISTINCT user_id AS path, user_id * 2 AS doubled FROM events")
-def incremental_sync(spark, sf):
+def _arrivals(rows, home, parts=3):
+    """Write the rows as so many arrivals, one after another: yields after each."""
+    for part in range(parts):
+        rows.filter(F.col("part") == part).drop("part").write.parquet(f"{home}/queue/part={part}")
+        yield part
+
+
+def _queue(spark, rows, home):
+    return spark.readStream.schema(rows.drop("part").schema).parquet(f"{home}/queue/*")
+
+
+_FLAKY = "path % 7 = 0"  # these fail at their first attempt
+_FIRST = "SELECT user_id AS path, min(event_id % 3) AS part FROM events GROUP BY user_id"
+
+
+def _synced(spark, sf):
+    """Three starts over one checkpoint; a seventh of the keys fails at first, and those that arrive last are not tried again."""
     home = f"{checkpoint_dir(spark)}/sync-{uuid.uuid4().hex}"
-    rows = event_stream(spark, sf).select(F.col("user_id").alias("path"))
-    work = lambda df: df.withColumn("doubled", F.col("path") * 2)
-    for attempt in range(2):  # the second run starts over and finds everything done
-        streams.incremental_sync(rows, work, home + "/done", f"{home}/state{attempt}").awaitTermination()
-    return spark.read.parquet(home + "/done").select("path", "doubled")
+    rows = events(spark, sf).select(F.col("user_id").alias("path"), (F.col("event_id") % 3).alias("part"))
+    failing = F.when(F.expr(_FLAKY) & (F.col("attempt") == 0), F.lit("busy"))
+    work = lambda df: df.withColumn("error", failing).withColumn("doubled", F.when(F.col("error").isNull(), F.col("path") * 2))
+    for _ in _arrivals(rows, home):
+        streams.incremental_sync(_queue(spark, rows, home), work, home + "/out", home + "/state").awaitTermination()
+    return streams.done_rows(spark, home + "/out")
+
+
+_SYNCED = f"""SELECT path, CASE WHEN NOT ({_FLAKY} AND part = 2) THEN path * 2 END AS doubled, CASE WHEN {_FLAKY} AND part < 2 THEN 1 ELSE 0 END AS attempt,
+ CASE WHEN {_FLAKY} AND part = 2 THEN 'busy' END AS error FROM ({_FIRST})"""
+
+
+@query("ST4_incremental_sync", _SYNCED)
+def incremental_sync(spark, sf):
+    return _synced(spark, sf).select("path", "doubled", "attempt", "error")
+
+
+@query("ST4_job_summary", f"SELECT count(*) FILTER (error IS NULL) AS done, count(*) FILTER (error IS NOT NULL) AS failed, min(path) FILTER (error IS NOT NULL) AS first_failed FROM ({_SYNCED})")
+def job_summary(spark, sf):
+    good, bad = F.col("error").isNull(), F.col("error").isNotNull()
+    return _synced(spark, sf).agg(F.count_if(good).alias("done"), F.count_if(bad).alias("failed"), F.min(F.when(bad, F.col("path"))).alias("first_failed"))
+
+
+@query("ST5_backfill_stream", with_catalogue("SELECT id, coalesce(valence, CASE WHEN bpm IS NOT NULL THEN bpm / 1e3 END) AS valence FROM catalogue"))
+def backfill_stream(spark, sf):
+    """The catalogue arrives in two parts; what lacks a value is computed once, what cannot be is tried again and stays as it is."""
+    home = f"{checkpoint_dir(spark)}/backfill-{uuid.uuid4().hex}"
+    rows = catalogue(spark, sf).select("id", "bpm", "valence")
+    parts = rows.withColumn("part", F.col("id") % 2)
+    compute = lambda df: df.select("id", "attempt", (F.col("bpm") / 1e3).alias("valence"), F.when(F.col("bpm").isNull(), F.lit("no tempo")).alias("error"))
+    for _ in _arrivals(parts, home, 2):
+        streams.backfill_stream(_queue(spark, parts, home), F.col("valence").isNull(), compute, home + "/out", home + "/state", "id", attempts=2).awaitTermination()
+    return streams.with_backfill(rows, home + "/out", ["valence"], "id").select("id", "valence")
 
 
 @query("ST6_activity_sessions", """SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n FROM (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (

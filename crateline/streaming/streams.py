@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.sync import latest
 from ..plans.session import checkpoint_dir
@@ -61,25 +62,75 @@ def compact(spark: SparkSession, target: str, fresh: str, key: str = "path", seq
     read_latest(spark, target, key, seq).write.mode("errorifexists").parquet(f"{fresh}/batch=0")
 
 
-def incremental_sync(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "path"):
-    """Work on keys not done yet; what is written stays, a restart passes it over. Errors are rows like the others."""
+# --- resumable work --------------------------------------------------------------------------
+
+#: How long a finished key is remembered, and how often a key that fails is tried.
+REMEMBERED, ATTEMPTS = "30 days", 3
+
+
+def queued(arrivals: DataFrame, key: str = "path", remember: str = REMEMBERED) -> DataFrame:
+    """Arrivals (with ``attempt``) that are due: each attempt at a key once, from the keyed state of the stream.
+
+    The state holds one entry per key and attempt and lets it go ``remember`` after it was first
+    seen. Time is the batch's own, which a replayed batch keeps, so that no arrival counts as late.
+    """
+    seen = arrivals.withColumn("_seen", F.current_timestamp()).withWatermark("_seen", remember)
+    return seen.dropDuplicatesWithinWatermark([key, "attempt"]).drop("_seen")
+
+
+def incremental_sync(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "path",
+                     remember: str = REMEMBERED, attempts: int = ATTEMPTS):
+    """Work on keys that were not done yet; a restart over the same checkpoint passes over what is done and tries again what failed.
+
+    ``work`` gets the due rows and returns one row for each, at least ``key`` and whatever it found;
+    where its column ``error`` (string, optional) is not null the key is queued again, by the next
+    start, until it was tried ``attempts`` times. A batch reads its own arrivals and the failures
+    of the starts before it, never the results so far. Results lie in ``target/done``, failures
+    with their arrivals in ``target/failed``; a replayed batch overwrites its own folder.
+    """
+    spark = stream.sparkSession
+    arrived = stream.withColumn("attempt", F.lit(0))
+    failed = f"{target}/failed"
+    lost = T.StructType([*arrived.schema.fields, T.StructField("error", T.StringType())])
+    spark.createDataFrame([], lost).write.mode("append").parquet(f"{failed}/batch=-1")
+    again = spark.readStream.schema(T.StructType([*lost.fields, T.StructField("batch", T.LongType())])).parquet(failed)
+    again = again.filter(F.col("attempt") + 1 < attempts).withColumn("attempt", F.col("attempt") + 1)
+    due = queued(arrived.unionByName(again.select(*arrived.columns)), key, remember)
+
     def run(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        todo = batch.dropDuplicates([key])
-        try:
-            done = spark.read.parquet(target)
-            todo = todo.join(done.filter(F.col("batch") != number).select(key), key, "left_anti")
-        except Exception as error:  # noqa: BLE001 - nothing written yet
-            if "PATH_NOT_FOUND" not in str(error) and "UNABLE_TO_INFER_SCHEMA" not in str(error):
-                raise
-        work(todo).write.mode("overwrite").parquet(f"{target}/batch={number}")
-
-    return stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def backfill_stream(stream: DataFrame, missing: Column, compute: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "path"):
-    """Rows lacking a field, computed and saved batch by batch."""
-    return incremental_sync(stream.filter(missing), compute, target, checkpoint, key)
+        done, spark = f"{target}/done/batch={number}", batch.sparkSession
+        # Written first: the batch, and with it the state, is worked out once.
+        batch.write.mode("overwrite").parquet(f"{target}/due/batch={number}")
+        rows = spark.read.schema(batch.schema).parquet(f"{target}/due/batch={number}")
+        worked = work(rows)
+        if "error" not in worked.columns:
+            worked = worked.withColumn("error", F.lit(None).cast("string"))
+        if "attempt" not in worked.columns:
+            worked = worked.join(rows.select(key, "attempt"), key)
+        worked.write.mode("overwrite").parquet(done)
+        wrong = spark.read.schema(worked.schema).parquet(done).filter(F.col("error").isNotNull())
+        bad = rows.join(wrong.select(key, "attempt", "error"), [key, "attempt"])
+        bad.select(*lost.names).write.mode("overwrite").parquet(f"{failed}/batch={number}")
+
+    return due.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def done_rows(spark: SparkSession, target: str, key: str = "path") -> DataFrame:
+    """The last attempt at each key: what it found, ``attempt``, and ``error`` where it failed."""
+    return latest(spark.read.parquet(f"{target}/done").drop("batch"), key, "attempt")
+
+
+def backfill_stream(stream: DataFrame, missing: Column, compute: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str = "path",
+                    remember: str = REMEMBERED, attempts: int = ATTEMPTS):
+    """Rows lacking a field, computed and saved batch by batch; rows that have it are not queued."""
+    return incremental_sync(stream.filter(missing), compute, target, checkpoint, key, remember, attempts)
+
+
+def with_backfill(rows: DataFrame, target: str, fields: list[str], key: str = "path") -> DataFrame:
+    """Rows with the backfilled fields in place of missing ones; what a row has already stays."""
+    found = done_rows(rows.sparkSession, target, key).filter("error IS NULL").select(F.col(key).alias("_key"), *[F.col(f).alias(f"_new_{f}") for f in fields])
+    joined = rows.join(found, F.col(key) == F.col("_key"), "left")
+    return joined.select(*[F.coalesce(c, f"_new_{c}").alias(c) if c in fields else F.col(c) for c in rows.columns])
 
 
 def run_to_end(result: DataFrame, mode: str = "complete") -> DataFrame:
