@@ -61,15 +61,44 @@ def journeys(spark, sf):
     return sequences.journeys(rows, asked, F.col("song"), w_arc=0.5)
 
 
-@query("G5_radio")
-def radio(spark, sf):
+def _radio_sql(k, drift, variety="0.5e0"):
+    """The same picks one after another, for two seeds and a negative: state is one row, each pick one more."""
+    unit = "list_transform(vec::DOUBLE[], lambda x: x / greatest(sqrt(list_dot_product(vec::DOUBLE[], vec::DOUBLE[])), 1e-9))"
+    normed = lambda v: f"list_transform({v}, lambda x: x / greatest(sqrt(list_dot_product({v}, {v})), 1e-9))"
+    mix = lambda a, f, b, g: f"list_transform(list_zip({a}, {b}), lambda z: {f} * z[1] + {g} * z[2])"
+    away = lambda v: normed(mix(v, "1e0", "neg", "-0.5e0"))
+    sql = f"""WITH t AS MATERIALIZED (SELECT id, song, {unit} AS u FROM ({TRACKS})), ends AS (SELECT min(id) AS a, max(id) AS b, (min(id) + max(id)) // 2 AS c FROM t),
+ given AS (SELECT x.u AS ua, y.u AS ub, z.u AS neg, [x.song, y.song] AS songs, [a, b, c] AS gone FROM ends JOIN t x ON x.id = a JOIN t y ON y.id = b JOIN t z ON z.id = c),
+ held AS (SELECT *, {mix('ua', '1e0', 'ub', '1e0')} AS both_ FROM given), split AS (SELECT *, 1 - sqrt(list_dot_product(both_, both_)) / 2 >= 0.03 AS two FROM held),
+ s0 AS (SELECT [ua, ub] AS near, songs, gone, two, CASE WHEN two THEN {away('ua')} ELSE {away(normed('both_'))} END AS p0, {away('ub')} AS p1 FROM split)"""
+    for i in range(k):
+        turn = f"(two AND {i % 2} = 1)"
+        sql += f""", c{i} AS (SELECT t.*, list_max(list_transform(near, lambda n: list_dot_product(n, u))) AS close, list_dot_product(u, CASE WHEN {turn} THEN p1 ELSE p0 END) AS along
+  FROM t, s{i} WHERE NOT list_contains(gone, id) AND NOT list_contains(songs, song)),
+ k{i} AS (SELECT id, song, u FROM c{i} WHERE close < 0.97 ORDER BY along - {variety} * close DESC, id LIMIT 1),
+ s{i + 1} AS (SELECT list_append(near, u) AS near, list_append(songs, song) AS songs, list_append(gone, id) AS gone, two,
+  CASE WHEN {turn} THEN p0 ELSE {normed(mix('p0', f'{1 - drift}e0', 'u', f'{drift}e0'))} END AS p0, CASE WHEN {turn} THEN {normed(mix('p1', f'{1 - drift}e0', 'u', f'{drift}e0'))} ELSE p1 END AS p1 FROM s{i}, k{i})"""
+    return sql + " " + " UNION ALL ".join(f"SELECT 1 AS request, id, {i + 1} AS place FROM k{i}" for i in range(k))
+
+
+def _radio(spark, sf, k, drift):
     ends = _ends(spark, sf)
     middle = F.floor((F.col("start") + F.col("end")) / 2).cast("long")
     asked = ends.select(F.inline(F.array(
-        F.struct(F.lit(1).alias("request"), F.col("start").alias("id"), F.lit(False).alias("negative")),
-        F.struct(F.lit(1).alias("request"), F.col("end").alias("id"), F.lit(False).alias("negative")),
-        F.struct(F.lit(1).alias("request"), middle.alias("id"), F.lit(True).alias("negative")))))
-    return sequences.radio(tracks(spark, sf), asked, 6, F.col("song"), drift=0.2)
+        F.struct(F.lit(1).alias("request"), F.col("start").alias("id"), F.lit(False).alias("negative"), F.lit(0).alias("ord")),
+        F.struct(F.lit(1).alias("request"), F.col("end").alias("id"), F.lit(False).alias("negative"), F.lit(1).alias("ord")),
+        F.struct(F.lit(1).alias("request"), middle.alias("id"), F.lit(True).alias("negative"), F.lit(2).alias("ord")))))
+    return sequences.radio(tracks(spark, sf), asked, k, F.col("song"), drift=drift)
+
+
+@query("G5_radio", _radio_sql(6, 0.2))
+def radio(spark, sf):
+    return _radio(spark, sf, 6, 0.2)
+
+
+@query("G5_radio_without_drift", _radio_sql(3, 0.0))
+def radio_without_drift(spark, sf):
+    return _radio(spark, sf, 3, 0.0)
 
 
 def _assigned(spark, sf):
