@@ -1,16 +1,20 @@
-"""Exact nearest neighbours and near pairs of unit vectors, by cells around pivots.
-
-Every vector belongs to the cell of its nearest pivot. For a search radius r a query only
-has to visit the cells q with (d(x, q) - d(x, home)) / 2 <= r: no vector of another cell can
-be closer. The first pass looks only into the home cell and so finds a radius that holds k
-neighbours; the second pass visits the remaining cells that radius reaches. Cells are cut
-into blocks of bounded size on both sides, so a cell holding a third of all rows becomes
-many equal tasks. Pivots are a bounded sample; they change the speed, never the result.
+"""Exact nearest neighbours and near pairs of unit vectors, by a tree of pivots.
+
+Every vector belongs to the cell of its nearest pivot, and inside the cell to the tile of the
+nearest of the cell's own pivots; there are as many tiles as keep them at about TILE_ROWS rows, and
+about as many cells as tiles of one cell. For a search radius r a query only has to visit what these bounds allow,
+in cells and then in tiles: with d the distance to a pivot and d0 the distance to the nearest one of the same
+level, no vector of the pivot is closer than (d - d0) / 2, nor closer than d less the distance of
+the pivot's farthest vector. The first pass looks only into the home tile and so finds a radius that holds k
+neighbours; the second pass visits the other tiles that radius reaches, and each of them gets the query's vector once. Tiles
+are cut into blocks of bounded size on both sides, so a tile of many copies becomes many equal
+tasks. Pivots are a sample by hash; they change the speed, never the result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,16 +25,18 @@ from ..functions.vectors import unit
 from .session import cut
 
 BLOCK_ROWS = 4_096
-CELL_ROWS = 1_000
-MAX_PIVOTS = 1_024
+TILE_ROWS = 1_000
+# Up to so many tiles one level of pivots is enough, and there are never more cells.
+FLAT_TILES, MAX_PIVOTS = 64, 1_024
+# Queries whose visits are listed at once.
+LISTED = 512
 # Slack on the bound, against rounding.
 SLACK = 1e-6
 
 
-def pick_pivots(points: DataFrame, rows: int) -> np.ndarray:
-    """One vector per CELL_ROWS rows, chosen by hash, never more than MAX_PIVOTS."""
-    wanted = int(min(MAX_PIVOTS, max(1, rows // CELL_ROWS)))
-    keep = points.orderBy(F.xxhash64("id")).limit(wanted).select("unit").collect()
+def pick_pivots(points: DataFrame, wanted: int) -> np.ndarray:
+    """``wanted`` vectors, never more than MAX_PIVOTS, chosen by hash."""
+    keep = points.orderBy(F.xxhash64("id")).limit(min(MAX_PIVOTS, max(1, wanted))).select("unit").collect()
     return np.array([r["unit"] for r in keep], dtype=np.float64)
 
 
@@ -43,49 +49,143 @@ def _distances(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def in_cells(points: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Add the home cell."""
+    """Add the home cell and the distance to its pivot."""
     def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch):
-                yield batch.assign(cell=_distances(_stack(batch["unit"]), pivots).argmin(axis=1))
-
-    return points.mapInPandas(place, points.schema.simpleString()[7:-1] + ",cell:int")
-
-
-def _visits(queries: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """One row per query and reached cell other than its home; needs ``radius``."""
-    def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if not len(batch):
-                continue
-            away = _distances(_stack(batch["unit"]), pivots)
-            home = batch["cell"].to_numpy()
-            gap = (away - away[np.arange(len(batch)), home][:, None]) / 2.0
-            hit = gap <= batch["radius"].to_numpy()[:, None] + SLACK
-            hit[np.arange(len(batch)), home] = False
-            row, cell = np.nonzero(hit)
-            yield batch.iloc[row].assign(cell=cell.astype(np.int32))
-
-    return queries.mapInPandas(reach, queries.schema.simpleString()[7:-1])
-
-
-def blocks_per_cell(points: DataFrame) -> DataFrame:
-    """One row per cell, so at most MAX_PIVOTS rows."""
-    return points.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks"))
-
-
-def _meet(queries: DataFrame, points: DataFrame, blocks: DataFrame, match: Callable, schema: str) -> DataFrame:
-    """Bring every query block together with every point block of its cell."""
-    asked = queries.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("q_blocks"))
-    plan = cut(blocks.join(asked, "cell"))
-    plan = F.broadcast(plan)  # one row per cell
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+                away = _distances(_stack(batch["unit"]), pivots)
+                yield batch.assign(cell=away.argmin(axis=1), away=away.min(axis=1))
+
+    return points.mapInPandas(place, _schema(points) + ",cell:long,away:double")
+
+
+def _schema(df: DataFrame) -> str:
+    return df.schema.simpleString()[7:-1]
+
+
+def _reached(away: np.ndarray, farthest: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Whether each query's radius may reach a vector of each pivot of one level."""
+    bound = np.maximum((away - away.min(axis=1, keepdims=True)) / 2.0, away - farthest)
+    return bound <= radius[:, None] + SLACK
+
+
+def _holding(away: np.ndarray, farthest: np.ndarray, rows: np.ndarray, k: int) -> np.ndarray:
+    """A distance within which each query surely has k vectors: those of whole pivots. 4 if there are not so many."""
+    whole = away + farthest
+    order = np.argsort(whole, axis=1)
+    enough = np.cumsum(rows[order], axis=1) >= k
+    first = np.take_along_axis(whole, np.take_along_axis(order, enough.argmax(axis=1)[:, None], axis=1), axis=1)[:, 0]
+    return np.where(enough.any(axis=1), first, 4.0)
+
+
+@dataclass(frozen=True)
+class Tree:
+    """Points with their cell and tile; the cells' pivots, farthest distances and rows; the tiles (cell, id, unit, farthest, rows), None where tiles are cells."""
+
+    placed: DataFrame
+    pivots: np.ndarray
+    farthest: np.ndarray
+    rows: np.ndarray
+    tiles: DataFrame | None
+
+    def bounded(self, queries: DataFrame, k: int) -> DataFrame:
+        """Queries with a ``radius`` that surely holds k vectors beside the query itself."""
+        pivots, farthest, rows = self.pivots, self.farthest, self.rows
+
+        def top(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield batch.assign(radius=_holding(_distances(_stack(batch["unit"]), pivots), farthest, rows, k + 1))
+
+        schema = _schema(queries) + ",radius double"
+        known = queries.mapInPandas(top, schema)
+        if self.tiles is None:
+            return known
+
+        def inside(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(p):
+                return q.head(0)
+            told = _holding(_distances(_stack(q["unit"]), _stack(p["unit"])), p["farthest"].to_numpy(), p["rows"].to_numpy(), k + 1)
+            return q.assign(radius=np.minimum(q["radius"], told))
+
+        listed = known.columns
+        return _meet(known, self.tiles, "cell", lambda q, p: inside(q, p)[listed], schema, whole=True)
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """One row per query and tile its ``radius`` may reach, but for the home tile."""
+        pivots, farthest, flat = self.pivots, self.farthest, self.tiles is None
+
+        def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for whole in batches:
+                for start in range(0, len(whole), LISTED):
+                    batch = whole.iloc[start:start + LISTED]
+                    hit = _reached(_distances(_stack(batch["unit"]), pivots), farthest, batch["radius"].to_numpy())
+                    row, cell = np.nonzero(hit)
+                    yield batch.iloc[row].assign(cell=cell.astype(np.int64))
+
+        home = queries.withColumn("home", F.col("tile"))
+        in_cell = home.mapInPandas(reach, _schema(home))
+        if flat:
+            return in_cell.withColumn("tile", F.col("cell")).filter(F.col("tile") != F.col("home")).drop("home")
+
+        def inside(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(p):
+                return q.head(0)
+            p = p.sort_values("id")
+            hit = _reached(_distances(_stack(q["unit"]), _stack(p["unit"])), p["farthest"].to_numpy(), q["radius"].to_numpy())
+            row, tile = np.nonzero(hit)
+            return q.iloc[row].assign(tile=p["id"].to_numpy()[tile])
+
+        listed = home.columns  # as the function gives them back
+        told = _meet(in_cell.select(*listed), self.tiles, "cell", lambda q, p: inside(q, p)[listed], _schema(home))
+        return told.filter(F.col("tile") != F.col("home")).drop("home")
+
+
+def grow(points: DataFrame, rows: int) -> Tree:
+    """A tree over points (``id``, ``unit`` and whatever else they carry)."""
+    wanted = -(-rows // TILE_ROWS)
+    flat = wanted <= FLAT_TILES
+    pivots = pick_pivots(points, wanted if flat else int(np.ceil(np.sqrt(wanted))))
+    celled = cut(in_cells(points, pivots))
+    farthest, held = np.zeros(len(pivots)), np.zeros(len(pivots), np.int64)
+    for row in celled.groupBy("cell").agg(F.max("away").alias("far"), F.count("*").alias("n")).collect():  # MAX_PIVOTS rows
+        farthest[row["cell"]], held[row["cell"]] = row["far"], row["n"]
+    if flat:
+        return Tree(celled.drop("away").withColumn("tile", F.col("cell")), pivots, farthest, held, None)
+    # A vector is a pivot of its cell by its hash, one in TILE_ROWS of the vectors that differ; a cell's own pivot is one too.
+    chosen = celled.filter(F.pmod(F.xxhash64("unit"), F.lit(TILE_ROWS)) == 0).select("cell", "unit").distinct()
+    own = points.sparkSession.createDataFrame([(k, p.tolist()) for k, p in enumerate(pivots)], "cell long, unit array<double>")
+    named = cut(chosen.union(own).withColumn("id", F.monotonically_increasing_id()))
+    listed = celled.drop("away").columns
+    kinds = dict(celled.dtypes)
+
+    def nearest(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(p):
+            return q[listed].head(0).assign(tile=0, away=0.0)
+        p = p.sort_values("id")
+        away = _distances(_stack(q["unit"]), _stack(p["unit"]))
+        return q[listed].assign(tile=p["id"].to_numpy()[away.argmin(axis=1)], away=away.min(axis=1))
+
+    schema = ",".join(f"{c} {kinds[c]}" for c in listed) + ",tile long,away double"
+    tiled = cut(_meet(celled, named, "cell", nearest, schema, whole=True))
+    far = tiled.groupBy("tile").agg(F.max("away").alias("farthest"), F.count("*").alias("rows"))
+    tiles = cut(named.join(far, named["id"] == far["tile"]).select("cell", "id", "unit", "farthest", "rows"))
+    return Tree(tiled.drop("away"), pivots, farthest, held, tiles)
+
+
+def _meet(queries: DataFrame, points: DataFrame, key: str, match: Callable, schema: str, whole: bool = False) -> DataFrame:
+    """Bring every query block together with every point block of its key; with ``whole``, with all points of it at once."""
+    rows = F.lit(1) if whole else F.ceil(F.count("*") / BLOCK_ROWS)
+    blocks = points.groupBy(key).agg(rows.cast("int").alias("blocks"))
+    asked = queries.groupBy(key).agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("q_blocks"))
+    plan = cut(blocks.join(asked, key))  # one row for each cell or tile that is asked
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     theirs = queries.select(*[F.col(c).alias(c) for c in queries.columns])
-    left = theirs.join(plan, "cell").withColumn("q_block", mine("q_blocks")).withColumn("p_block", spread("blocks"))
+    left = theirs.join(plan, key).withColumn("q_block", mine("q_blocks")).withColumn("p_block", spread("blocks"))
     own = points.select(*[F.col(c).alias(c) for c in points.columns])  # fresh columns for the self join
-    right = own.join(plan, "cell").withColumn("p_block", mine("blocks")).withColumn("q_block", spread("q_blocks"))
-    keys = ["cell", "q_block", "p_block"]
+    right = own.join(plan, key).withColumn("p_block", mine("blocks")).withColumn("q_block", spread("q_blocks"))
+    keys = [key, "q_block", "p_block"]
     # Products are heavy for their bytes: keep the configured number of tasks.
     tasks = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     left, right = left.repartition(tasks, *keys), right.repartition(tasks, *keys)
@@ -93,10 +193,12 @@ def _meet(queries: DataFrame, points: DataFrame, blocks: DataFrame, match: Calla
             .cogroup(right.drop("blocks", "q_blocks").groupBy(*keys)).applyInPandas(match, schema))
 
 
-def _best_k(k: int) -> Callable:
+def _best_k(k: int, counted=None) -> Callable:
     def match(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(p):
             return pd.DataFrame({"id": [], "other": [], "cosine": []})
+        if counted is not None:
+            counted.add(len(q) * len(p))
         scores = _stack(q["unit"]) @ _stack(p["unit"]).T
         ids, others = q["id"].to_numpy(), p["id"].to_numpy()
         scores[ids[:, None] == others[None, :]] = -np.inf
@@ -109,7 +211,7 @@ def _best_k(k: int) -> Callable:
 
 
 def units(df: DataFrame, vec: str = "vec") -> DataFrame:
-    return df.select(F.col("id").cast("long").alias("id"), unit(vec).alias("unit"))
+    return df.filter(F.col(vec).isNotNull()).select(F.col("id").cast("long").alias("id"), unit(vec).alias("unit"))
 
 
 def top_k(pairs: DataFrame, k: int) -> DataFrame:
@@ -118,20 +220,22 @@ def top_k(pairs: DataFrame, k: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= k)
 
 
-def knn_join(df: DataFrame, k: int, vec: str = "vec") -> DataFrame:
-    """The k nearest others of every row by cosine: id, other, cosine, place."""
+def knn_join(df: DataFrame, k: int, vec: str = "vec", counted=None) -> DataFrame:
+    """The k nearest others of every row by cosine: id, other, cosine, place. Rows without a vector are left out.
+
+    ``counted`` may be an accumulator, to which the number of products is added.
+    """
     points = cut(units(df, vec))
-    rows = points.count()
-    pivots = pick_pivots(points, rows)
-    placed = cut(in_cells(points, pivots))
-    blocks = blocks_per_cell(placed)
+    tree = grow(points, points.count())
     schema = "id long, other long, cosine double"
-    home = cut(top_k(_meet(placed, placed, blocks, _best_k(k), schema), k))
-    # Rows with fewer than k neighbours at home have no bound yet: they visit every cell.
-    bound = home.groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("least"))
-    radius = F.when(F.col("n") >= k, F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least")))).otherwise(4.0)
-    asking = placed.join(bound, "id", "left").select("id", "unit", "cell", F.coalesce(radius, F.lit(4.0)).alias("radius"))
-    away = _meet(_visits(asking, pivots).drop("radius"), placed, blocks, _best_k(k), schema)
+    home = cut(top_k(_meet(tree.placed, tree.placed, "tile", _best_k(k, counted), schema), k))
+    bound = home.groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).filter(F.col("n") >= k)
+    radius = F.when(F.col("least").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least"))))
+    asking = cut(tree.placed.join(bound, "id", "left").select("id", "unit", "cell", "tile", radius.alias("radius")))
+    # Rows with fewer than k neighbours at home take their bound from the tiles around.
+    lone = tree.bounded(asking.filter(F.col("radius").isNull()).drop("radius"), k)
+    asking = asking.filter(F.col("radius").isNotNull()).unionByName(lone)
+    away = _meet(cut(tree.visits(asking).drop("radius", "cell")), tree.placed, "tile", _best_k(k, counted), schema)
     return top_k(home.drop("place").unionByName(away), k)
 
 
@@ -144,22 +248,22 @@ def first_twins(df: DataFrame, least: float, by: str | None = None, vec: str = "
     """
     group = F.col(by) if by else F.lit(0).cast("long")
     kind = F.col(ignore) if ignore else F.lit(None).cast("string")
-    rows = df.select(group.cast("long").alias("grp"), F.col(order).cast("long").alias("at"), kind.cast("string").alias("kind"),
+    rows = df.filter(F.col(vec).isNotNull()).select(group.cast("long").alias("grp"), F.col(order).cast("long").alias("at"), kind.cast("string").alias("kind"),
                      unit(vec).alias("unit"))
     rows = rows.withColumn("fold", F.xxhash64("grp", "unit", "kind"))
     folded = rows.groupBy("grp", "unit", "kind", "fold").agg(F.min("at").alias("first"), F.max("at").alias("last"))
-    points = cut(folded.withColumn("id", F.xxhash64("grp", "fold", "first")))
+    points = cut(folded.withColumn("id", F.monotonically_increasing_id()))
     count = points.count()
     if not count:
         return rows.select("grp", "at", F.lit(None).cast("long").alias("twin_of"), F.lit(None).cast("double").alias("cosine")).limit(0)
-    pivots = pick_pivots(points, count)
-    placed = cut(in_cells(points, pivots))
+    tree = grow(points, count)
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * least)))
-    asking = placed.withColumn("radius", F.lit(radius))
-    everywhere = placed.unionByName(_visits(asking, pivots).drop("radius"))
+    listed = tree.placed.columns
+    away = tree.visits(tree.placed.withColumn("radius", F.lit(radius))).select(*listed)
+    everywhere = cut(tree.placed.unionByName(away)).drop("cell")
 
     def match(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"grp": [], "fold": [], "earlier": [], "cosine": []})
+        empty = pd.DataFrame({"id": [], "earlier": [], "cosine": []})
         if not len(q) or not len(p):
             return empty
         scores = _stack(q["unit"]) @ _stack(p["unit"]).T
@@ -172,13 +276,15 @@ def first_twins(df: DataFrame, least: float, by: str | None = None, vec: str = "
         firsts = np.where(twin, p["first"].to_numpy()[None, :], np.iinfo(np.int64).max)
         best = firsts.argmin(axis=1)
         row = np.flatnonzero(twin.any(axis=1))
-        return pd.DataFrame({"grp": q["grp"].to_numpy()[row], "fold": q["fold"].to_numpy()[row],
-                             "earlier": firsts[row, best[row]], "cosine": scores[row, best[row]]})
-
-    met = _meet(everywhere, placed, blocks_per_cell(placed), match, "grp long, fold long, earlier long, cosine double")
-    near = met.groupBy("grp", "fold").agg(F.min(F.struct("earlier", "cosine")).alias("near"))
-    copies = folded.filter(F.col("kind").isNull()).select("grp", "fold", F.col("first").alias("own"))
-    joined = rows.drop("unit", "kind").join(near, ["grp", "fold"], "left").join(copies, ["grp", "fold"], "left")
+        return pd.DataFrame({"id": q["id"].to_numpy()[row], "earlier": firsts[row, best[row]], "cosine": scores[row, best[row]]})
+
+    met = _meet(everywhere, tree.placed, "tile", match, "id long, earlier long, cosine double")
+    near = met.groupBy("id").agg(F.min(F.struct("earlier", "cosine")).alias("near"))
+    told = points.join(near, "id", "left").select(
+        "fold", *[F.col(c).alias(f"_its_{c}") for c in ("grp", "unit", "kind")], "near", F.when(F.col("kind").isNull(), F.col("first")).alias("own"))
+    same = (F.col("grp").eqNullSafe(F.col("_its_grp")) & (F.col("unit") == F.col("_its_unit")) & F.col("kind").eqNullSafe(F.col("_its_kind")))
+    keyed = told.withColumnRenamed("fold", "_its_fold")
+    joined = rows.join(keyed, (F.col("fold") == F.col("_its_fold")) & same)
     candidate = F.least(
         F.when(F.col("near.earlier") < F.col("at"), F.struct(F.col("near.earlier").alias("twin_of"), F.col("near.cosine").alias("cosine"))),
         F.when(F.col("own") < F.col("at"), F.struct(F.col("own").alias("twin_of"), F.lit(1.0).alias("cosine"))))

@@ -77,11 +77,16 @@ def vectors(seed=1, n=90):
     return base
 
 
-def test_neighbours_by_cells_are_exact(spark, monkeypatch):
-    monkeypatch.setattr(cells, "CELL_ROWS", 12)
+LEVELS = pytest.mark.parametrize("flat", [1, 64])
+
+
+@LEVELS
+def test_neighbours_by_cells_are_exact(spark, monkeypatch, flat):
+    monkeypatch.setattr(cells, "TILE_ROWS", 6)
+    monkeypatch.setattr(cells, "FLAT_TILES", flat)
     monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
     data = vectors()
-    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)], "id long, vec array<double>")
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(data)] + [(1000, None)], "id long, vec array<double>")
     found = {}
     for r in cells.knn_join(df, 4).collect():
         found.setdefault(r["id"], []).append((r["place"], r["cosine"]))
@@ -93,8 +98,25 @@ def test_neighbours_by_cells_are_exact(spark, monkeypatch):
         assert np.allclose([c for _, c in sorted(found[i])], best, atol=1e-9)
 
 
-def test_first_twins_agree_with_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(cells, "CELL_ROWS", 12)
+def test_products_of_a_row_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(cells, "TILE_ROWS", 20)
+    monkeypatch.setattr(cells, "FLAT_TILES", 2)
+    rng, each = np.random.default_rng(3), []
+    for n in (300, 3000):
+        centres = rng.normal(size=(n // 10, 8))
+        data = np.repeat(centres, 10, axis=0) + rng.normal(size=(n, 8)) * 1e-3
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(data)], "id long, vec array<double>")
+        counted = spark.sparkContext.accumulator(0)
+        found = cells.knn_join(df, 4, counted=counted).collect()
+        assert len(found) == 4 * n and all(r["id"] // 10 == r["other"] // 10 for r in found)
+        each.append(counted.value / n)
+    assert each[1] < 2.5 * each[0] and each[1] < 100
+
+
+@LEVELS
+def test_first_twins_agree_with_brute_force(spark, monkeypatch, flat):
+    monkeypatch.setattr(cells, "TILE_ROWS", 6)
+    monkeypatch.setattr(cells, "FLAT_TILES", flat)
     monkeypatch.setattr(cells, "BLOCK_ROWS", 7)
     data = vectors(2)
     kinds = [f"s{i % 40}" for i in range(len(data))]
