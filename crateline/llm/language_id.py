@@ -21,8 +21,11 @@ from .registry import query
 
 #: Longer runs of letters are scored in cuts of this length.
 LONGEST = 24
-MEMO = 120_000
+#: Words of one generation of a worker's memo; there are two.
+MEMO = 60_000
 _MARK = "▁"
+_MIX = 0x9E3779B97F4A7C15
+#: Letters and, beyond ASCII, numerals that are none; those are cut out afterwards.
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -35,7 +38,10 @@ def vocabulary(name: str = "piece_bpe_32k.model") -> str:
 def words(text: str | None) -> list[str]:
     """Runs of letters, lower-cased; runs longer than ``LONGEST`` in cuts."""
     found = []
-    for run in _RUN.findall((text or "").lower()):
+    runs = _RUN.findall((text or "").lower())
+    if not all(map(str.isalpha, runs)):
+        runs = [part for run in runs for part in "".join(c if c.isalpha() else " " for c in run).split()]
+    for run in runs:
         if len(run) <= LONGEST:
             found.append(run)
         else:
@@ -49,31 +55,78 @@ def load_pieces(path: str) -> dict[str, int]:
 
     model = SentencePieceProcessor(model_file=path)
     names = (model.id_to_piece(i) for i in range(model.get_piece_size()))
-    usable = sorted({p for p in names if p and p == p.lower() and _RUN.fullmatch(p.removeprefix(_MARK) or "a") and _MARK not in p[1:]})
+    usable = sorted({p for p in names if p and p == p.lower() and (p.removeprefix(_MARK) or "a").isalpha() and _MARK not in p[1:]})
     return {p: i for i, p in enumerate(usable, 2)}
 
 
 class Lattice:
-    """Forward and backward sums over the segmentations of many words at once."""
+    """Forward and backward sums over the segmentations of many words at once.
+
+    Pieces are found by a 64-bit hash of their signs, in an open-addressing table, for a whole
+    column of spans at a time; what lies beyond every piece's beginning is not looked up.
+    """
 
     def __init__(self, pieces: dict[str, int]):
         self.pieces, self.longest = pieces, max(map(len, pieces), default=1)
+        begins = {p[:k] for p in pieces for k in range(1, len(p))}
+        ids = {self._hash(p): 0 for p in begins} | {self._hash(p): i for p, i in pieces.items()}  # 0: no piece, but the beginning of one
+        self.shift = np.uint64(64 - max(4, (8 * len(ids)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.ids, self.full = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, bool)
+        self.more, onward = np.zeros(size, bool), {self._hash(p) for p in begins}
+        for h, i in ids.items():
+            at = h >> int(self.shift)
+            while self.full[at]:
+                at = (at + 1) % size
+            self.keys[at], self.ids[at], self.full[at], self.more[at] = h, i, True, h in onward
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        h = 0
+        for c in piece:
+            h = ((h ^ ord(c)) * _MIX) & (1 << 64) - 1
+            h ^= h >> 29
+        return h * _MIX & (1 << 64) - 1
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """The place of each hash in the table, or -1."""
+        out, todo, at = np.full(len(hashes), -1, np.int64), np.arange(len(hashes)), hashes >> self.shift
+        while len(todo):
+            full = self.full[at]
+            todo, at = todo[full], at[full]
+            same = self.keys[at] == hashes[todo]
+            out[todo[same]] = at[same]
+            todo, at = todo[~same], (at[~same] + np.uint64(1)) % np.uint64(len(self.keys))
+        return out
 
-    def arcs(self, group: list[str], length: int) -> dict[tuple[int, int], np.ndarray]:
-        """For each span of a word of ``length`` signs: the piece there in each word."""
-        get = self.pieces.get
-        found = {}
+    def arcs(self, group: list[str], length: int) -> dict[tuple[int, int], tuple[np.ndarray, np.ndarray]]:
+        """For each span of a word of ``length`` signs: the words with a piece there, and the pieces."""
+        signs = np.frombuffer("".join(group).encode("utf-32-le"), np.uint32).reshape(len(group), length).astype(np.uint64)
+        mix, turn, found = np.uint64(_MIX), np.uint64(29), {}
         for a in range(length):
+            live, state = np.arange(len(group)), np.zeros(len(group), np.uint64)
             for b in range(a + 1, min(length, a + self.longest) + 1):
-                found[a, b] = np.fromiter((get(w[a:b], 0) for w in group), np.int32, len(group))
-            found[a, a + 1][found[a, a + 1] == 0] = 1
-        return {span: ids for span, ids in found.items() if ids.any()}
+                state = (state ^ signs[live, b - 1]) * mix
+                state ^= state >> turn
+                at = self._find(state * mix)
+                ids = np.where(at >= 0, self.ids[at], 0)
+                if b == a + 1:
+                    found[a, b] = live, np.where(ids > 0, ids, 1)
+                else:
+                    hit = ids > 0
+                    if hit.any():
+                        found[a, b] = live[hit], ids[hit]
+                on = (at >= 0) & self.more[at]
+                live, state = live[on], state[on]
+                if not len(live):
+                    break
+        return found
 
     def forward(self, arcs, length: int, size: int, prob: np.ndarray) -> np.ndarray:
         alpha = np.zeros((length + 1, size, prob.shape[1]))
         alpha[0] = 1
-        for (a, b), ids in sorted(arcs.items(), key=lambda x: x[0][1]):
-            alpha[b] += alpha[a] * prob[ids]
+        for (a, b), (rows, ids) in sorted(arcs.items(), key=lambda x: x[0][1]):
+            alpha[b, rows] += alpha[a, rows] * prob[ids]
         return alpha
 
     def logs(self, tokens: list[str], prob: np.ndarray) -> np.ndarray:
@@ -91,11 +144,11 @@ class Lattice:
             alpha = self.forward(arcs, length, len(group), prob)
             beta = np.zeros_like(alpha)
             beta[length] = 1
-            for (a, b), ids in sorted(arcs.items(), key=lambda x: -x[0][0]):
-                beta[a] += beta[b] * prob[ids]
+            for (a, b), (rows, ids) in sorted(arcs.items(), key=lambda x: -x[0][0]):
+                beta[a, rows] += beta[b, rows] * prob[ids]
             scale = weights[at] / alpha[length]
-            for (a, b), ids in arcs.items():
-                np.add.at(total, ids, alpha[a] * prob[ids] * beta[b] * scale)
+            for (a, b), (rows, ids) in arcs.items():
+                np.add.at(total, ids, alpha[a, rows] * prob[ids] * beta[b, rows] * scale[rows])
         total[0] = 0
         return total
 
@@ -154,7 +207,7 @@ def train(docs: DataFrame, path: str, per_language: int = 2000, rounds: int = 4,
 
 def _expectations(counted: DataFrame, column: dict[str, int], path: str, prob: np.ndarray) -> np.ndarray:
     def run(batches):
-        lattice, total = kept(f"lattice {path}", lambda: Lattice(load_pieces(path))), np.zeros_like(prob)
+        lattice, total = kept(f"lattice {path}", lambda: Lattice(load_pieces(path)), "language"), np.zeros_like(prob)
         for batch in batches:
             lang, tokens, n = (batch.column(k).to_pylist() for k in range(3))
             weights = np.zeros((len(tokens), prob.shape[1]))
@@ -176,15 +229,20 @@ def _told(texts: list[str | None], names: list[str], prob: np.ndarray, stamp: st
     tokens, at, sizes = code_tokens(lists)
     best, score = ["und"] * len(lists), np.zeros(len(lists))
     if names and len(at):
-        memo = kept("language memo", dict)
-        if memo.get("") != stamp or len(memo) > MEMO:  # of this model only
-            memo.clear()
-            memo[""] = stamp
+        held = kept("language memo", lambda: {"stamp": stamp, "memo": {}, "old": {}}, "language")
+        if held["stamp"] != stamp:  # another model's
+            held.update(stamp=stamp, memo={}, old={})
+        memo, old = held["memo"], held["old"]
+        for t in tokens:
+            if t not in memo and t in old:
+                memo[t] = old[t]
         new = [t for t in tokens if t not in memo]
         if new:
-            lattice = kept(f"lattice {path}", lambda: Lattice(load_pieces(path)))
+            lattice = kept(f"lattice {path}", lambda: Lattice(load_pieces(path)), "language")
             memo.update(zip(new, lattice.logs(new, prob), strict=True))
         logs = np.array([memo[t] for t in tokens])[at]
+        if len(memo) > MEMO:  # what was not used lately is forgotten
+            held.update(memo={}, old=memo)
         full = np.flatnonzero(sizes)
         sums = np.add.reduceat(logs, (np.cumsum(sizes) - sizes)[full], axis=0)
         share = 1 / np.exp(sums - sums.max(axis=1, keepdims=True)).sum(axis=1)
