@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 import uuid
@@ -51,12 +53,19 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def kept(name: str, make: Callable[[], object]) -> object:
-    """An object that a Python worker keeps from task to task.
+def kept(name: str, make: Callable[[], object], stage: str) -> object:
+    """An object that a Python worker keeps from task to task, as long as it works for one stage of a pipeline.
 
-    Functions of this package travel to the workers by value, so their own globals start anew in every task.
+    Workers go on from one stage to the next; what the stage before held is let go then. Functions of this
+    package travel to the workers by value, so their own globals start anew in every task.
     """
-    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__
+    held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__.setdefault("kept", {})
+    if held.get("") != stage:
+        held.clear()
+        held[""] = stage
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # where the C library can give freed memory back
     if name not in held:
         held[name] = make()
     return held[name]

@@ -28,7 +28,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 def coder(path: str) -> Coder:
     """The coder of this worker for a vocabulary file; every node has the file at that path."""
-    return kept(f"coder {path}", lambda: Coder(path))
+    return kept(f"coder {path}", lambda: Coder(path), "tokens")
 
 
 class Recent(dict):

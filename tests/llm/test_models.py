@@ -330,3 +330,24 @@ def test_exchanges_keep_arrays_and_order(values, buckets):
     assert exchange.unpacked(exchange.packed(keys, keys.astype(np.int16)))[0].tolist() == keys.tolist()
     cuts = list(exchange.slices(keys, buckets))
     assert [x for _, a, b in cuts for x in keys[a:b]] == keys.tolist() and all(b * 2**64 <= int(keys[x]) * buckets for b, x, _ in cuts)
+
+
+def test_numerals_that_are_no_letters_make_no_words():
+    assert language_id.words("½ ² Ⅷ ① 12") == [] and language_id.words("m² ab½cd É") == ["m", "ab", "cd", "é"]
+
+
+def test_a_worker_keeps_what_one_stage_needs():
+    made = []
+    make = lambda: made.append(1) or [len(made)]
+    from crateline.llm.common import kept
+    assert kept("a", make, "first") == kept("a", make, "first") == [1]
+    assert kept("b", make, "second") == [2] and kept("a", make, "first") == [3]
+
+
+def test_columns_of_spans_find_the_pieces_of_a_dictionary():
+    pieces = {p: i for i, p in enumerate(["▁a", "ab", "b", "abc", "▁abca", "ca", "é"], 2)}
+    lattice = language_id.Lattice(pieces)
+    for word in ("▁abca", "▁abcé", "▁xabc"):
+        found = {span: dict(zip(rows.tolist(), ids.tolist())) for span, (rows, ids) in lattice.arcs([word, word], len(word)).items()}
+        expected = {(a, b): pieces.get(word[a:b], int(b == a + 1)) for a in range(len(word)) for b in range(a + 1, len(word) + 1)}
+        assert found == {span: {0: i, 1: i} for span, i in expected.items() if i}
