@@ -172,6 +172,25 @@ def quarantine_plan(spark, sf):
     return dup.quarantine_plan(_chosen(spark, sf), "/root/src1")
 
 
+# Targets that exist already: of some names the plain one, of some the first suffix, of some the third.
+_ELEMENT = "CAST(regexp_extract(name, '/t([0-9]+)[.]', 1) AS INT)"
+_EXISTING = (("", f"{_ELEMENT} < 10"), ("__1", f"{_ELEMENT} BETWEEN 5 AND 15"), ("__3", f"{_ELEMENT} < 20"))
+
+
+@query("DD8_quarantine_beside_existing", f"""WITH wanted AS (SELECT path, min(ord) AS ord, any_value(base || stem) AS head, any_value(suffix) AS suffix FROM ({_PLAN}) GROUP BY path),
+ asked AS (SELECT *, row_number() OVER (PARTITION BY head, suffix ORDER BY ord, path) AS nth, count(*) OVER (PARTITION BY head, suffix) AS many FROM wanted),
+ heads AS (SELECT DISTINCT head, suffix, many, head || suffix AS name FROM asked),
+ taken AS ({" UNION ALL ".join(f"SELECT name, {mark[2:] or 0} AS number FROM heads WHERE {where}" for mark, where in _EXISTING)}),
+ open_ AS (SELECT head, suffix, number, row_number() OVER (PARTITION BY head, suffix ORDER BY number) AS nth FROM (SELECT head, suffix, name, unnest(range(many + 4)) AS number FROM heads) n
+  WHERE NOT EXISTS (SELECT 1 FROM taken t WHERE t.name = n.name AND t.number = n.number))
+ SELECT path, ord, head || CASE WHEN number = 0 THEN '' ELSE '__' || number END || suffix AS target FROM asked JOIN open_ USING (head, suffix, nth)""")
+def quarantine_beside_existing(spark, sf):
+    chosen = _chosen(spark, sf)
+    names = dup.quarantine_plan(chosen, "/root/src1").select(F.regexp_replace("target", "__[0-9]+([.][^./]+)$", "$1").alias("name")).distinct()
+    there = [names.filter(where).select(F.regexp_replace("name", "([.][^./]+)$", f"{mark}$1").alias("path")) for mark, where in _EXISTING]
+    return dup.quarantine_plan(chosen, "/root/src1", there[0].unionByName(there[1]).unionByName(there[2]))
+
+
 @query("DD9_plan_outcome", f"SELECT count_if(there) AS moved, count_if(NOT there) AS missing FROM (SELECT path, path IN (SELECT path FROM ({MANIFEST})) AS there FROM "
        f"(SELECT path FROM ({MANIFEST}) UNION SELECT path || '.gone' FROM ({MANIFEST})))")
 def plan_outcome(spark, sf):
