@@ -13,6 +13,7 @@ from ..functions.columns import col
 from ..functions.text import absolute_path, base_name, composed, stem
 from ..plans.ordered import Ordered, positions, runs
 from .cost import pair_cost
+from .moves import followed
 
 ORDER_FIELDS = {"bpm": "bpm", "energy": "energy", "key": "camelot"}
 
@@ -134,28 +135,13 @@ def moved(entries: DataFrame, source: Column | int, target: Column | int, size:
 def moved_all(entries: DataFrame, moves: DataFrame, playlist: str = "playlist", pos: str = "pos") -> DataFrame:
     """Several moves per playlist, applied in row order: (playlist, row, place).
 
-    The moves of one playlist travel as one small array; every entry then follows its own
-    position through them. ``row`` names the entry by its original position, so the array
-    first resolves where each named entry is when its turn comes.
+    ``row`` names the entry by its original position; rows that are not there are passed over,
+    places beyond an end mean that end. Any number of moves in lists of any length.
     """
-    sizes = entries.groupBy(playlist).agg(F.count("*").alias("_size"))
-    asked = moves.join(sizes, playlist).filter((F.col("row") >= 0) & (F.col("row") < F.col("_size")))
-    lists = asked.groupBy(playlist, "_size").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("row").cast("long").alias("row"),
-                                             F.col("place").cast("long").alias("place")))).alias("_moves"))
-    goal = lambda m: F.greatest(F.lit(1).cast("long"), F.least(F.col("_size"), m["place"])) - 1
-
-    def follow(at: Column, m: Column) -> Column:
-        return (F.when(at == m["from"], m["to"]).when((m["from"] < at) & (at <= m["to"]), at - 1)
-                .when((m["to"] <= at) & (at < m["from"]), at + 1).otherwise(at))
-
-    empty = F.expr("cast(array() as array<struct<from: bigint, to: bigint>>)")
-    resolved = F.aggregate("_moves", empty, lambda done, m: F.concat(done, F.array(F.struct(
-        F.aggregate(done, m["row"], follow).alias("from"), goal(m).alias("to")))))
-    lists = lists.select(playlist, resolved.alias("_steps"))
-    place = F.when(F.col("_steps").isNull(), F.col(pos).cast("long")).otherwise(
-        F.aggregate("_steps", F.col(pos).cast("long"), follow))
-    return entries.join(lists, playlist, "left").withColumn("new_pos", place).drop("_steps")
+    sizes = entries.groupBy(playlist).agg(F.count("*").alias("size"))
+    asked = moves.select(playlist, F.col("row").cast("long").alias("row"), F.col("place").cast("long").alias("place"))
+    asked = asked.join(sizes, playlist).filter((F.col("row") >= 0) & (F.col("row") < F.col("size")) & F.col("place").isNotNull())
+    return followed(entries, asked, playlist, pos)
 
 
 def appended(current: DataFrame, incoming: DataFrame, playlist: str = "playlist", track: str = "track",

@@ -111,6 +111,21 @@ def several_moves(spark, sf):
     return playlists.moved_all(rows, moves).select("playlist", "pos", "new_pos")
 
 
+# Every entry with an even track moves to a place told by its track: one round of the recursion takes one entry out and puts it back.
+_ASKED = f"SELECT playlist, pos AS row, track % 11 AS place FROM ({POSITIONS}) WHERE track % 2 = 0"
+
+
+@query("W16_many_moves", f"""WITH RECURSIVE m AS (SELECT *, row_number() OVER (PARTITION BY playlist ORDER BY row) AS i FROM ({_ASKED})),
+ o AS (SELECT playlist, 0 AS i, list(pos ORDER BY pos) AS l FROM ({POSITIONS}) GROUP BY playlist UNION ALL
+  SELECT playlist, i, list_concat(list_concat(list_slice(rest, 1, goal), [row]), list_slice(rest, goal + 1, len(rest))) FROM (SELECT o.playlist, m.i, m.row, list_filter(o.l, lambda x: x <> m.row) AS rest,
+   greatest(1, least(len(o.l), m.place)) - 1 AS goal FROM o JOIN m ON m.playlist = o.playlist AND m.i = o.i + 1))
+ SELECT playlist, unnest(l) AS pos, unnest(range(len(l))) AS new_pos FROM (SELECT playlist, arg_max(l, i) AS l FROM o GROUP BY playlist)""")
+def many_moves(spark, sf):
+    rows = numbered(spark, sf).rows
+    asked = rows.filter(F.col("track") % 2 == 0).select("playlist", F.col("pos").alias("row"), (F.col("track") % 11).alias("place"))
+    return playlists.moved_all(rows, asked).select("playlist", "pos", "new_pos")
+
+
 _INCOMING = f"SELECT playlist, CASE WHEN pos % 2 = 0 THEN track ELSE track + 1 END AS track, pos FROM ({POSITIONS})"
 
 

@@ -1,9 +1,11 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from crateline.operators import arcs, audit, duplicates, paths, playlists, segments, structure, sync
+from crateline.operators.moves import together
 from crateline.plans.ordered import Ordered, already_ordered
 
 from conftest import rows
@@ -60,6 +62,27 @@ def test_moves_follow_the_rows(spark):
     assert {(r["playlist"], r["pos"]): r["new_pos"] for r in found.collect()} == expected
 
 
+def test_many_moves_in_a_long_list(spark):
+    rng = random.Random(5)
+    n, asked = 3_000, {}
+    for row in rng.sample(range(3_000), 1_200):
+        asked[row] = rng.choice([1, 3_000, rng.randint(1, 3_000)])
+    entries = spark.range(n).selectExpr("'long' AS playlist", "id AS pos").unionByName(spark.range(4).selectExpr("'still' AS playlist", "id AS pos"))
+    moves = spark.createDataFrame([("long", r, t) for r, t in asked.items()] + [("nobody", 0, 1), ("still", 9, 1)], "playlist string, row int, place int")
+    found = {(r["playlist"], r["pos"]): r["new_pos"] for r in playlists.moved_all(entries, moves).collect()}
+    assert found == {("long", i): at for i, at in brute_moves(n, asked).items()} | {("still", i): i for i in range(4)}
+
+
+def test_stretches_grow_with_the_moves_only():
+    rng = np.random.default_rng(3)
+    for many in (10, 1_000, 20_000):
+        starts, by = together(np.sort(rng.choice(10**9, many, replace=False)), rng.integers(0, 10**9, many), 10**9)
+        assert len(starts) <= 3 * many + 1
+        ends = np.append(starts[1:], 10**9)
+        order = np.argsort(starts + by)
+        assert ((starts + by)[order][1:] == (ends + by)[order][:-1]).all()  # every place is taken once
+
+
 def test_appending_skips_repeats_once(spark):
     current = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "playlist int, track string, pos int")
     incoming = spark.createDataFrame([(1, "c", 0), (1, "a", 1), (1, "c", 2), (1, "a", 3)], "playlist int, track string, pos int")
