@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import arcs, neighbours, sequences
-from . import query
+from ..operators import arcs, neighbours, sequences, walks
+from . import SQL, query
 from .playlists import LISTED, listed, numbered
 from .keys import KEY_COST, SOUND_COST, TEMPO_COST
+from .neighbours import all_neighbours
 from .stand_ins import POSITIONS, TRACKS, table, tracks
 
 
@@ -185,12 +186,35 @@ def without_node(spark, sf):
     return sequences.without_node(edges, doomed)
 
 
-@query("G9_graph_walks")
+# A board holds one seed and its ten nearest, linked as a heap; its walk is the order of the ways from the first free end.
+_BOARD = f"SELECT id AS graph, other AS node, place AS ord FROM ({SQL['T4_all_neighbours']})"
+_BOARD_LINKS = f"SELECT graph, ord AS a, ord // 2 AS b FROM ({_BOARD}) WHERE ord > 1"
+
+
+def _walk_sql(nodes, links):
+    """Trees (graph, node, ord) with links (graph, a, b) between ``ord`` values: ways as lists, compared entry by entry."""
+    return f"""WITH RECURSIVE n AS ({nodes}), l AS (SELECT graph, a, b FROM ({links}) UNION ALL SELECT graph, b, a FROM ({links})),
+ d AS (SELECT graph, a, count(*) AS k FROM l GROUP BY ALL), r AS (SELECT n.graph, arg_min(n.ord, (CASE WHEN k = 1 THEN 0 ELSE 1 END, n.ord)) AS ord FROM n LEFT JOIN d ON d.graph = n.graph AND d.a = n.ord GROUP BY n.graph),
+ w AS (SELECT graph, ord, CAST(-1 AS BIGINT) AS up, CAST([] AS BIGINT[]) AS way FROM r UNION ALL SELECT w.graph, l.b, w.ord, list_append(w.way, CAST(l.b AS BIGINT)) FROM w JOIN l ON l.graph = w.graph AND l.a = w.ord AND l.b <> w.up)
+ SELECT n.graph, n.node, row_number() OVER (PARTITION BY n.graph ORDER BY way) - 1 AS place FROM w JOIN n ON n.graph = w.graph AND n.ord = w.ord"""
+
+
+@query("G9_graph_walks", _walk_sql(_BOARD, _BOARD_LINKS))
 def graph_walks(spark, sf):
-    # A board holds one seed and its ten nearest, so its size is bounded by the request.
-    near = neighbours.knn_join(tracks(spark, sf), 10)
-    nodes = near.select(F.col("id").alias("graph"), F.col("other").alias("node"), F.col("place").cast("long").alias("ord"))
+    nodes = all_neighbours(spark, sf).select(F.col("id").alias("graph"), F.col("other").alias("node"), F.col("place").cast("long").alias("ord"))
     before = F.floor(F.col("ord") / 2).cast("long")
     links = nodes.filter(F.col("ord") > 1).select("graph", F.col("node").alias("b"), before.alias("up"), "ord")
     edges = links.join(nodes.select("graph", F.col("ord").alias("up"), F.col("node").alias("a")), ["graph", "up"]).select("graph", "a", "b", "ord")
-    return sequences.walks(nodes, edges)
+    return walks.walks(nodes, edges)
+
+
+# Every event answers an earlier one that its user's number names: one tree of all events.
+_REPLIES = "SELECT 1 AS graph, event_id AS a, (user_id * 7919 + event_id * 31) % event_id AS b FROM events WHERE event_id > 0"
+
+
+@query("G9_walk_of_all_events", _walk_sql("SELECT 1 AS graph, event_id AS node, event_id AS ord FROM events", _REPLIES))
+def walk_of_all_events(spark, sf):
+    rows = table(spark, sf, "events").select(F.lit(1).alias("graph"), F.col("event_id").alias("node"), F.col("event_id").alias("ord"), "user_id")
+    earlier = F.when(F.col("node") > 0, (F.col("user_id") * 7919 + F.col("node") * 31) % F.col("node"))
+    edges = rows.filter("node > 0").select("graph", F.col("node").alias("a"), earlier.alias("b"), "ord")
+    return walks.walks(rows.drop("user_id"), edges, task_nodes=1_000)
