@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 from ..functions.text import file_uri_path
 from ..operators import sync
 from ..plans.session import checkpoint_dir
-from ..sources import catalogue_files, playlist_files
+from ..sources import catalogue_files, file_tree, playlist_files
 from . import query
 from .playlists import numbered
 from .stand_ins import CATALOGUE, MANIFEST, POSITIONS, catalogue, manifest, table, with_catalogue
@@ -134,6 +134,30 @@ def manifest_of_a_tree(spark, sf):
         "file", F.md5(F.encode("line", "UTF-8")).alias("content"))
 
 
+def _hidden_tree(spark, sf):
+    """A line per document, in files under folders whose names Spark's own listing passes over."""
+    root = _scratch(spark, "hidden")
+    lines = table(spark, sf, "documents").select(F.col("source").alias("_source"), "doc_id", F.concat_ws(" ", "doc_id", "lang", F.md5("text")).alias("value"))
+    lines.repartition("_source").sortWithinPartitions("_source", "doc_id").select("_source", "value").write.partitionBy("_source").text(root)
+    files = catalogue_files.manifest(spark, root).filter(F.col("path").endswith(".txt"))
+    return files.withColumn("source", F.regexp_extract("path", "_source=([^/]+)/", 1))
+
+
+_LINES = "SELECT source, doc_id, concat_ws(' ', doc_id, lang, md5(text)) AS line FROM documents"
+
+
+@query("S4_hidden_names", f"SELECT source, count(DISTINCT source) AS files, sum(length(line) + 1) AS size FROM ({_LINES}) GROUP BY source")
+def hidden_names(spark, sf):
+    return _hidden_tree(spark, sf).groupBy("source").agg(F.count("*").alias("files"), F.sum("size").alias("size"))
+
+
+@query("S9_lines_with_offsets", f"SELECT source, line, sum(length(line) + 1) OVER (PARTITION BY source ORDER BY doc_id) - length(line) - 1 AS \"offset\" FROM ({_LINES})")
+def lines_with_offsets(spark, sf):
+    """Files cut every 4,096 bytes, so that most lines cross a cut or stand beside one."""
+    files = _hidden_tree(spark, sf)
+    return file_tree.read_lines(files, 4_096).join(files.select("path", "source"), "path").select("source", "line", "offset")
+
+
 @query("S5_analysed_extensions", f"SELECT doc_id FROM ({MANIFEST}) WHERE lower(path) LIKE '%.mp3' OR lower(path) LIKE '%.flac'")
 def analysed_extensions(spark, sf):
     return catalogue_files.with_extensions(manifest(spark, sf), catalogue_files.ANALYSED).select("doc_id")

@@ -9,8 +9,10 @@ from pyspark.sql import types as T
 from ..functions.columns import blank_to_null
 from ..functions.formats import AUDIO_FORMATS, format_of, is_audio
 from ..functions.text import base_name, suffix
+from ..operators.duplicates import QUARANTINE
 from ..operators.sync import appendable, latest
 from ..plans.ranking import finite
+from .file_tree import contents, tree
 
 ROW_SCHEMA = T.StructType([
     T.StructField("seq", T.LongType()), T.StructField("path", T.StringType()), T.StructField("name", T.StringType()),
@@ -62,25 +64,27 @@ def rewritten(rows: DataFrame, target: str) -> None:
     rows.write.mode("errorifexists").parquet(target)
 
 
-def manifest(spark: SparkSession, root: str, audio_only: bool = False, skip: tuple[str, ...] = ("_DUPLICATES_TO_DELETE",)) -> DataFrame:
-    """Files of a tree from their metadata alone; the content column is never read.
+def _listed(spark: SparkSession, root: str, skip: tuple[str, ...], quarantined: bool) -> DataFrame:
+    return tree(spark, root, skip if quarantined else (*skip, QUARANTINE))
 
-    Spark's file listing passes over names that begin with a dot or an underscore, so side-cars
-    have to come from a manifest table made elsewhere.
+
+def manifest(spark: SparkSession, root: str, audio_only: bool = False, skip: tuple[str, ...] = (), quarantined: bool = False) -> DataFrame:
+    """Files of a tree from their metadata alone, hidden names included; what cannot be looked at is in ``unreadable``.
+
+    Folders named in ``skip`` are left out at any depth, those of the quarantine unless ``quarantined``.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^file:/*", "/")
-    listed = files.select(path.alias("path"), F.col("length").alias("size"), (F.unix_micros("modificationTime") / 1e6).alias("mtime"))
-    listed = listed.withColumn("fmt", format_of("path"))
-    inside = F.split(F.regexp_replace(F.substring("path", len(root.rstrip("/")) + 2, 1 << 30), "/?[^/]*$", ""), "/")
-    listed = listed.filter(~F.arrays_overlap(inside, F.array(*[F.lit(s) for s in skip])))
+    listed = _listed(spark, root, skip, quarantined).filter(F.col("reason").isNull()).drop("reason").withColumn("fmt", format_of("path"))
     return listed.filter(is_audio("fmt")) if audio_only else listed
 
 
+def unreadable(spark: SparkSession, root: str, skip: tuple[str, ...] = (), quarantined: bool = False) -> DataFrame:
+    """(path, reason) of the files and folders under ``root`` that could not be looked at."""
+    return _listed(spark, root, skip, quarantined).filter(F.col("reason").isNotNull()).select("path", "reason")
+
+
 def with_content(spark: SparkSession, root: str, wanted: DataFrame) -> DataFrame:
     """(path, content) of the wanted files only."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content").join(wanted.select("path"), "path", "left_semi")
+    return contents(wanted)
 
 
 def with_extensions(files: DataFrame, extensions: tuple[str, ...]) -> DataFrame:

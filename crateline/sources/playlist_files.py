@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence as Seq
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import file_uri_path
 from ..plans.ordered import positions
+from .file_tree import plain, read_lines, tree
 
 
-#: Lines of one written file at most, so that a reader may take a file whole.
+#: Lines of one written file at most.
 FILE_LINES = 100_000
 
 
@@ -41,19 +43,31 @@ def parse_m3u8(lines: DataFrame, order: Seq[Column | str], playlist: str = "play
     return positions(kept.withColumn("path", path), [playlist], order).rows.select(playlist, "pos", "path")
 
 
+def matching(pattern: str) -> tuple[str, str]:
+    """The folder to list and the regular expression of the paths that a pattern (or all files of a folder) means."""
+    pattern = plain(pattern)
+    if not re.search("[*?]", pattern):
+        pattern += "/*"
+    root = re.split("[*?]", pattern)[0].rsplit("/", 1)[0]
+    parts = {"*": "[^/]*", "?": "[^/]"}
+    names = "/".join(("(?!\\.)" if n[:1] in parts else "") + "".join(parts.get(c, re.escape(c)) for c in n) for n in pattern.split("/"))
+    return root or "/", f"^{names}$"
+
+
 def read_m3u8(spark: SparkSession, pattern: str) -> DataFrame:
-    """Playlists named by their file stem. One file is one playlist, as people keep them."""
-    whole = spark.read.text(pattern, wholetext=True).select(
-        F.regexp_replace(F.regexp_extract("_metadata.file_name", "([^/]*)$", 1), "\\.[^.]+$", "").alias("playlist"), "value")
-    lines = whole.select("playlist", F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
-    return parse_m3u8(lines, ["line_no"])
+    """Playlists named by their file stem, files of a folder or of a pattern with ``*`` and ``?``. One file is one playlist, as people keep them."""
+    root, paths = matching(pattern)
+    lines = read_lines(tree(spark, root).filter(F.col("path").rlike(paths))).filter("reason IS NULL")
+    playlist = F.regexp_replace(F.regexp_extract("path", "([^/]*)$", 1), "\\.[^.]+$", "")
+    return parse_m3u8(lines.select(playlist.alias("playlist"), "path", "offset", "line").withColumnRenamed("path", "file"), ["file", "offset"])
 
 
 def read_shelf(spark: SparkSession, folder: str) -> DataFrame:
     """Playlists as ``write_m3u8`` leaves them: one folder each, lines in the order of files and lines."""
-    whole = spark.read.schema("value string, playlist string").text(folder, wholetext=True).select("playlist", F.col("_metadata.file_name").alias("file"), "value")
-    lines = whole.select("playlist", "file", F.posexplode(F.split("value", "\\r?\\n")).alias("line_no", "line"))
-    return parse_m3u8(lines, ["file", "line_no"])
+    files = tree(spark, folder).filter(F.col("path").rlike("/playlist=[^/]*/part-[^/]*$"))
+    lines = read_lines(files).filter("reason IS NULL").withColumnRenamed("path", "file")
+    named = F.url_decode(F.replace(F.regexp_extract("file", "/playlist=([^/]*)/[^/]*$", 1), F.lit("+"), F.lit("%2B")))
+    return parse_m3u8(lines.select(F.nullif(named, F.lit("__HIVE_DEFAULT_PARTITION__")).alias("playlist"), "file", "offset", "line"), ["file", "offset"])
 
 
 def shelf_names(entries: DataFrame, playlist: str = "playlist") -> DataFrame:
