@@ -48,6 +48,16 @@ def upserted(spark, sf):
     return streams.read_latest(spark, home + "/table").select("path", "event_id", "value")
 
 
+@query("ST3_upserted_in_batches", "SELECT user_id AS path, arg_max(event_id, event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
+def upserted_in_batches(spark, sf):
+    """Seven arrivals, the newest rows not in the last of them: runs of four, two and one batches are left."""
+    home = f"{checkpoint_dir(spark)}/upsert-{uuid.uuid4().hex}"
+    rows = events(spark, sf).select(F.col("user_id").alias("path"), F.col("event_id").alias("seq"), "event_id", "value", (F.col("event_id") * 5 % 7).alias("part"))
+    for _ in _arrivals(rows, home, 7):
+        streams.upsert_latest(_queue(spark, rows, home), home + "/table", home + "/state", buckets=8).awaitTermination()
+    return streams.read_latest(spark, home + "/table").select("path", "event_id", "value")
+
+
 def _arrivals(rows, home, parts=3):
     """Write the rows as so many arrivals, one after another: yields after each."""
     for part in range(parts):

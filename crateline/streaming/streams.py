@@ -44,22 +44,91 @@ def activity_sessions(events: DataFrame, by: str, at: str = "at", gap: str = "30
 
 # --- sinks -----------------------------------------------------------------------------------
 
-def upsert_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "path", seq: str = "seq"):
-    """Each micro-batch leaves its last row per key under its own number, so replays overwrite themselves."""
+# A table of last rows is a set of runs: each holds one row per key, in files of key buckets. A
+# batch takes in the runs of levels 0, 1, 2 .. as far as they are there without a gap, and becomes
+# the run of the next level, as a binary counter carries: n batches leave at most log2(n) + 1 runs,
+# and a row is written again log2(n) times. What is live after a batch stands in its manifest,
+# written last; a batch that is replayed starts from the manifest before it and overwrites its own.
+
+_RUNS = "run long, level int"
+#: Files of a run; fixed for a table. Level of a compacted run, above what batches reach.
+BUCKETS, COMPACTED = 64, 60
+
+
+def _live(spark: SparkSession, target: str, number: int) -> list[tuple[int, int]]:
+    """(run, level) after a batch: one row per level, so a list of logarithmic length."""
+    return sorted(((r["run"], r["level"]) for r in spark.read.schema(_RUNS).json(f"{target}/manifest/batch={number}").collect()), key=lambda r: r[1])
+
+
+def _commit(spark: SparkSession, target: str, number: int, live: list[tuple[int, int]], mode: str = "overwrite") -> None:
+    spark.createDataFrame(live, _RUNS).coalesce(1).write.mode(mode).json(f"{target}/manifest/batch={number}")
+
+
+def _committed(spark: SparkSession, target: str) -> int:
+    """The last batch with a manifest, told from the names alone."""
+    names = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(f"{target}/manifest").select("path")
+    last = names.agg(F.max(F.regexp_extract("path", "/batch=(-?[0-9]+)/[^/]*$", 1).cast("long")).alias("last")).first()["last"]
+    return -1 if last is None else last
+
+
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def _write_run(rows: DataFrame, target: str, run: int, key: str, buckets: int) -> None:
+    """The rows of a key bucket in one file, so that a key is in one file of a run."""
+    placed = rows.withColumn("bucket", _bucket(key, buckets)).repartition(buckets, "bucket")
+    placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/runs/run={run}")
+
+
+def _read_runs(spark: SparkSession, target: str, runs: list[int], schema: T.StructType | None = None) -> DataFrame:
+    reader = spark.read.option("basePath", f"{target}/runs")
+    if schema is not None:
+        reader = reader.schema(T.StructType([*schema.fields, T.StructField("run", T.LongType()), T.StructField("bucket", T.IntegerType())]))
+    return reader.parquet(*[f"{target}/runs/run={run}" for run in runs]).drop("run")
+
+
+def upsert_latest(stream: DataFrame, target: str, checkpoint: str, key: str = "path", seq: str = "seq", buckets: int = BUCKETS):
+    """Keep the last row per key of a stream in runs of growing size; a batch is visible once its manifest is written."""
+    _commit(stream.sparkSession, target, -1, [], "ignore")
+
     def merge(batch: DataFrame, number: int) -> None:
-        latest(batch, key, seq).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        spark, rows = batch.sparkSession, batch
+        live, level = _live(spark, target, number - 1), 0
+        held = {at: run for run, at in live}
+        while level in held:
+            level += 1
+        taken = [held[at] for at in range(level)]
+        if taken:
+            rows = rows.unionByName(_read_runs(spark, target, taken, batch.schema).drop("bucket"))
+        _write_run(latest(rows, key, seq), target, number, key, buckets)
+        _commit(spark, target, number, [(number, level), *[r for r in live if r[1] > level]])
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def live_runs(spark: SparkSession, target: str) -> list[tuple[int, int]]:
+    """(run, level) of the runs a reader has to look at; other folders of ``runs`` may be removed once no reader uses them."""
+    return _live(spark, target, _committed(spark, target))
+
+
 def read_latest(spark: SparkSession, target: str, key: str = "path", seq: str = "seq") -> DataFrame:
-    """The last row per key over all batches, whatever their order of arrival."""
-    return latest(spark.read.parquet(target).drop("batch"), key, seq)
+    """The last row per key of the committed runs."""
+    return latest(_read_runs(spark, target, [run for run, _ in live_runs(spark, target)]).drop("bucket"), key, seq)
+
+
+def read_keys(spark: SparkSession, target: str, keys: list, key: str = "path", seq: str = "seq", buckets: int = BUCKETS) -> DataFrame:
+    """The last rows of a few keys: one file of each run for each key is opened, the others are pruned by name."""
+    rows = _read_runs(spark, target, [run for run, _ in live_runs(spark, target)])
+    wanted = spark.createDataFrame([(k,) for k in keys], T.StructType([rows.schema[key]]))
+    found = [r["bucket"] for r in wanted.select(_bucket(key, buckets).alias("bucket")).distinct().collect()]
+    return latest(rows.filter(F.col("bucket").isin(found) & F.col(key).isin(keys)).drop("bucket"), key, seq)
 
 
-def compact(spark: SparkSession, target: str, fresh: str, key: str = "path", seq: str = "seq") -> None:
-    """The batches so far as one, in a new place."""
-    read_latest(spark, target, key, seq).write.mode("errorifexists").parquet(f"{fresh}/batch=0")
+def compact(spark: SparkSession, target: str, fresh: str, key: str = "path", seq: str = "seq", buckets: int = BUCKETS) -> None:
+    """All runs as one, in a new place, where a stream may go on with a new checkpoint."""
+    _write_run(read_latest(spark, target, key, seq), fresh, -1, key, buckets)
+    _commit(spark, fresh, -1, [(-1, COMPACTED)])
 
 
 # --- resumable work --------------------------------------------------------------------------

@@ -1,4 +1,7 @@
+import contextlib
+import io
 import json
+import random
 import uuid
 
 from pyspark.sql import functions as F
@@ -18,6 +21,13 @@ def start(spark, home, part, data, attempts=3, remember="30 days", fail=lambda:
     return [json.loads(p.json) for p in query.recentProgress]
 
 
+def explained(df):
+    said = io.StringIO()
+    with contextlib.redirect_stdout(said):
+        df.explain("formatted")
+    return said.getvalue()
+
+
 def fresh(spark):
     return f"{checkpoint_dir(spark)}/test-{uuid.uuid4().hex}"
 
@@ -66,3 +76,51 @@ def test_backfilled_fields_do_not_replace_what_is_there(spark):
     compute = lambda df: df.select("path", "attempt", (F.col("path") * 1.5).alias("value"), F.when(F.col("path") == 3, F.lit("bad")).alias("error"))
     streams.backfill_stream(stream, F.col("value").isNull(), compute, home + "/out", home + "/state").awaitTermination()
     assert {r["path"]: r["value"] for r in streams.with_backfill(rows, home + "/out", ["value"]).collect()} == {1: 1.5, 2: 7.0, 3: None}
+
+
+def upserted(spark, home, part, data):
+    spark.createDataFrame(data, "path long, seq long, said string").coalesce(1).write.parquet(f"{home}/queue/part={part}")
+    stream = spark.readStream.schema("path long, seq long, said string").parquet(f"{home}/queue/*")
+    streams.upsert_latest(stream, home + "/table", home + "/state", buckets=4).awaitTermination()
+
+
+def test_runs_stay_few_and_hold_the_last_rows(spark):
+    home = fresh(spark)
+    rng, last = random.Random(2), {}
+    for part in range(9):
+        data = [(rng.randrange(30), 100 * part + i if part != 5 else i, f"{part}-{i}") for i in range(20)]  # the sixth comes late
+        upserted(spark, home, part, data)
+        for path, seq, said in data:
+            if (seq, part) > last.get(path, (-1, -1, ""))[:2]:
+                last[path] = (seq, part, said)
+        runs = streams.live_runs(spark, home + "/table")
+        assert sum(2 ** level for _, level in runs) == part + 1  # a binary counter of batches
+    at = {k: v[2] for k, v in last.items()}
+    # Ties of the late batch with the first are told apart by nobody; leave them out.
+    tied = {k for k, v in last.items() if v[0] < 20}
+    found = {r["path"]: r["said"] for r in streams.read_latest(spark, home + "/table").collect()}
+    assert set(found) == set(at) and all(found[k] == at[k] for k in at if k not in tied)
+    for run, _ in runs:
+        files = spark.read.parquet(f"{home}/table/runs/run={run}").select("path", F.col("_metadata.file_path").alias("file"))
+        assert files.groupBy("path").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    few = streams.read_keys(spark, home + "/table", [3, 7, 999], buckets=4)
+    assert {r["path"] for r in few.collect()} == {3, 7} & set(at)
+    assert "PartitionFilters: [isnotnull(bucket" in explained(few) or "PartitionFilters: [bucket" in explained(few)
+
+
+def test_a_replayed_batch_and_a_new_place(spark):
+    home = fresh(spark)
+    for part in range(3):
+        upserted(spark, home, part, [(1, part, f"v{part}"), (10 + part, 0, "own")])
+    table = home + "/table"
+    assert streams.live_runs(spark, table) == [(2, 0), (1, 1)]
+    # A run that was written but not committed changes nothing.
+    spark.createDataFrame([(1, 99, "torn", 0)], "path long, seq long, said string, bucket int").write.partitionBy("bucket").parquet(table + "/runs/run=3")
+    expected = {1: "v2", 10: "own", 11: "own", 12: "own"}
+    assert {r["path"]: r["said"] for r in streams.read_latest(spark, table).collect()} == expected
+    upserted(spark, home, 3, [])
+    assert {r["path"]: r["said"] for r in streams.read_latest(spark, table).collect()} == expected
+    streams.compact(spark, table, home + "/fresh")
+    stream = spark.readStream.schema("path long, seq long, said string").parquet(f"{home}/queue/part=0")
+    streams.upsert_latest(stream, home + "/fresh", home + "/fresh_state").awaitTermination()
+    assert {r["path"]: r["said"] for r in streams.read_latest(spark, home + "/fresh").collect()} == expected
