@@ -302,6 +302,12 @@ def first_errors(spark, sf):
     return sync.first_errors(rows, "id").select("id", "error")
 
 
+@query("ST4_error_counts", with_catalogue("SELECT count(*) AS done, count(*) FILTER (bpm IS NULL) AS failed FROM catalogue"))
+def error_counts(spark, sf):
+    """All errors of a job, beside the first hundred that are told one by one."""
+    return sync.job_summary(catalogue(spark, sf).withColumn("error", F.when(F.col("bpm").isNull(), F.lit("no tempo"))))
+
+
 @query("V3_projection")
 def projection(spark, sf):
     from ..operators.projection import project
