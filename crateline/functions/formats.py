@@ -20,16 +20,13 @@ AUDIO_FORMATS = {
 OTHER = "OTHER"
 SIDECAR = "AppleDouble (._ macOS)"
 NO_EXTENSION = "(no extension)"
-# Why a file that is not audio may still matter.
+# What a file that is not audio may hold; such files are not junk. Reasons are short codes.
 NOT_JUNK = {
-    ".xml": "a rekordbox library export looks exactly like this",
-    ".nml": "a Traktor collection, cue points and loops included",
-    ".m3u": "a playlist", ".m3u8": "a playlist", ".pls": "a playlist",
-    ".cue": "a cue sheet says where to cut a continuous mix",
-    ".db": "an application's database (djay, rekordbox)",
-    ".edb": "a rekordbox database", ".pdb": "a rekordbox database",
-    ".json": "the analyses this very app writes are .json files",
-    ".asd": "Ableton's analysis: it comes back by itself, but slowly",
+    ".xml": "library", ".nml": "library",
+    ".m3u": "playlist", ".m3u8": "playlist", ".pls": "playlist",
+    ".cue": "cut marks",
+    ".db": "database", ".edb": "database", ".pdb": "database",
+    ".json": "analyses", ".asd": "analyses",
 }
 # Half width of the neutral zone, bars of the energy glyph.
 NEUTRAL_ZONE = 0.15

@@ -247,7 +247,7 @@ def human_size(spark, sf):
     return rows.select("doc_id", fmt.human_size(size).alias("told"))
 
 
-@query("P33_not_junk", f"SELECT doc_id, CASE WHEN e = '.xml' THEN 'a rekordbox library export looks exactly like this' END AS reason FROM (SELECT *, {_EXT} AS e FROM {_F})")
+@query("P33_not_junk", f"SELECT doc_id, CASE WHEN e = '.xml' THEN 'library' END AS reason FROM (SELECT *, {_EXT} AS e FROM {_F})")
 def not_junk(spark, sf):
     return manifest(spark, sf).select("doc_id", fmt.not_junk_reason("path").alias("reason"))
 
