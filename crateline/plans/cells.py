@@ -9,6 +9,9 @@ the pivot's farthest vector. The first pass looks only into the home tile and so
 neighbours; the second pass visits the other tiles that radius reaches, and each of them gets the query's vector once. Tiles
 are cut into blocks of bounded size on both sides, so a tile of many copies becomes many equal
 tasks. Pivots are a sample by hash; they change the speed, never the result.
+
+Vectors without structure reach most tiles. Where a query would visit more than ``VISITS`` tiles in the
+mean, all blocks of rows meet all blocks instead (``all_pairs``).
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import unit
+from . import all_pairs
 from .session import cut
 
 BLOCK_ROWS = 4_096
@@ -30,6 +34,8 @@ TILE_ROWS = 1_000
 FLAT_TILES, MAX_PIVOTS = 64, 1_024
 # Queries whose visits are listed at once.
 LISTED = 512
+# Tiles that a query may visit in the mean.
+VISITS = 24
 # Slack on the bound, against rounding.
 SLACK = 1e-6
 
@@ -111,9 +117,9 @@ class Tree:
         listed = known.columns
         return _meet(known, self.tiles, "cell", lambda q, p: inside(q, p)[listed], schema, whole=True)
 
-    def visits(self, queries: DataFrame) -> DataFrame:
-        """One row per query and tile its ``radius`` may reach, but for the home tile."""
-        pivots, farthest, flat = self.pivots, self.farthest, self.tiles is None
+    def _in_cells(self, queries: DataFrame) -> DataFrame:
+        """One row per query and cell its ``radius`` may reach."""
+        pivots, farthest = self.pivots, self.farthest
 
         def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for whole in batches:
@@ -123,9 +129,13 @@ class Tree:
                     row, cell = np.nonzero(hit)
                     yield batch.iloc[row].assign(cell=cell.astype(np.int64))
 
+        return queries.mapInPandas(reach, _schema(queries))
+
+    def visits(self, queries: DataFrame) -> DataFrame:
+        """One row per query and tile its ``radius`` may reach, but for the home tile."""
         home = queries.withColumn("home", F.col("tile"))
-        in_cell = home.mapInPandas(reach, _schema(home))
-        if flat:
+        in_cell = self._in_cells(home)
+        if self.tiles is None:
             return in_cell.withColumn("tile", F.col("cell")).filter(F.col("tile") != F.col("home")).drop("home")
 
         def inside(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
@@ -140,6 +150,27 @@ class Tree:
         told = _meet(in_cell.select(*listed), self.tiles, "cell", lambda q, p: inside(q, p)[listed], _schema(home))
         return told.filter(F.col("tile") != F.col("home")).drop("home")
 
+    def wide(self, queries: DataFrame) -> bool:
+        """Whether the ``radius`` of queries reaches more than VISITS tiles in the mean, counted without a row for each visit."""
+        pivots, farthest, flat = self.pivots, self.farthest, self.tiles is None
+
+        def reach(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                if len(batch):
+                    yield pd.DataFrame({"hits": [int(_reached(_distances(_stack(batch["unit"]), pivots), farthest, batch["radius"].to_numpy()).sum())], "asked": len(batch)})
+
+        hits, asked = queries.select("unit", "radius").mapInPandas(reach, "hits long, asked long").agg(F.sum("hits"), F.sum("asked")).first()
+        if not asked or flat or hits > VISITS * asked:
+            return bool(asked) and hits > VISITS * asked
+
+        def inside(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+            if not len(q) or not len(p):
+                return pd.DataFrame({"hits": []})
+            return pd.DataFrame({"hits": [int(_reached(_distances(_stack(q["unit"]), _stack(p["unit"])), p["farthest"].to_numpy(), q["radius"].to_numpy()).sum())]})
+
+        told = _meet(self._in_cells(queries.select("id", "unit", "cell", "radius")), self.tiles, "cell", inside, "hits long")
+        return (told.agg(F.sum("hits")).first()[0] or 0) > VISITS * asked
+
 
 def grow(points: DataFrame, rows: int) -> Tree:
     """A tree over points (``id``, ``unit`` and whatever else they carry)."""
@@ -226,17 +257,21 @@ def knn_join(df: DataFrame, k: int, vec: str = "vec", counted=None) -> DataFrame
     ``counted`` may be an accumulator, to which the number of products is added.
     """
     points = cut(units(df, vec))
-    tree = grow(points, points.count())
+    count = points.count()
+    tree = grow(points, count)
     schema = "id long, other long, cosine double"
     home = cut(top_k(_meet(tree.placed, tree.placed, "tile", _best_k(k, counted), schema), k))
     bound = home.groupBy("id").agg(F.count("*").alias("n"), F.min("cosine").alias("least")).filter(F.col("n") >= k)
     radius = F.when(F.col("least").isNotNull(), F.sqrt(F.greatest(F.lit(0.0), 2.0 - 2.0 * F.col("least"))))
-    asking = cut(tree.placed.join(bound, "id", "left").select("id", "unit", "cell", "tile", radius.alias("radius")))
+    asking = cut(tree.placed.join(bound, "id", "left").select("id", "unit", "cell", "tile", radius.alias("radius"), "least"))
     # Rows with fewer than k neighbours at home take their bound from the tiles around.
-    lone = tree.bounded(asking.filter(F.col("radius").isNull()).drop("radius"), k)
+    lone = cut(tree.bounded(asking.filter(F.col("radius").isNull()).drop("radius", "least"), k)).withColumn("least", F.lit(None).cast("double"))
     asking = asking.filter(F.col("radius").isNotNull()).unionByName(lone)
-    away = _meet(cut(tree.visits(asking).drop("radius", "cell")), tree.placed, "tile", _best_k(k, counted), schema)
-    return top_k(home.drop("place").unionByName(away), k)
+    if tree.wide(asking):
+        met = all_pairs.meet_all(asking.select("id", "unit", "least"), points, count, all_pairs.best_others(k, counted), schema)
+        return cut(top_k(met, k))
+    away = _meet(cut(tree.visits(asking.drop("least")).drop("radius", "cell")), tree.placed, "tile", _best_k(k, counted), schema)
+    return cut(top_k(home.drop("place").unionByName(away), k))
 
 
 def first_twins(df: DataFrame, least: float, by: str | None = None, vec: str = "vec", order: str = "pos",
@@ -259,8 +294,7 @@ def first_twins(df: DataFrame, least: float, by: str | None = None, vec: str = "
     tree = grow(points, count)
     radius = float(np.sqrt(max(0.0, 2.0 - 2.0 * least)))
     listed = tree.placed.columns
-    away = tree.visits(tree.placed.withColumn("radius", F.lit(radius))).select(*listed)
-    everywhere = cut(tree.placed.unionByName(away)).drop("cell")
+    asking = tree.placed.withColumn("radius", F.lit(radius))
 
     def match(q: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"id": [], "earlier": [], "cosine": []})
@@ -278,7 +312,12 @@ def first_twins(df: DataFrame, least: float, by: str | None = None, vec: str = "
         row = np.flatnonzero(twin.any(axis=1))
         return pd.DataFrame({"id": q["id"].to_numpy()[row], "earlier": firsts[row, best[row]], "cosine": scores[row, best[row]]})
 
-    met = _meet(everywhere, tree.placed, "tile", match, "id long, earlier long, cosine double")
+    schema = "id long, earlier long, cosine double"
+    if tree.wide(asking):
+        met = all_pairs.meet_all(points.select("id", "unit", "grp", "kind", "last"), points.select("id", "unit", "grp", "kind", "first"), count, all_pairs.first_twin(least), schema)
+    else:
+        everywhere = cut(tree.placed.unionByName(tree.visits(asking).select(*listed))).drop("cell")
+        met = _meet(everywhere, tree.placed, "tile", match, schema)
     near = met.groupBy("id").agg(F.min(F.struct("earlier", "cosine")).alias("near"))
     told = points.join(near, "id", "left").select(
         "fold", *[F.col(c).alias(f"_its_{c}") for c in ("grp", "unit", "kind")], "near", F.when(F.col("kind").isNull(), F.col("first")).alias("own"))

@@ -113,6 +113,34 @@ def test_products_of_a_row_do_not_grow_with_the_rows(spark, monkeypatch):
     assert each[1] < 2.5 * each[0] and each[1] < 100
 
 
+def test_vectors_without_structure_meet_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(cells, "TILE_ROWS", 6)
+    monkeypatch.setattr(cells.all_pairs, "BLOCKS", 3)
+    monkeypatch.setattr(cells.all_pairs, "SQUARE", (7, 11))
+    data = np.random.default_rng(5).normal(size=(400, 24))
+    data[::9] = data[0]
+    kinds = [f"s{i % 40}" if i % 3 else None for i in range(len(data))]
+    unit = data / np.linalg.norm(data, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    df = spark.createDataFrame([(1, i, i, kinds[i], v.tolist()) for i, v in enumerate(data)], "playlist long, id long, pos long, song string, vec array<double>")
+    sent, meet = [], cells.all_pairs.meet_all
+    monkeypatch.setattr(cells.all_pairs, "meet_all", lambda *a: sent.append(1) or meet(*a))
+    found = {(r["id"], r["place"]): r for r in cells.knn_join(df, 4).collect()}
+    for i in range(len(data)):
+        others = sorted((j for j in range(len(data)) if j != i), key=lambda j: (-round(scores[i, j], 9), j))[:4]
+        assert [found[i, n + 1]["other"] for n in range(4)] == others
+        assert np.allclose([found[i, n + 1]["cosine"] for n in range(4)], scores[i, others], atol=1e-12)
+    assert len(found) == 4 * len(data)
+    for ignore in (None, "song"):
+        expected = {}
+        for b in range(len(data)):
+            for a in range(b):
+                if scores[a, b] >= 0.3 and not (ignore and kinds[a] is not None and kinds[a] == kinds[b]):
+                    expected.setdefault(b, a)
+        assert {r["at"]: r["twin_of"] for r in cells.first_twins(df, 0.3, by="playlist", ignore=ignore).collect()} == expected
+    assert len(sent) == 3
+
+
 @LEVELS
 def test_first_twins_agree_with_brute_force(spark, monkeypatch, flat):
     monkeypatch.setattr(cells, "TILE_ROWS", 6)
