@@ -49,9 +49,10 @@ def roots(nodes: DataFrame, edges: DataFrame, graph: str, node: str) -> DataFram
     return held.groupBy(graph).agg(F.min_by(node, rank).alias("root"))
 
 
-def _tree_places(nodes: DataFrame, edges: DataFrame, graph: str, node: str) -> tuple[DataFrame, DataFrame]:
-    """Places in the graphs whose walked part is a tree, and (graph) of these."""
-    root = roots(nodes, edges, graph, node)
+def _tree_places(nodes: DataFrame, edges: DataFrame, graph: str, node: str, graphs: int) -> tuple[DataFrame, DataFrame]:
+    """Places in the graphs whose walked part is a tree, and (graph) of these. What there is once for each of the few ``graphs``
+    travels to the tasks: joined by the graph, all rows of one would be one task's."""
+    root = small(cut(roots(nodes, edges, graph, node)), graphs)
     ords = nodes.select(graph, F.col(node).alias("v"), F.col("ord").alias("v_ord"))
     arcs = both_ways(edges, graph).withColumnsRenamed({"node": "u", "other": "v"}).join(ords, [graph, "v"])
     # Arcs out of a node in the order of their ends; an arc is known by its number from here on.
@@ -72,8 +73,10 @@ def _tree_places(nodes: DataFrame, edges: DataFrame, graph: str, node: str) -> t
     paired = stored(ranked.join(twins, "twin", "left"))
     told = paired.groupBy(graph).agg(F.count("*").alias("_arcs"), F.count("_twin_sum").alias("_paired"))
     met = paired.select(graph, "v").distinct().groupBy(graph).agg(F.count("*").alias("_nodes"))
+    told = small(cut(told), graphs)
     lone = root.join(told, graph, "left_anti").select(graph)
-    trees = cut(told.join(met, graph).filter("_arcs = _paired AND _arcs = 2 * (_nodes - 1)").select(graph).unionByName(lone))
+    trees = cut(small(met, graphs).join(told, graph).filter("_arcs = _paired AND _arcs = 2 * (_nodes - 1)").select(graph).unionByName(lone))
+    trees = small(trees, graphs)
     # ``sum`` falls along the trip: a link is taken downwards where its other way comes later.
     down = paired.filter(F.col("sum") > F.col("_twin_sum")).join(trees, graph, "left_semi")
     down = down.select(graph, "u", "v", "v_ord", "arc", "root", ((F.col("sum") - F.col("_twin_sum") + 1) / 2).cast("long").alias("size"))
@@ -118,6 +121,6 @@ def walks(nodes: DataFrame, edges: DataFrame, graph: str = "graph", node: str =
         return _in_tasks(nodes, edges, graph, node)
     large = small(large, found)
     part = lambda df, of, how: df.join(of, graph, how)
-    places, trees = _tree_places(part(nodes, large, "left_semi"), part(edges, large, "left_semi"), graph, node)
+    places, trees = _tree_places(part(nodes, large, "left_semi"), part(edges, large, "left_semi"), graph, node, found)
     rest = large.join(trees, graph, "left_anti").unionByName(nodes.select(graph).distinct().join(large, graph, "left_anti"))
     return places.unionByName(_in_tasks(part(nodes, rest, "left_semi"), part(edges, rest, "left_semi"), graph, node))
