@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,16 +30,32 @@ def _fold(text: str | None) -> str | None:
     return flat if flat.isascii() else "".join(c for c in flat if not unicodedata.combining(c))
 
 
-@F.pandas_udf(T.StringType())
-def folded(text: pd.Series) -> pd.Series:
+#: Text bytes that are Python strings at once, whatever a batch holds.
+STEP_BYTES = 1 << 20
+
+
+def _in_steps(texts: pa.Array, work: Callable[[str], str]) -> pa.Array:
+    """``work`` on every text; a batch stays Arrow memory, only a step of it becomes Python strings."""
+    sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), dtype=np.int64))
+    told, at = [], 0
+    while at < len(texts):
+        done = sizes[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(sizes, done + STEP_BYTES)))
+        told.append(pa.array([None if t is None else work(t) for t in texts.slice(at, end - at).to_pylist()], pa.string()))
+        at = end
+    return pa.concat_arrays(told) if told else pa.array([], pa.string())
+
+
+@F.arrow_udf(T.StringType())
+def folded(text: pa.Array) -> pa.Array:
     """Case and accents removed; other scripts stay."""
-    return text.map(_fold)
+    return _in_steps(text, _fold)
 
 
-@F.pandas_udf(T.StringType())
-def composed(text: pd.Series) -> pd.Series:
+@F.arrow_udf(T.StringType())
+def composed(text: pa.Array) -> pa.Array:
     """NFC, for equality of paths."""
-    return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
+    return _in_steps(text, lambda t: unicodedata.normalize("NFC", t))
 
 
 @F.pandas_udf(T.BooleanType())

@@ -71,3 +71,20 @@ def test_moods(spark):
     assert one(spark, moods.spell_weights(packed)) == "Dark:0.620; Deep:0.410"
     assert one(spark, moods.valence_of(moods.weights(F.lit("Energetic:0.9")))) is None
     assert one(spark, moods.faint_only(moods.weights(F.lit("Sad:0.04; Energetic:0.5"))))
+
+
+def test_texts_become_strings_in_steps(monkeypatch):
+    import pyarrow as pa
+    seen = []
+    monkeypatch.setattr(text, "STEP_BYTES", 40)
+    texts = ["Éne", None, "x" * 100, "", "Straße", "ﬁn"] * 5
+    work = lambda t: seen.append(t) or text._fold(t)
+    assert text._in_steps(pa.array(texts, pa.string()), work).to_pylist() == [text._fold(t) for t in texts]
+    assert seen == [t for t in texts if t is not None]
+    assert text._in_steps(pa.array([], pa.string()), work).to_pylist() == []
+
+
+def test_folding_takes_arrow_batches(spark):
+    rows = spark.createDataFrame([("Éne THE",), (None,), ("",), ("Straße",)], "t string").select("t", text.folded("t").alias("f"), text.composed("t").alias("c"))
+    assert {r["t"]: (r["f"], r["c"]) for r in rows.collect()} == {"Éne THE": ("ene the", "Éne THE"), None: (None, None), "": ("", ""), "Straße": ("strasse", "Straße")}
+    assert "ArrowEvalPython" in rows._jdf.queryExecution().executedPlan().toString()
