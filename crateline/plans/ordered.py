@@ -18,6 +18,8 @@ from .session import cut, small
 
 HOT_ROWS = 2_000_000
 BLOCK = 65_536
+# Rows that a task sorts in the mean, at most.
+TASK_ROWS = 500_000
 
 
 def _match(left: DataFrame, right: DataFrame, by: Seq[str], how: str = "inner") -> DataFrame:
@@ -48,13 +50,22 @@ def indexed(df: DataFrame, order: Seq[Column | str], out: str = "row_index") ->
     )
 
 
-def hot_keys(df: DataFrame, by: Seq[str], hot_rows: int) -> tuple[DataFrame | None, int]:
-    """Groups above ``hot_rows`` and their number; there are at most rows / hot_rows of them."""
+def hot_keys(df: DataFrame, by: Seq[str], hot_rows: int) -> tuple[DataFrame | None, int, int]:
+    """Groups above ``hot_rows`` and their number, at most rows / hot_rows of them, and the number of all rows."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("_n"))
-    if (sizes.agg(F.max("_n").alias("m")).first()["m"] or 0) <= hot_rows:
-        return None, 0
+    most, rows = sizes.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) <= hot_rows:
+        return None, 0, rows or 0
     found = cut(sizes.filter(F.col("_n") > hot_rows).select(*by))
-    return found, found.count()
+    return found, found.count(), rows
+
+
+def dealt(df: DataFrame, by: Seq[str], rows: int) -> DataFrame:
+    """Whole groups in as many tasks as keep a task at about TASK_ROWS rows; few rows stay as the session deals them."""
+    if rows <= TASK_ROWS:
+        return df
+    # A stated number: partitions are not put together again.
+    return df.repartition(max(-(-rows // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
 @dataclass(frozen=True)
@@ -132,11 +143,11 @@ def positions(
     by = list(by)
     if not by:
         return Ordered(indexed(df, order, pos), (), pos, True, block)
-    keys, found = hot_keys(df, by, hot_rows)
+    keys, found, rows = hot_keys(df, by, hot_rows)
     window = Window.partitionBy(*by).orderBy(*order)
     if not found:
-        return Ordered(df.withColumn(pos, F.row_number().over(window).cast("long") - 1), tuple(by), pos, False, block)
-    cold = _match(df, small(keys, found), by, "left_anti").withColumn(pos, F.row_number().over(window).cast("long") - 1)
+        return Ordered(dealt(df, by, rows).withColumn(pos, F.row_number().over(window).cast("long") - 1), tuple(by), pos, False, block)
+    cold = dealt(_match(df, small(keys, found), by, "left_anti"), by, rows).withColumn(pos, F.row_number().over(window).cast("long") - 1)
     warm = indexed(_match(df, small(keys, found), by, "left_semi"), [*by, *order], "_index")
     starts = warm.groupBy(*by).agg(F.min("_index").alias("_start"))
     warm = _match(warm, small(starts, found), by).select(*df.columns, (F.col("_index") - F.col("_start")).alias(pos))

@@ -69,6 +69,14 @@ def test_rank_edges(spark):
     assert ranking.with_rank(empty, "v", "rank").count() == 0
 
 
+def test_more_rows_are_sorted_by_more_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "TASK_ROWS", 100)
+    df = spark.range(3000).selectExpr("id % 500 AS grp", "id")
+    numbered = ordered.positions(df, ["grp"], ["id"]).rows
+    assert numbered.rdd.getNumPartitions() == 30
+    assert rows(numbered, "grp", "id", "pos") == sorted((i % 500, i, i // 500) for i in range(3000))
+
+
 def vectors(seed=1, n=90):
     rng = np.random.default_rng(seed)
     base = rng.normal(size=(n, 6))
