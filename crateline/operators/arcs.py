@@ -86,7 +86,7 @@ def assign(df: DataFrame, playlist: str, track: str, columns=MEASURES) -> DataFr
     left, done = cut(df.join(quota, playlist)), None
     for i, name in enumerate(NAMES):
         seq = positions(left.withColumn("_score", chapter_score(i, columns)), [playlist], ["_score", track], "_place")
-        rows = cut(seq.rows)
+        rows = cut(seq.rows.drop("_score"))
         inside = F.col("_place") < F.element_at("_quota", i + 1)
         taken = rows.filter(inside).select(*df.columns, F.lit(i).alias("chapter_no"), F.lit(name).alias("chapter"))
         done = taken if done is None else done.unionByName(taken)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence as Seq
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
@@ -52,8 +52,11 @@ def levels(df: DataFrame, columns: Seq[str], out: str) -> DataFrame:
 def place_in_group(df: DataFrame, by: Seq[str], order: Seq[Column | str], out: str) -> DataFrame:
     """Position over n-1 inside a group, ties broken by the given order."""
     seq = positions(df, by, order, "_place")
-    sizes = seq.rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    return seq.rows.join(sizes, list(by)).withColumn(
+    if seq.hot:
+        sized = seq.rows.join(seq.rows.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
+    else:
+        sized = seq.rows.dropna(subset=list(by)).withColumn("_n", F.count("*").over(Window.partitionBy(*by)))
+    return sized.withColumn(
         out, F.col("_place") / F.greatest(F.lit(1), F.col("_n") - 1)).drop("_place", "_n")
 
 
