@@ -3,21 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
-from array import array
-from collections.abc import Callable
+from itertools import chain, pairwise
 
 import numpy as np
 
 from .common import kept, mixed
 
-#: Coded segments that a worker's table remembers at most, and coded parts of segments at least.
-SEGMENTS, PARTS = 1 << 20, 250_000
-#: Longer segments are not remembered; text bytes coded together.
-LONGEST, BATCH_BYTES = 32, 4 << 20
-_LETTER, _OTHER = "[A-Za-zÀ-ÖØ-öø-ÿ]", r"[!-&(-@\[-`{-~]"
-#: Segments in which letters, other signs and single line ends follow each other, without apostrophes; and their parts.
-_PLAIN, _PART = re.compile(f"(?: ?{_LETTER}++| ?{_OTHER}++|\n(?!\\s))++"), re.compile(f" ?{_LETTER}+| ?{_OTHER}+|\n")
+#: Coded segments that a worker's table remembers at most.
+SEGMENTS = 1 << 19
+#: Longer segments are not remembered; text bytes looked up together; bytes of new segments that the library gets as one text, and such texts in a call.
+LONGEST, BATCH_BYTES, JOINED_BYTES, CALL = 32, 4 << 20, 4 << 10, 32
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -31,26 +26,6 @@ def coder(path: str) -> Coder:
     return kept(f"coder {path}", lambda: Coder(path), "tokens")
 
 
-class Recent(dict):
-    """A memo of two generations: what is used again moves to the newer, and the older is forgotten."""
-
-    def __init__(self, size: int, make: Callable[[str], bytes]):
-        super().__init__()
-        self.size, self.make, self.old = size, make, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        self[key] = value
-        return value
-
-    def age(self) -> None:
-        if len(self) > self.size:
-            self.old = dict(self)
-            self.clear()
-
-
 class Segments:
     """An open-addressing table from segments of at most ``LONGEST`` bytes, as four words, to their ids; whole columns are looked up at once."""
 
@@ -121,8 +96,9 @@ class Coder:
     """Codes texts by segments.
 
     The vocabulary's own pattern never joins text across a single space between two characters that
-    are not blank, so a text may be cut before each such space, the segments coded alone, and the
-    ids of a segment remembered. Plain segments are made of parts that the pattern keeps apart, too.
+    are not blank, so a text may be cut before each such space, and the ids of a segment remembered.
+    For the same reason new segments between two cuts can be strung together and coded as one text;
+    the lengths of the tokens tell where the ids of each end.
     """
 
     def __init__(self, path: str):
@@ -132,7 +108,9 @@ class Coder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.added = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
-        self.parts = Recent(PARTS, lambda part: array("I", self.tokenizer.encode(part, add_special_tokens=False).ids).tobytes())
+        names = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.lengths = np.zeros(max(names.values()) + 1, np.int64)  # a sign of a byte-level token stands for a byte
+        self.lengths[list(names.values())] = list(map(len, names))
         self.segments = Segments(SEGMENTS)
         solid = np.zeros(256, bool)  # last bytes and first bytes of characters that are surely not blank
         solid[0x21:0x7F] = True
@@ -192,26 +170,46 @@ class Coder:
         table = self.segments
         lost = np.flatnonzero(entry < 0)
         own, n = table.at[entry], table.n[entry].astype(np.int64)
-        pool, new = table.pool, {}
+        pool = table.pool
         if len(lost):
-            self.parts.age()
-            get, raw = self.parts.__getitem__, data[:total].tobytes()
+            raw, new = data[:total].tobytes(), {}
             names = [raw[a:b] for a, b in zip(start[lost].tolist(), (start + size)[lost].tolist(), strict=True)]
-            for name in names:
-                if name not in new:
-                    text = name.decode()
-                    new[name] = b"".join(map(get, _PART.findall(text) if _PLAIN.fullmatch(text) else [text]))
-            counts = dict(zip(new, np.fromiter((len(v) // 4 for v in new.values()), np.int64, len(new)), strict=True))
-            ids = np.frombuffer(b"".join(new.values()), np.uint32)
-            places = dict(zip(new, (np.cumsum(list(counts.values())) - list(counts.values())).tolist(), strict=True))
-            own[lost] = table.end + np.fromiter(map(places.__getitem__, names), np.int64, len(names))
-            n[lost] = np.fromiter(map(counts.__getitem__, names), np.int64, len(names))
-            pool = np.concatenate([pool[:table.end], ids])
-            _, one = np.unique(own[lost], return_index=True)
+            which = np.fromiter((new.setdefault(name, len(new)) for name in names), np.int64, len(names))
+            _, one = np.unique(which, return_index=True)
             one = lost[one]
-            one = one[plain[one]]
-            table.add(words[one], key[one], pool[_ranges(own[one], n[one])], n[one])
+            between = np.zeros(total + 1, bool)
+            between[spaces[cut]] = True
+            between[firsts] = False
+            ids, counts = self._new(list(new), between[start[one]] & between[(start + size)[one]])
+            own[lost], n[lost] = (table.end + np.cumsum(counts) - counts)[which], counts[which]
+            pool = np.concatenate([pool[:table.end], ids])
+            kept_too = plain[one]
+            table.add(words[one[kept_too]], key[one[kept_too]], ids[np.repeat(kept_too, counts)], counts[kept_too])
         out = pool[_ranges(own, n)].astype("<u4")
         raw, upto = out.tobytes(), np.concatenate([[0], np.cumsum(n)])
         ends = (4 * upto[np.searchsorted(start, np.cumsum(sizes))]).tolist()
         return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+    def _new(self, names: list[bytes], between: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of segments one after the other, and how many each has; ``between``: those that begin and end at cuts."""
+        order = np.argsort(~between, kind="stable")
+        names, n = [names[k] for k in order.tolist()], int(between.sum())
+        ends = np.cumsum(np.fromiter(map(len, names[:n]), np.int64, n))
+        edges = [0, *(np.flatnonzero(np.diff(ends // JOINED_BYTES)) + 1).tolist(), n]
+        parts, counts = [], []
+        for at in range(0, len(edges) - 1, CALL):
+            own = edges[at:at + CALL + 1]
+            coded = self.tokenizer.encode_batch_fast([b"".join(names[a:b]).decode() for a, b in pairwise(own)], add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(x.ids for x in coded), np.uint32)
+            upto, until = np.cumsum(self.lengths[ids]), ends[own[0]:own[-1]] - (ends[own[0] - 1] if own[0] else 0)
+            after = np.searchsorted(upto, until) + 1
+            if len(after) and (after[-1] != len(ids) or (upto[after - 1] != until).any()):
+                raise ValueError("tokens do not end where segments end")
+            parts.append(ids)
+            counts.append(np.diff(after, prepend=0))
+        for name in names[n:]:
+            parts.append(np.array(self.tokenizer.encode(name.decode(), add_special_tokens=False).ids, np.uint32))
+            counts.append([len(parts[-1])])
+        counts = np.concatenate(counts)
+        ids, back = np.concatenate(parts), np.argsort(order)
+        return ids[_ranges((np.cumsum(counts) - counts)[back], counts[back])], counts[back]
