@@ -38,14 +38,16 @@ def playlist_positions(entries: DataFrame, catalogue: DataFrame, playlist: str =
     keyed = catalogue.select(id_column, composed("path").alias("_p")).withColumn("_f", base_name("_p"))
     by_path = keyed.groupBy("_p").agg(F.min(id_column).alias("_by_path"))
     by_name = keyed.groupBy("_f").agg(F.min(id_column).alias("_by_name"))
-    asked = entries.withColumn("_p", composed(absolute_path("path"))).withColumn("_f", base_name("_p"))
-    hit = asked.join(by_path, "_p", "left").join(by_name, "_f", "left").select(
-        *entries.columns, F.coalesce("_by_path", "_by_name").alias(id_column))
-    found = hit.filter(F.col(id_column).isNotNull()).groupBy(playlist, id_column).agg(
-        F.min(pos).alias("first_pos"), F.min_by("path", pos).alias("path")).withColumn("found", F.lit(True))
-    missing = hit.filter(F.col(id_column).isNull()).select(
-        playlist, id_column, F.col(pos).alias("first_pos"), "path", F.lit(False).alias("found"))
-    return found.unionByName(missing)
+    # A path is resolved once, however many entries have it; entries are joined and grouped in one go, found or not.
+    asked = entries.select("path").distinct().withColumn("_p", composed(absolute_path("path"))).withColumn("_f", base_name("_p"))
+    known = asked.join(by_path, "_p", "left").join(by_name, "_f", "left").select("path", F.coalesce("_by_path", "_by_name").alias(id_column))
+    hit = entries.join(known, "path", "left")
+    lost = F.col(id_column).isNull()
+    grouped = hit.groupBy(playlist, id_column, F.when(lost, F.col(pos)).alias("_pos"), F.when(lost, F.col("path")).alias("_path")).agg(
+        F.min(pos).alias("first_pos"), F.min_by("path", pos).alias("_first"), F.count("*").alias("_n"))
+    times = F.when(lost, F.col("_n")).otherwise(1).cast("int")
+    return grouped.withColumn("_one", F.explode(F.array_repeat(F.lit(True), times))).select(
+        playlist, id_column, "first_pos", F.when(lost, F.col("_path")).otherwise(F.col("_first")).alias("path"), (~lost).alias("found"))
 
 
 def signed_deltas(previous: dict[str, Column], current: dict[str, Column]) -> dict[str, Column]:
