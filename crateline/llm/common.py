@@ -53,19 +53,30 @@ def discard(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(conf).delete(place, True)
 
 
-def kept(name: str, make: Callable[[], object], stage: str) -> object:
-    """An object that a Python worker keeps from task to task, as long as it works for one stage of a pipeline.
+def give_back() -> None:
+    """Give memory that is free in this Python worker back to the system."""
+    pa.default_memory_pool().release_unused()
+    getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # where the C library can
 
-    Workers go on from one stage to the next; what the stage before held is let go then. Functions of this
-    package travel to the workers by value, so their own globals start anew in every task.
-    """
+
+def let_go(stage: str) -> dict:
+    """What this Python worker keeps for a stage of a pipeline; objects of any other stage are forgotten."""
     held = sys.modules.setdefault("_kept_by_worker", types.ModuleType("_kept_by_worker")).__dict__.setdefault("kept", {})
     if held.get("") != stage:
         held.clear()
         held[""] = stage
         gc.collect()
-        pa.default_memory_pool().release_unused()
-        getattr(ctypes.CDLL(None), "malloc_trim", int)(0)  # where the C library can give freed memory back
+        give_back()
+    return held
+
+
+def kept(name: str, make: Callable[[], object], stage: str) -> object:
+    """An object that a Python worker keeps from task to task, as long as it works for one stage of a pipeline.
+
+    Workers go on from one stage to the next; what the stage before held is let go then. Functions of this
+    package travel to the workers by value, so their own globals start anew in every task.
+    """
+    held = let_go(stage)
     if name not in held:
         held[name] = make()
     return held[name]
@@ -94,6 +105,7 @@ def steps(batches: Iterator[pa.RecordBatch], sized: str = "text", most: int = ST
             upto = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    give_back()  # the worker may stay idle for the rest of a pipeline
 
 
 def arrow_step(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, sized: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_step, code_tokens, columns_of, hash_tokens, mixed, store, table
+from .common import arrow_step, code_tokens, columns_of, hash_tokens, let_go, mixed, store, table
 from .registry import query
 
 _TOKEN = re.compile(r"\d+(?:[.,:/]\d+)*|[^\W\d_]+(?:['’-][^\W\d_]+)*|[.!?\n]")
@@ -117,6 +117,7 @@ def _windows_of(rows: DataFrame, fn) -> DataFrame:
     types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int32(), pa.list_(pa.string())]
 
     def run(step: pa.RecordBatch) -> pa.RecordBatch:
+        let_go("decontamination")
         ids, texts = step.columns
         found = list(fn(Scan(texts.to_pylist())))
         row, *columns = zip(*found, strict=True) if found else ([],) * 10

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.session import cut
-from .common import arrow_step, code_tokens, columns_of, discard, distinct, hash_tokens, mixed, store, table, words_of
+from .common import arrow_step, code_tokens, columns_of, discard, distinct, give_back, hash_tokens, let_go, mixed, store, table, words_of
 from .registry import query
 
 T, DEPTH, SMALL, BLOCK = 64, 3, 128, 1024
@@ -191,6 +191,7 @@ def _tested(held: dict[str, np.ndarray], todo: list, threshold: float, sure: int
 def _whole_cells(batches):
     """Rows of whole cells as arrays, several small cells at a time; rows come sorted by cell."""
     left = None
+    let_go("near")
     for batch in batches:
         part = pa.Table.from_arrays(batch.columns, names=batch.schema.names)
         part = part if left is None else pa.concat_tables([left, part])
@@ -201,6 +202,7 @@ def _whole_cells(batches):
             yield _arrays(part.slice(0, at))
     if left is not None and left.num_rows:
         yield _arrays(left)
+    give_back()
 
 
 def _arrays(part: pa.Table) -> dict:
@@ -289,6 +291,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, size: int = 5, recall:
 
 
 def _sketch(step: pa.RecordBatch, size: int) -> pa.RecordBatch:
+    let_go("near")
     found = shingles(step.column("text").to_pylist(), size)
     return pa.RecordBatch.from_arrays(
         [step.column("doc_id"), pa.array([set_key(s) for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int32()),
