@@ -3,11 +3,13 @@
 A byte goes if a string of ``SPAN`` bytes that covers it also starts elsewhere. The suffix array
 is built over those parts of the texts that can hold such a start and are not settled already:
 
-1. Every window of ``SPAN`` bytes has an anchor, the leftmost least hash among its 64-byte strings.
-   Equal windows have equal anchors, so windows whose anchor occurs once are not repeated.
-2. Of the rest, windows that begin or end at an anchor are counted by fingerprint. This settles the
-   inside of long repeats; windows with a byte that is still not covered are left, and with them
-   the windows elsewhere that have the same anchor at the same distance.
+1. Every window of ``SPAN`` bytes has an anchor, the leftmost least hash among the words at which its
+   64-byte strings start. Equal windows have equal anchors, so windows whose anchor's 64 bytes occur
+   once are not repeated.
+2. The rest is cut into cells: windows of one anchor whose distances to it differ by less than ``STEP``.
+   All windows of a cell share an inner string of ``SPAN - STEP + 1`` bytes; if that occurs once, none
+   is repeated. They lie in an outer string; if that occurs again, all are. What is left are the ends
+   of repeats; with them go, once for each different outer string, the cells of equal inner string.
 3. Suffixes are sorted over these. Characters are blocks of 40 bytes, ordered by fingerprint, so a
    suffix's first five characters are its first ``SPAN`` bytes, and suffixes 40 bytes apart are
    neighbours in one string. Suffixes at positions 1 and 2 modulo 3 are sampled: their triples are
@@ -33,9 +35,11 @@ from .registry import query
 
 SPAN, WORD, BLOCK, ANCHOR = 200, 8, 40, 64
 REACH = SPAN - ANCHOR
+#: Distances of one cell; places whose hashes are compared together.
+STEP, PIECE = 16, 1 << 16
 _M = np.uint64(0x9E3779B97F4A7C15)
 _PLACE = np.uint64((1 << 24) - 1)
-_CHUNK = "chunk long, n_bytes long, docs binary, sizes binary, text binary"
+_CHUNK = "chunk long, n_bytes long, docs binary, sizes binary, text binary, anchors binary"
 _KEPT = "doc_id long, n_bytes long, starts binary, ends binary, kept binary"
 
 
@@ -58,29 +62,65 @@ def blocks_at(data: np.ndarray) -> np.ndarray:
     return np.maximum(mixed(_joined(four, word, 4 * WORD)), np.uint64(1))
 
 
-def spans_at(block: np.ndarray) -> np.ndarray:
-    """Fingerprint of the ``SPAN`` bytes at every place."""
-    out = block
-    for k in range(1, SPAN // BLOCK):
-        out = mixed(_joined(out, block, k * BLOCK))
-    return out
-
-
-def anchors_at(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For every window of ``SPAN`` bytes the place of its anchor; and the hashes of the 64-byte strings."""
-    word = words_at(data)
-    pair = _joined(word, word, WORD)
-    four = _joined(pair, pair, 2 * WORD)
-    eight = mixed(_joined(four, four, 4 * WORD))
-    if len(data) < SPAN:
-        return np.zeros(0, np.int64), eight
-    least, width = (eight & ~_PLACE) | (np.arange(len(eight), dtype=np.uint64) & _PLACE), 1
-    while 2 * width <= REACH + 1:
-        least, width = np.minimum(least[:-width], least[width:]), 2 * width
-    if rest := REACH + 1 - width:
-        least = np.minimum(least[:-rest], least[rest:])
-    window = np.arange(len(least), dtype=np.int64)
-    return window + (((least & _PLACE).astype(np.int64) - window) & int(_PLACE)), eight
+def _words(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes at every place, as a view."""
+    return np.ndarray((max(0, len(data) - WORD + 1),), "<u8", np.ascontiguousarray(data), 0, (1,))
+
+
+def anchors_at(text: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchors of strings that stand one behind the other: the first window of each, the anchor's place, and how many windows have it."""
+    ends = np.cumsum(sizes)
+    begin, end = (ends - sizes)[sizes >= SPAN], (ends - SPAN + 1)[sizes >= SPAN]
+    if not len(begin):
+        return (np.zeros(0, np.int64),) * 3
+    first, place = [], []
+    for at in range(0, len(text) - SPAN + 1, PIECE):
+        least, width = _words(text[at:at + PIECE + SPAN - 1])[:-(ANCHOR - WORD)] * _M, 1
+        least = (least & ~_PLACE) | np.arange(len(least), dtype=np.uint64)
+        while 2 * width <= REACH + 1:
+            least, width = np.minimum(least[:-width], least[width:]), 2 * width
+        if rest := REACH + 1 - width:
+            least = np.minimum(least[:-rest], least[rest:])
+        new = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
+        first.append(at + new)
+        place.append(at + (least[new] & _PLACE).astype(np.int64))
+    first, place = np.concatenate(first), np.concatenate(place)
+    # A run goes on over the edge of a piece, and ends with its string; windows across strings are none.
+    changed = np.concatenate([[True], place[1:] != place[:-1]])
+    first, place = first[changed], place[changed]
+    edges = distinct(np.concatenate([first, begin, end]))
+    place = place[np.searchsorted(first, edges, side="right") - 1]
+    string = np.searchsorted(begin, edges, side="right") - 1
+    inside = (string >= 0) & (edges < end[string])
+    windows = np.diff(np.concatenate([edges, [len(text) - SPAN + 1]]))
+    return edges[inside], place[inside], windows[inside]
+
+
+def _anchor_keys(text: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """40 bits of the hashes of anchors' 64 bytes; they only tell what occurs once."""
+    word, key = _words(text), np.zeros(len(place), np.uint64)
+    for k in range(0, ANCHOR, WORD):
+        key = mixed(key ^ word[place + k])
+    return key & ~_PLACE
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the 0, 1, 2, ..., modulo 2 to the 64."""
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+class Strings:
+    """Fingerprints of any strings of a text of at least 8 bytes each, by sums over the words in front of every place."""
+
+    def __init__(self, text: np.ndarray):
+        word = words_at(text)
+        self.before = np.concatenate([np.zeros(1, np.uint64), np.cumsum(word * _powers(int(_M), len(word)), dtype=np.uint64)])
+        self.back = _powers(pow(int(_M), -1, 1 << 64), len(word))
+
+    def at(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.before[end - WORD + 1] - self.before[begin]) * self.back[begin] + (end - begin).astype(np.uint64))
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
@@ -90,20 +130,21 @@ def _chunks(docs: DataFrame) -> DataFrame:
             ids, texts = step.columns
             data = [(t or "").encode() for t in texts.to_pylist()]
             missing = np.asarray(ids.is_null()).view(np.uint8)
-            text = np.frombuffer(b"".join(data), np.uint8)
+            text, sizes = np.frombuffer(b"".join(data), np.uint8), np.array([len(x) for x in data], np.int64)
             yield rows([((part << 32) + number, len(text), packed(np.asarray(ids.fill_null(0)), missing),
-                         packed(np.array([len(x) for x in data], np.int64)), packed(text))], _CHUNK)
+                         packed(sizes), packed(text), _runs_packed(*anchors_at(text, sizes)))], _CHUNK)
             number += 1
     return docs.mapInArrow(run, _CHUNK)
 
 
-def _each(row: dict):
-    """The strings of a chunk or of a body of regions, and where each starts."""
-    (sizes,), (text,) = unpacked(row["sizes"]), unpacked(row["text"])
-    at = 0
-    for size in sizes.tolist():
-        yield text[at:at + size]
-        at += size
+def _runs_packed(first: np.ndarray, place: np.ndarray, windows: np.ndarray) -> bytes:
+    return packed(np.diff(first, prepend=0), (place - first).astype(np.uint8), windows.astype(np.uint8))
+
+
+def _runs_unpacked(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    step, ahead, windows = unpacked(data)
+    first = np.cumsum(step)
+    return first, first + ahead, windows.astype(np.int64)
 
 
 def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,18 +164,10 @@ def _totals(messages):
     return [(x,) for x in np.split(twice, np.cumsum([len(m[0]) for m in messages])[:-1])]
 
 
-def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
-    """First and last + 1 of each run of true values."""
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True))
-
-
-def _covered(size: int, starts: np.ndarray) -> np.ndarray:
-    """Bytes covered by the windows that start at ``starts``."""
-    step = np.zeros(size + 1, np.int64)
-    np.add.at(step, starts, 1)
-    np.add.at(step, starts + SPAN, -1)
-    return np.cumsum(step[:-1]) > 0
+def _ranges(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers ``at[i] ... at[i] + n[i] - 1`` for all i in turn."""
+    ends = np.cumsum(n)
+    return np.repeat(at - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -143,129 +176,113 @@ def _among(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return keys[np.minimum(at, len(keys) - 1)] == values if len(keys) else np.zeros(len(values), bool)
 
 
-def _anchored(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each anchor of a text in order, and how many windows have it."""
-    place, key = anchors_at(data)
-    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]])) if len(place) else place
-    return key[place[first]], np.diff(np.concatenate([first, [len(place)]]))
-
-
 def _anchor_question(row):
     """The anchors of all documents of a chunk."""
-    return _counted(_flat([_anchored(data)[0] for data in _each(row) if len(data) >= SPAN]))
+    return _counted(_anchor_keys(unpacked(row["text"])[0], _runs_unpacked(row["anchors"])[1]))
 
 
-_BODY = "chunk long, sizes binary, text binary, homes binary"
+_BODY = "chunk long, homes binary, sizes binary, text binary"
 
 
-def _body(chunk: int, text: list[np.ndarray], homes: list[tuple[int, int]]) -> tuple:
-    return chunk, packed(np.array([len(t) for t in text], np.int64)), packed(_flat(text, np.uint8)), packed(np.array(homes, np.int64).reshape(-1))
+def _strings_of(first: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ascending runs of windows as strings: begin and size of each run of adjacent ones, and the string of each."""
+    new = np.concatenate([[True], first[1:] != (first + windows)[:-1]])
+    string = np.cumsum(new) - 1
+    return first[new], np.bincount(string, windows).astype(np.int64) + SPAN - 1, string
 
 
 def _regions(chunk, held):
-    """Runs of windows whose anchor occurs again; ``homes``: document and first byte of each."""
+    """Runs of windows whose anchor occurs again; ``homes``: the first byte of each in its chunk."""
     row = next(r for r in held if r["kind"] == "chunk")
-    told = [r for r in held if r["kind"] == "anchors"]
+    told = [r for r in held if r["kind"] == "told"]
     if not told:
         return []
-    (twice,) = joined(told)
-    found = [_anchored(data) for data in _each(row)]
-    keys, _ = _counted(_flat([key for key, _ in found]))
-    keys = keys[twice == 1]
-    text, homes = [], []
-    for doc, (data, (key, windows)) in enumerate(zip(_each(row), found, strict=True)):
-        again = np.repeat(_among(key, keys), windows)
-        for a, b in _runs(again):
-            text.append(data[a:b - 1 + SPAN])
-            homes.append((doc, a))
-    return [_body(chunk, text, homes)] if text else []
-
-
-def _probes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Windows of a region at its ends and at its anchors, their fingerprints; each window's anchor and its hash."""
-    place, key = anchors_at(data)
-    at = distinct(place)
-    last = len(place) - 1
-    starts = distinct(np.concatenate([[0, last], at[at <= last], at[at >= REACH] - REACH]))
-    return starts, spans_at(blocks_at(data))[starts], place, key[place]
-
-
-def _probe_question(row):
-    return _counted(_flat([_probes(data)[1] for data in _each(row)]))
-
-
-class _Regions:
-    """A chunk's regions with the answers to its probes."""
-
-    def __init__(self, held):
-        self.row = next(r for r in held if r["kind"] == "body")
-        (twice,) = joined([r for r in held if r["kind"] == "probes"])
-        self.homes = unpacked(self.row["homes"])[0].reshape(-1, 2)
-        probes = [_probes(data) for data in _each(self.row)]
-        keys, _ = _counted(_flat([span for _, span, _, _ in probes]))
-        keys = keys[twice == 1]
-        self.strings = []
-        for data, (starts, span, place, key) in zip(_each(self.row), probes, strict=True):
-            covered = _covered(len(data), starts[_among(span, keys)])
-            held_by = np.concatenate([[0], np.cumsum(covered)])
-            open_window = held_by[SPAN:] - held_by[:-SPAN] < SPAN
-            self.strings.append((data, key, place - np.arange(len(place)), open_window, covered))
-
-    def needs(self):
-        """Distinct anchors, and between which distances before their windows' anchors a window is not settled."""
-        keys, at = np.unique(_flat([s[1] for s in self.strings]), return_inverse=True)
-        ahead, still = _flat([s[2] for s in self.strings], np.int64), _flat([s[3] for s in self.strings], bool)
-        low, high = np.full(len(keys), SPAN, np.int64), np.full(len(keys), -1, np.int64)
-        np.minimum.at(low, at[still], ahead[still])
-        np.maximum.at(high, at[still], ahead[still])
-        return keys, low.astype(np.int16), high.astype(np.int16)
-
-
-def _bounds(messages):
-    keys, low, high = (np.concatenate(c) for c in zip(*messages, strict=True))
-    found, at = np.unique(keys, return_inverse=True)
-    least, most = np.full(len(found), SPAN, np.int16), np.full(len(found), -1, np.int16)
-    np.minimum.at(least, at, low)
-    np.maximum.at(most, at, high)
-    cuts = np.cumsum([len(m[0]) for m in messages])[:-1]
-    return list(zip(np.split(least[at], cuts), np.split(most[at], cuts), strict=True))
+    (text,), (first, place, windows) = unpacked(row["text"]), _runs_unpacked(row["anchors"])
+    key = _anchor_keys(text, place)
+    again = _among(key, _counted(key)[0][joined(told)[0] == 1])
+    if not again.any():
+        return []
+    first, place, windows = first[again], place[again], windows[again]
+    begin, size, string = _strings_of(first, windows)
+    moved = (np.cumsum(size) - size - begin)[string]
+    return [(chunk, packed(begin), packed(size), packed(text[_ranges(begin, size)]), _runs_packed(first + moved, place + moved, windows))]
+
+
+def _cells(row: dict):
+    """The cells of a body of regions: first window and number of windows, hash of the inner string, fingerprint of the outer one."""
+    (text,), (first, place, windows) = unpacked(row["text"]), _runs_unpacked(row["anchors"])
+    most, least = place - first, place - first - windows + 1
+    n = most // STEP - least // STEP + 1
+    run = np.repeat(np.arange(len(first)), n)
+    cell = (most // STEP)[run] - _ranges(np.zeros(len(n), np.int64), n)
+    ahead = np.minimum(most[run], STEP * cell + STEP - 1)
+    begin, count = place[run] - ahead, ahead - np.maximum(least[run], STEP * cell) + 1
+    strings, inner = Strings(text), place[run] - STEP * cell
+    return text, begin, count, strings.at(inner, inner + SPAN - STEP + 1) & ~_PLACE, strings.at(begin, begin + count - 1 + SPAN)
+
+
+def _cell_question(row):
+    inner, outer, at = _distinct(*_cells(row)[-2:])
+    return inner, outer, np.bincount(at).astype(np.uint32)
+
+
+ONCE, SETTLED, OPEN, WITNESS = 0, 1, 2, 3
+
+
+def _classes(messages):
+    """For each chunk's cells: not repeated, repeated as a whole, to be sorted, or repeated and to be sorted as one cell of its outer string."""
+    inner, outer, n = (np.concatenate(c) for c in zip(*messages, strict=True))
+    group = np.unique(inner, return_inverse=True)[1]
+    string = _distinct(inner, outer)[-1]
+    again, whole = np.bincount(group, n)[group] > 1, np.bincount(string, n)[string] > 1
+    still = again & ~whole
+    first = np.zeros(len(string), bool)
+    first[np.unique(string, return_index=True)[1]] = True
+    witness = whole & first & (np.bincount(group, still)[group] > 0)
+    told = np.where(witness, WITNESS, np.where(whole, SETTLED, np.where(still, OPEN, ONCE))).astype(np.uint8)
+    return [(x,) for x in np.split(told, np.cumsum([len(m[0]) for m in messages])[:-1])]
 
 
 def _cores(chunk, held):
-    """The windows to sort, as runs; and the bytes that are covered already, as intervals of documents."""
-    regions = _Regions(held)
-    keys, _, _ = regions.needs()
-    low, high = joined([r for r in held if r["kind"] == "needs"])
-    text, homes, gone = [], [], []
-    for (doc, start), (data, key, ahead, _, covered) in zip(regions.homes.tolist(), regions.strings, strict=True):
-        at = np.searchsorted(keys, key)
-        wanted = (ahead >= low[at]) & (ahead <= high[at])
-        for a, b in _runs(wanted):
-            text.append(data[a:b - 1 + SPAN])
-            homes.append((doc, start + a))
-        gone += [(doc, start + a, start + b) for a, b in _runs(covered)]
-    return [(*_body(chunk, text, homes), packed(np.array(gone, np.int64).reshape(-1)))]
+    """The windows to sort, as strings; and the bytes that are covered already, as intervals of the chunk."""
+    row = next(r for r in held if r["kind"] == "body")
+    text, first, windows, inner, outer = _cells(row)
+    at = _distinct(inner, outer)[-1]
+    told = joined([r for r in held if r["kind"] == "told"])[0][at]
+    one = np.zeros(len(at), bool)
+    one[np.unique(at, return_index=True)[1]] = True
+    (homes,), (sizes,) = unpacked(row["homes"]), unpacked(row["sizes"])
+    starts = np.cumsum(sizes) - sizes
+    home = lambda place: place + (homes - starts)[np.searchsorted(starts, place, side="right") - 1]
+
+    whole = (told == SETTLED) | (told == WITNESS)
+    begin, end = first[whole], (first + windows - 1 + SPAN)[whole]
+    new, last = np.ones(len(begin), bool), np.ones(len(begin), bool)
+    new[1:] = last[:-1] = begin[1:] >= end[:-1]  # strings of regions end where the next begin
+    gone = packed(home(begin[new]), home(begin[new]) + end[last] - begin[new])
+    sort = (told == OPEN) | ((told == WITNESS) & one)
+    begin, size, _ = _strings_of(first[sort], windows[sort]) if sort.any() else (np.zeros(0, np.int64),) * 3
+    return [(chunk, packed(home(begin)), packed(size), packed(text[_ranges(begin, size)]), gone)]
 
 
 class _Suffixes:
     """The strings of a chunk as suffixes: characters at every place, sampled suffixes, names and ranks."""
 
     def __init__(self, row):
-        self.place, self.char, self.last, self.span = [], [], [], []
-        for data in _each(row):
-            block = blocks_at(data)
-            self.place.append(np.arange(len(block)))
-            self.char.append(block)
-            self.span.append(spans_at(block))
-            self.last.append(len(block))
-        sizes = np.array(self.last, np.int64)
-        self.end = np.repeat(np.cumsum(sizes), sizes)
-        self.kind = _flat(self.place, np.int64) // BLOCK % 3
-        self.char = _flat(self.char)
-        # Windows: the suffixes that hold SPAN bytes of their string.
-        self.window = np.flatnonzero(_flat(self.place, np.int64) <= np.repeat(sizes, sizes) - 1 - (SPAN - BLOCK))
-        self.span = _flat(self.span)
-        self.sample = np.flatnonzero(self.kind != 0)
+        (sizes,), (text,) = unpacked(row["sizes"]), unpacked(row["text"])
+        # Behind a string's last character stands the next string.
+        n = sizes - BLOCK + 1
+        place = _ranges(np.zeros(len(n), np.int64), n)
+        self.char = blocks_at(text)[_ranges(np.cumsum(sizes) - sizes, n)]
+        self.end = np.repeat(np.cumsum(n), n)
+        self.kind = place // BLOCK % 3
+        # Windows: the suffixes that hold SPAN bytes of their string. Others are wanted a number of characters behind a window.
+        windows = np.repeat(sizes - SPAN + 1, n)
+        self.window = np.flatnonzero(place < windows)
+        self.sample = np.flatnonzero((self.kind != 0) & (place % BLOCK < windows))
+        self.span = self.char[self.window]
+        for k in range(1, SPAN // BLOCK):
+            self.span = mixed(self.span * _M + self.char[self.window + k * BLOCK])
 
     def ahead(self, values: np.ndarray, at: np.ndarray, blocks: int) -> np.ndarray:
         """Values so many characters after ``at``; 0 behind a string's end."""
@@ -390,28 +407,21 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     size = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // (64 << 20))
 
-    anchors, anchors_path = store(answer(ask(chunks, _anchor_question, buckets), _totals, buckets), "anchors")
-    regions, regions_path = store(gather(_union(_mark(chunks, "chunk"), _mark(anchors, "anchors")), "chunk", _regions, _BODY), "regions")
-    discard(spark, anchors_path)
-    probes, probes_path = store(answer(ask(regions, _probe_question, buckets), _totals, buckets), "probes")
-    settled = _union(_mark(regions, "body"), _mark(probes, "probes"))
-
-    def needs(chunk, held):
-        keys, *bounds = _Regions(held).needs()
-        return [(bucket, chunk, packed(keys[a:b], *(x[a:b] for x in bounds))) for bucket, a, b in slices(keys, buckets)]
-
-    needed, needed_path = store(answer(gather(settled, "chunk", needs, MESSAGE), _bounds, buckets), "needs")
-    cores, _ = store(gather(_union(settled, _mark(needed, "needs")), "chunk", _cores, f"{_BODY}, gone binary"), "cores")
-    discard(spark, regions_path, probes_path, needed_path)
+    told, told_path = store(answer(ask(chunks, _anchor_question, buckets), _totals, buckets), "anchors")
+    regions, regions_path = store(gather(_union(_mark(chunks, "chunk"), _mark(told, "told")), "chunk", _regions, f"{_BODY}, anchors binary"), "regions")
+    discard(spark, told_path)
+    told, told_path = store(answer(ask(regions, _cell_question, buckets), _classes, buckets), "cells")
+    cores, _ = store(gather(_union(_mark(regions, "body"), _mark(told, "told")), "chunk", _cores, f"{_BODY}, gone binary"), "cores")
+    discard(spark, regions_path, told_path)
     flags = _suffix_array(cores, buckets)
 
-    final = _union(_mark(chunks, "chunk"), _mark(cores.select("chunk", F.col("sizes").alias("core_sizes"), "homes", "gone"), "cores"), _mark(flags, "flags"))
+    final = _union(_mark(chunks.drop("anchors"), "chunk"), _mark(cores.select("chunk", F.col("sizes").alias("core_sizes"), "homes", "gone"), "cores"), _mark(flags, "flags"))
     return gather(final, "chunk", lambda chunk, held: _kept(held), _KEPT)
 
 
 def _suffix_array(cores: DataFrame, buckets: int) -> DataFrame:
     """For each chunk the windows of its cores that are repeated, as ``bucket, chunk, data``."""
-    names, _ = store(answer(ask(cores, lambda row: _Suffixes(row).triples()[:-1], buckets), _named, buckets), "names")
+    names, names_path = store(answer(ask(cores, lambda row: _Suffixes(row).triples()[:-1], buckets), _named, buckets), "names")
     base, total = _bases(names)
     shift = np.uint64(64 - max(1, total.bit_length()))
 
@@ -426,7 +436,7 @@ def _suffix_array(cores: DataFrame, buckets: int) -> DataFrame:
         return [(bucket, chunk, packed(first[a:b], second[a:b])) for bucket, a, b in slices(first << shift, buckets)]
 
     named = _union(_mark(cores, "body"), _mark(names, "names"))
-    ranks, _ = store(answer(gather(named, "chunk", pairs, MESSAGE), _named, buckets), "ranks")
+    ranks, ranks_path = store(answer(gather(named, "chunk", pairs, MESSAGE), _named, buckets), "ranks")
     rank_base, _ = _bases(ranks)
 
     def records(chunk, held):
@@ -438,33 +448,37 @@ def _suffix_array(cores: DataFrame, buckets: int) -> DataFrame:
         return own + [(bucket, chunk, packed(*(c[a:b] for c in columns))) for bucket, a, b in slices(columns[0], buckets)]
 
     sent, _ = store(gather(_union(named, _mark(ranks, "ranks")), "chunk", records, MESSAGE), "suffixes")
+    discard(cores.sparkSession, names_path, ranks_path)
     told = answer(sent.filter("bucket >= 0"), _merged, buckets)
     return told.unionByName(sent.filter("bucket < 0"))
 
 
 def _kept(held):
     row = next(r for r in held if r["kind"] == "chunk")
-    ids, missing = unpacked(row["docs"])
-    gone = {}
+    (ids, missing), (sizes,), (text,) = unpacked(row["docs"]), unpacked(row["sizes"]), unpacked(row["text"])
+    step = np.zeros(len(text) + 1, np.int32)
     for core in (r for r in held if r["kind"] == "cores"):
-        for doc, a, b in unpacked(core["gone"])[0].reshape(-1, 3).tolist():
-            gone.setdefault(doc, []).append((a, b))
-        at = next((unpacked(r["data"])[0] for r in held if r["kind"] == "flags" and r["bucket"] < 0), np.zeros(0, np.int64))
+        gone, until = unpacked(core["gone"])
+        own = next((unpacked(r["data"])[0] for r in held if r["kind"] == "flags" and r["bucket"] < 0), np.zeros(0, np.int64))
         told = [r for r in held if r["kind"] == "flags" and r["bucket"] >= 0]
-        twice = joined(told)[0][at] if told else np.zeros(0, np.uint8)
-        begin = 0
-        for (doc, start), size in zip(unpacked(core["homes"])[0].reshape(-1, 2).tolist(), unpacked(core["core_sizes"])[0].tolist(), strict=True):
-            n = size - SPAN + 1
-            for a, b in _runs(twice[begin:begin + n] == 1):
-                gone.setdefault(doc, []).append((start + a, start + b - 1 + SPAN))
-            begin += n
-    out = []
-    for doc, (data, i, m) in enumerate(zip(_each(row), ids.tolist(), missing.tolist(), strict=True)):
-        lost = np.zeros(len(data), bool)
-        for a, b in gone.get(doc, ()):
-            lost[a:b] = True
-        spans = np.array(_runs(lost), np.int64).reshape(-1, 2)
-        out.append((None if m else i, len(data), spans[:, 0].tobytes(), spans[:, 1].tobytes(), data[~lost].tobytes()))
+        (homes,), (core_sizes,) = unpacked(core["homes"]), unpacked(core["core_sizes"])
+        windows = _ranges(homes, core_sizes - SPAN + 1)
+        twice = windows[joined(told)[0][own] == 1] if told else windows[:0]
+        for at, by in ((gone, 1), (until, -1), (twice, 1), (twice + SPAN, -1)):
+            np.add.at(step, at, by)
+    lost = np.cumsum(step[:-1]) > 0
+    ends = np.cumsum(sizes)
+    # Runs of documents that follow each other are runs of their own.
+    new = np.concatenate([[True], lost[1:] != lost[:-1]]) if len(lost) else lost
+    new[(ends - sizes)[sizes > 0]] = True
+    edges = np.flatnonzero(new)
+    starts, until = edges[lost[edges]], np.concatenate([edges, [len(lost)]])[1:][lost[edges]]
+    kept = text[~lost].tobytes()
+    upto = np.concatenate([[0], np.cumsum(~lost)])
+    cuts, marks, out = upto[np.concatenate([[0], ends])].tolist(), np.searchsorted(starts, np.concatenate([[0], ends])).tolist(), []
+    for doc, (i, m, size) in enumerate(zip(ids.tolist(), missing.tolist(), sizes.tolist(), strict=True)):
+        own, at = slice(marks[doc], marks[doc + 1]), int(ends[doc]) - size
+        out.append((None if m else i, size, (starts[own] - at).tobytes(), (until[own] - at).tobytes(), kept[cuts[doc]:cuts[doc + 1]]))
     return out
 
 

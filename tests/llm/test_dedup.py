@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
@@ -6,6 +7,7 @@ import numpy as np
 
 from crateline.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup
 from crateline.llm.common import words_of
+from crateline.llm.exchange import unpacked
 
 from .conftest import prose, texts_of
 
@@ -160,6 +162,21 @@ def test_repeated_bytes_at_every_offset_and_in_periodic_text(spark):
     assert _repeats(docs) == bag(_without_repeats(rows))
 
 
+def test_only_the_ends_of_repeats_reach_the_sort(spark, monkeypatch):
+    lines, passages = [prose(k, 40)[:150] for k in range(40)], [prose(500 + k, 300) for k in range(3)]
+    rows = [(i, "\n".join(random.Random(i).sample(lines, 20)) + passages[i % 3] + prose(900 + i, 50)) for i in range(30)]
+    windows, own = [], suffix_dedup._suffix_array
+
+    def counted(cores, buckets):
+        windows.extend(int((unpacked(r.sizes)[0] - 199).sum()) for r in cores.collect())
+        return own(cores, buckets)
+
+    monkeypatch.setattr(suffix_dedup, "_suffix_array", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert _repeats(docs) == bag(_without_repeats(rows))
+    assert 0 < sum(windows) < sum(len(t) for _, t in rows) // 20  # lines of 150 bytes are shared, but no 200 bytes across them
+
+
 def test_merge_needs_no_order_beyond_the_prefix():
     # Two suffixes of one prefix in classes 1 and 2, and one of another in class 0 that differs behind the fifth character only in rank.
     record = lambda char, second, kind, own, one, two, span: [np.array([x], np.uint64) for x in (char, second, kind, own, one, two, span)] + [np.array([1], np.uint32)]
