@@ -35,7 +35,7 @@ class Segments:
 
     def _empty(self) -> None:
         self.slot = np.full(int(self.mask) + 1, -1, np.int32)
-        self.words, self.at, self.n, self.used = np.zeros((self.most, 4), np.uint64), np.zeros(self.most, np.int64), np.zeros(self.most, np.int32), np.zeros(self.most, bool)
+        self.words, self.at, self.n, self.used = np.zeros((self.most, 4), np.uint64), np.zeros(self.most, np.int64), np.zeros(self.most, np.int32), np.zeros(self.most, np.uint16)
         self.size, self.pool, self.end = 0, np.zeros(1 << 20, np.uint32), 0
 
     def find(self, words: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -48,7 +48,8 @@ class Segments:
             same = (self.words[entry] == words[todo]).all(axis=1)
             out[todo[same]] = entry[same]
             todo, place = todo[~same], (place[~same] + np.uint64(1)) & self.mask
-        self.used[out[out >= 0]] = True
+        hit = out[out >= 0]
+        self.used[hit] = np.minimum(self.used[hit], 1 << 14) + 1  # once for all columns of a call
         return out
 
     def add(self, words: np.ndarray, key: np.ndarray, ids: np.ndarray, n: np.ndarray) -> None:
@@ -61,7 +62,7 @@ class Segments:
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool), np.uint32)])
         entry = np.arange(self.size, self.size + len(key))
         self.words[entry], self.n[entry], self.at[entry] = words, n, self.end + np.cumsum(n) - n
-        self.used[entry] = True
+        self.used[entry] = 1
         self.pool[self.end:self.end + len(ids)] = ids
         self.size, self.end = self.size + len(key), self.end + len(ids)
         place = key & self.mask
@@ -72,14 +73,15 @@ class Segments:
             entry, place = entry[left], (place[left] + np.uint64(1)) & self.mask
 
     def _keep_used(self, wanted: int) -> None:
-        """Forget what was not used since the last time; everything, if that is not enough."""
-        keep = np.flatnonzero(self.used[:self.size])
-        words, n = self.words[keep], self.n[keep]
+        """Forget what the fewest calls used, of equals the oldest, until half of the room is free; uses of long ago count less."""
+        room = max(0, self.most // 2 - wanted)
+        rank = self.used[:self.size].astype(np.int64) << 32 | np.arange(self.size)
+        keep = np.sort(np.argpartition(rank, self.size - room)[self.size - room:]) if 0 < room < self.size else np.arange(min(room, self.size))
+        words, n, used = self.words[keep], self.n[keep], self.used[keep] >> 1
         ids = self.pool[_ranges(self.at[keep], n)]
         self._empty()
-        if len(keep) + wanted <= self.most // 2:
-            self.add(words, _key(words), ids, n)
-            self.used[:] = False
+        self.add(words, _key(words), ids, n)
+        self.used[:len(keep)] = used
 
 
 def _key(words: np.ndarray) -> np.ndarray:

@@ -37,6 +37,18 @@ def test_new_segments_are_coded_many_at_a_call():
     assert told(coder, texts[::-1]) == wanted[::-1]
 
 
+def test_a_full_table_keeps_what_is_used_most():
+    table, ids = tokens.Segments(64), np.arange(64, dtype=np.uint32)
+    words = np.stack([np.arange(1, 201, dtype=np.uint64)] * 4, axis=1)
+    add = lambda a, b: table.add(words[a:b], tokens._key(words[a:b]), ids[:b - a], np.ones(b - a, np.int64))
+    find = lambda a, b: table.find(words[a:b], tokens._key(words[a:b]))
+    add(0, 60)
+    for at in range(60, 200, 10):  # eight are used in every call, all others are new
+        assert (find(4, 12) >= 0).all() and (find(at, at + 10) < 0).all()
+        add(at, at + 10)
+    assert table.pool[table.at[find(4, 12)]].tolist() == list(range(4, 12)) and (find(0, 4) < 0).all() and (find(190, 200) >= 0).all()
+
+
 CODER = tokens.Coder(PATH)
 
 
