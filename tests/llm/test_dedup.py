@@ -177,6 +177,13 @@ def test_only_the_ends_of_repeats_reach_the_sort(spark, monkeypatch):
     assert 0 < sum(windows) < sum(len(t) for _, t in rows) // 20  # lines of 150 bytes are shared, but no 200 bytes across them
 
 
+def test_repeated_bytes_of_documents_longer_than_a_piece(spark):
+    long = prose(1, 12000)
+    rows = [(1, long), (2, prose(2, 9000) + long[30000:40000] + prose(3, 100)), (3, "x" * (suffix_dedup.PIECE + 300)), (4, long[100:299] + "y"), (5, long[65400:65600])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert _repeats(docs) == bag(_without_repeats(rows))
+
+
 def test_merge_needs_no_order_beyond_the_prefix():
     # Two suffixes of one prefix in classes 1 and 2, and one of another in class 0 that differs behind the fifth character only in rank.
     record = lambda char, second, kind, own, one, two, span: [np.array([x], np.uint64) for x in (char, second, kind, own, one, two, span)] + [np.array([1], np.uint32)]
