@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.ordered import positions
@@ -75,6 +75,19 @@ def _quota(n: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(len(CHAPTERS))), base, repaired)
 
 
+def assign_whole(df: DataFrame, playlist: str, track: str, columns=MEASURES) -> DataFrame:
+    """``assign`` for playlists that one task may hold: its five passes sort the rows where they are."""
+    chapter, lists = F.col("chapter_no"), Window.partitionBy(playlist)
+    rows = df.withColumn("_quota", _quota(F.count("*").over(lists))).withColumn("chapter_no", F.lit(None).cast("int"))
+    for i in range(len(NAMES)):
+        # Rows that are still free come first.
+        place = F.row_number().over(lists.orderBy(chapter.isNotNull(), chapter_score(i, columns), track))
+        inside = chapter.isNull() & (F.col("_place") <= F.element_at("_quota", i + 1))
+        rows = rows.withColumn("_place", place).withColumn("chapter_no", F.when(inside, i).otherwise(chapter))
+    names = F.element_at(F.array(*map(F.lit, NAMES)), chapter + 1)
+    return rows.filter(chapter.isNotNull()).select(*df.columns, "chapter_no", names.alias("chapter"))
+
+
 def assign(df: DataFrame, playlist: str, track: str, columns=MEASURES) -> DataFrame:
     """Chapters filled in order, each with the best-scoring tracks still free.
 

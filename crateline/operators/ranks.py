@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clamp
 from ..functions.formats import ENERGY_LABELS, UNKNOWN_ENERGY, decile, tempo_band
-from ..plans.ordered import positions
+from ..plans.ordered import HOT_ROWS, positions
 from ..plans.ranking import finite, quantiles, with_rank, with_ranks
 from ..plans.session import cut
 
@@ -49,9 +49,9 @@ def levels(df: DataFrame, columns: Seq[str], out: str) -> DataFrame:
     return spread(df, columns, "_spread").withColumn(out, decile("_spread")).drop("_spread")
 
 
-def place_in_group(df: DataFrame, by: Seq[str], order: Seq[Column | str], out: str) -> DataFrame:
+def place_in_group(df: DataFrame, by: Seq[str], order: Seq[Column | str], out: str, hot_rows: int | None = HOT_ROWS) -> DataFrame:
     """Position over n-1 inside a group, ties broken by the given order."""
-    seq = positions(df, by, order, "_place")
+    seq = positions(df, by, order, "_place", hot_rows)
     if seq.hot:
         sized = seq.rows.join(seq.rows.groupBy(*by).agg(F.count("*").alias("_n")), list(by))
     else:

@@ -68,6 +68,15 @@ def dealt(df: DataFrame, by: Seq[str], rows: int) -> DataFrame:
     return df.repartition(max(-(-rows // TASK_ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
 
 
+def by_size(df: DataFrame, by: Seq[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None, int]:
+    """Rows of groups of at most ``hot_rows``, those of larger ones if there are any, and the number of all rows."""
+    keys, found, rows = hot_keys(df, by, hot_rows)
+    if not found:
+        return df, None, rows
+    keys = small(keys, found)
+    return _match(df, keys, by, "left_anti"), _match(df, keys, by, "left_semi"), rows
+
+
 @dataclass(frozen=True)
 class Ordered:
     """Rows with a dense 0-based position ``pos`` inside the groups ``by``."""
@@ -136,15 +145,20 @@ def positions(
     by: Seq[str],
     order: Seq[Column | str],
     pos: str = "pos",
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = HOT_ROWS,
     block: int = BLOCK,
 ) -> Ordered:
-    """Number the rows of every group along ``order`` (end it with a unique column)."""
+    """Number the rows of every group along ``order`` (end it with a unique column).
+
+    ``hot_rows=None`` says that all groups are known to be small: they are not counted, and stay where they are.
+    """
     by = list(by)
     if not by:
         return Ordered(indexed(df, order, pos), (), pos, True, block)
-    keys, found, rows = hot_keys(df, by, hot_rows)
     window = Window.partitionBy(*by).orderBy(*order)
+    if hot_rows is None:
+        return Ordered(df.withColumn(pos, F.row_number().over(window).cast("long") - 1), tuple(by), pos, False, block)
+    keys, found, rows = hot_keys(df, by, hot_rows)
     if not found:
         return Ordered(dealt(df, by, rows).withColumn(pos, F.row_number().over(window).cast("long") - 1), tuple(by), pos, False, block)
     cold = dealt(_match(df, small(keys, found), by, "left_anti"), by, rows).withColumn(pos, F.row_number().over(window).cast("long") - 1)
