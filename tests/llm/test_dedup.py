@@ -32,6 +32,18 @@ def test_lines_shared_by_documents_go_but_in_the_last(odd):
     assert bag(found) == bag(expected) and any(r.n_dropped for r in found)
 
 
+def test_keys_of_lines_are_made_once(spark):
+    long = "a line of more than twenty signs"
+    texts = [f"{long} \u00c9", f"\t{long.upper()} \u00c9\r", f"{long} \u00c9\n{long} \u00c9", f"{long} \u00e9", f"{long}\u00a0", "    short line           ", None, ""]
+    docs = spark.createDataFrame([*enumerate(texts), (5, texts[5]), (9, texts[5])], "doc_id long, text string")
+    found = line_dedup.line_dedup(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "translate" not in plan and "Generate" not in plan
+    told = {r.doc_id: (r.n_lines, r.n_dropped, r.kept_text) for r in found.collect()}
+    assert told[0] == told[1] == (1, 1, "") and told[2] == (2, 0, texts[2])  # accents keep their case
+    assert all(told[k] == (1, 0, texts[k] or "") for k in (3, 4, 5, 6, 7))
+
+
 def test_lines_of_an_empty_table(none):
     assert line_dedup.line_dedup(none).count() == 0
 
