@@ -7,6 +7,7 @@ import gc
 import sys
 import types
 import uuid
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -121,8 +122,10 @@ def arrow_step(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | No
 def code_tokens(lists: list[list]) -> tuple[list, np.ndarray, np.ndarray]:
     """Distinct tokens, the index of each token of all lists in order, and the lists' lengths."""
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-    known = {w: i for i, w in enumerate(dict.fromkeys(chain.from_iterable(lists)))}
+    known: defaultdict = defaultdict()
+    known.default_factory = known.__len__  # a new token gets the next number as it is looked up
     at = np.fromiter(map(known.__getitem__, chain.from_iterable(lists)), np.int64, int(sizes.sum()))
+    known.default_factory = None  # no cycle stays
     return list(known), at, sizes
 
 

@@ -306,8 +306,8 @@ def _whole(step: pa.RecordBatch, size: int) -> pa.RecordBatch:
 
 
 def _low_bytes(sig):
-    """The lowest byte of each coordinate."""
-    return F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(T - 1)), lambda k: F.substring(F.hex(sig), 8 * k + 1, 2)), ""))
+    """The lowest byte of each coordinate, which are four bytes each."""
+    return F.unhex(F.regexp_replace(F.hex(sig), "(..)......", "$1"))
 
 
 def components(edges: DataFrame, node: str = "key", other: str = "root") -> DataFrame:

@@ -4,9 +4,10 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from crateline.llm import exact_dedup, jaccard_join, line_dedup, suffix_dedup
-from crateline.llm.common import words_of
+from crateline.llm.common import code_tokens, words_of
 from crateline.llm.exchange import unpacked
 
 from .conftest import prose, texts_of
@@ -219,3 +220,26 @@ def test_queries_agree_with_sql(spark):
         found = llm.queries()[name](spark, folder)
         columns = sorted(found.columns)
         assert bag(found.select(*columns).collect()) == bag(db.execute(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()), name
+
+
+def test_tokens_are_looked_up_once():
+    class Token(bytes):
+        looked_up = 0
+
+        def __hash__(self):
+            Token.looked_up += 1
+            return super().__hash__()
+
+    words = [b"b", b"a", b"c", b"a"] * 250
+    tokens, at, sizes = code_tokens([list(map(Token, words)), [], [Token(b"d")]])
+    # Once for each token, and once more for each new one, which is put in.
+    assert Token.looked_up <= len(words) + 1 + 2 * 4
+    assert tokens == [b"b", b"a", b"c", b"d"] and at.tolist() == [0, 1, 2, 1] * 250 + [3] and sizes.tolist() == [1000, 0, 1]
+
+
+def test_sketches_read_their_signature_once(spark):
+    signs = np.random.default_rng(2).integers(0, 2**32, (20, jaccard_join.T), dtype=np.uint32)
+    df = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(signs)], "id int, sig binary")
+    found = df.select("id", jaccard_join._low_bytes(F.col("sig")).alias("sketch"))
+    assert {r.id: bytes(r.sketch) for r in found.collect()} == {i: s.astype(np.uint8).tobytes() for i, s in enumerate(signs)}
+    assert "lambda" not in found._jdf.queryExecution().optimizedPlan().toString()
